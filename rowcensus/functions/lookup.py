@@ -4,32 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import column
+from .text import quoted
 
 SPREAD = 4096
 UNHASHABLE = (T.MapType, T.VariantType)
 
 
-def _hashable(df: DataFrame) -> list[Column]:
-    return [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, UNHASHABLE)]
-
-
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: Mapping[str, str],
-    aggregates: Mapping[str, Column] | None = None,
+    aggregates: Mapping[str, str] | None = None,
     how: str = "left",
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` reduced to one row per key.
 
-    ``on`` maps fact columns to lookup columns; ``aggregates`` names the lookup values to
-    attach. Duplicated lookup keys are folded before the join, so a hot key never
-    multiplies rows here.
+    ``on`` maps fact columns to lookup columns; ``aggregates`` maps the names of values to
+    attach to SQL aggregates over the lookup. Duplicated lookup keys are folded before the
+    join, so a hot key never multiplies rows here.
 
     There is no broadcast hint: Catalyst broadcasts a lookup it measures below
     ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges a larger one. For that second
@@ -38,24 +34,16 @@ def lookup_join(
     the aggregate is not partitioned by that number, both sides are shuffled right below
     the join, which is the shape AQE needs to split a hot key at run time.
     """
-    keys = [column(name).isNull() for name in on]
-    no_key = keys[0]
-    for is_null in keys[1:]:
-        no_key = no_key | is_null
-    spread = F.when(no_key, 1 + F.pmod(F.xxhash64(*_hashable(facts)), F.lit(SPREAD)))
-    left = facts.withColumn("_spread", spread.otherwise(F.lit(0).cast("bigint")))
+    hashed = ", ".join(quoted(f.name) for f in facts.schema.fields if not isinstance(f.dataType, UNHASHABLE))
+    no_key = " OR ".join(f"{quoted(fact)} IS NULL" for fact in on)
+    left = facts.selectExpr("*", f"IF({no_key}, 1 + pmod(xxhash64({hashed}), {SPREAD}), 0L) AS _spread")
 
     names = [f"_key{i}" for i in range(len(on))]
-    right = lookup.select(
-        *[column(source).alias(name) for source, name in zip(on.values(), names)],
-        *[column(c) for c in lookup.columns],
-    ).dropna(subset=names)
-    right = right.groupBy(*names).agg(
-        *[value.alias(name) for name, value in (aggregates or {}).items()],
-        F.min(F.lit(0).cast("bigint")).alias("_zero"),
-    )
-
-    condition = left["_spread"] == right["_zero"]
-    for fact, name in zip(on, names):
-        condition = condition & (left[f"`{fact}`"] == right[name])
-    return left.join(right, condition, how).drop("_spread", "_zero", *names)
+    keyed = [f"{quoted(source)} AS {name}" for source, name in zip(on.values(), names)]
+    values = [F.expr(f"{value} AS {name}") for name, value in (aggregates or {}).items()]
+    right = lookup.selectExpr("*", *keyed).where(" AND ".join(f"{name} IS NOT NULL" for name in names))
+    right = right.groupBy(*names).agg(*values, F.expr("min(0L) AS _zero"))
+
+    matched = ["_spread = _zero", *[f"{quoted(fact)} = {name}" for fact, name in zip(on, names)]]
+    joined = left.join(right, F.expr(" AND ".join(matched)), how)
+    return joined.drop("_spread", "_zero", *names)

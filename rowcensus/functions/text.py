@@ -1,16 +1,19 @@
-"""Column expressions that render values and read free text.
+"""SQL expressions that render values and read free text.
 
-All of them are built-in expressions, so they stay inside whole-stage codegen.
+Expressions are built as SQL text rather than as column objects: wide tables need hundreds
+of them, and handing Spark one text is far cheaper than one call per node. All of them use
+built-in functions only, so they stay inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+
 FENCE = r"(?isU)```(?:json)?\s*(.*?)\s*```"
 
 
@@ -19,72 +22,90 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def column(name: str) -> Column:
-    return F.col(quoted(name))
+def literal(value: str | None) -> str:
+    """A text as a SQL literal."""
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def percent_text(rate: Column) -> Column:
+def percent_text(rate: str) -> str:
     """``0.45`` as ``45.0%``; ``bround`` keeps the half-even rounding of the report texts."""
-    return F.format_string("%.1f%%", F.bround(rate * 100, 1))
+    return f"format_string('%.1f%%', bround({rate} * 100, 1))"
 
 
-def value_text(df: DataFrame, name: str) -> Column:
+def value_text(df: DataFrame, name: str) -> str:
     """A key value as text: nulls print ``None``, booleans ``True`` / ``False``."""
-    col = column(name)
+    col = quoted(name)
     kind = df.schema[name].dataType
     if isinstance(kind, T.BooleanType):
-        text = F.when(col, "True").otherwise("False")
-        return F.when(col.isNull(), "None").otherwise(text)
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.coalesce(F.to_json(col), F.lit("None"))
-    return F.coalesce(col.cast("string"), F.lit("None"))
+        return f"CASE WHEN {col} THEN 'True' WHEN NOT {col} THEN 'False' ELSE 'None' END"
+    if isinstance(kind, NESTED):
+        return f"coalesce(to_json({col}), 'None')"
+    return f"coalesce(CAST({col} AS STRING), 'None')"
 
 
-def joined_values(df: DataFrame, names: Sequence[str]) -> Column:
+def joined_values(df: DataFrame, names: Sequence[str]) -> str:
     """``v | v`` over the named columns."""
-    return F.concat_ws(" | ", *[value_text(df, name) for name in names])
+    return f"concat_ws(' | ', {', '.join(value_text(df, name) for name in names)})"
 
 
-def named_values(df: DataFrame, names: Sequence[str]) -> Column:
+def named_values(df: DataFrame, names: Sequence[str]) -> str:
     """``k=v | k=v`` over the named columns."""
-    parts = [F.concat(F.lit(f"{name}="), value_text(df, name)) for name in names]
-    return F.concat_ws(" | ", *parts)
+    parts = [f"concat({literal(name + '=')}, {value_text(df, name)})" for name in names]
+    return f"concat_ws(' | ', {', '.join(parts)})"
 
 
-def payload_map(df: DataFrame, names: Sequence[str]) -> Column:
+def payload_map(df: DataFrame, names: Sequence[str]) -> str:
     """The named columns as one ``map<string,string>``, null values kept."""
     if not names:
-        return F.lit(None).cast("map<string,string>")
-    texts = []
+        return "CAST(NULL AS MAP<STRING, STRING>)"
+    parts = []
     for name in names:
-        kind = df.schema[name].dataType
-        nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
-        texts.append(F.to_json(column(name)) if nested else column(name).cast("string"))
-    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*texts))
+        nested = isinstance(df.schema[name].dataType, NESTED)
+        text = f"to_json({quoted(name)})" if nested else f"CAST({quoted(name)} AS STRING)"
+        parts.append(f"{literal(name)}, {text}")
+    return f"map({', '.join(parts)})"
 
 
-def row_fingerprint(df: DataFrame) -> Column:
+def row_fingerprint(df: DataFrame) -> str:
     """Identifier for rows without a key: a digest of the whole row.
 
     A row position would not survive repartitioning or a task retry.
     """
-    return F.sha2(F.to_json(F.struct(*[column(c) for c in df.columns])), 256)
+    return f"sha2(to_json(struct({', '.join(quoted(c) for c in df.columns)})), 256)"
+
+
+def per_value(column: str, texts: Mapping[str, str], default: str) -> str:
+    """A text chosen by the value of a column, from a constant map."""
+    if not texts:
+        return literal(default)
+    entries = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in texts.items())
+    return f"coalesce(try_element_at(map({entries}), {column}), {literal(default)})"
 
 
-def stripped(text: Column) -> Column:
+def stripped(text: str) -> str:
     """Remove leading and trailing white space, Unicode spaces included."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    pattern = literal(r"(?U)\A\s+|\s+\z")
+    return f"regexp_replace({text}, {pattern}, '')"
 
 
-def json_text(raw: Column) -> Column:
-    """The JSON object inside a free-form answer.
+def json_text(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """Add the JSON object inside a free-form answer as column ``name``.
 
-    Takes the first fenced block if there is one, then the span from the first opening
-    to the last closing brace; text without such a span is returned as it is.
+    Takes the first fenced block if there is one, then the span from the first opening to
+    the last closing brace; text without such a span is returned as it is.
     """
-    fenced = F.regexp_extract(raw, FENCE, 1)
-    body = stripped(F.when(F.regexp_like(raw, F.lit(FENCE)), fenced).otherwise(raw))
-    first = F.instr(body, "{")
-    last = F.length(body) - F.instr(F.reverse(body), "}") + 1
-    has_span = (first > 0) & (F.instr(body, "}") > 0) & (last > first)
-    return F.when(has_span, F.substring(body, first, last - first + 1)).otherwise(body)
+    fence = literal(FENCE)
+    body = stripped(f"IF(regexp_like({raw}, {fence}), regexp_extract({raw}, {fence}, 1), {raw})")
+    kept = [quoted(c) for c in df.columns]
+    span = "substring(_body, _first, _last - _first + 1)"
+    return (
+        df.selectExpr(*kept, f"{body} AS _body")
+        .selectExpr(
+            "*",
+            "instr(_body, '{') AS _first",
+            "IF(contains(_body, '}'), length(_body) - instr(reverse(_body), '}') + 1, 0) AS _last",
+        )
+        .selectExpr(*kept, f"IF(_first > 0 AND _last > _first, {span}, _body) AS {quoted(name)}")
+    )

@@ -9,24 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions.lookup import lookup_join
-from ..functions.text import column, quoted
+from ..functions.text import literal, quoted
 from .rules import Rule, Tables
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _present(deleted: str | None) -> Column:
-    return F.lit(True) if deleted is None else ~F.coalesce(column(deleted), F.lit(False))
-
-
 def status_measure(
     id: str, table: str, status: str, value: str, measure: str, detail: str, **rule
 ) -> Rule:
@@ -39,8 +29,8 @@ def status_measure(
     return Rule(
         id=id,
         table=table,
-        where=f"upper({s}) = {_text(value.upper())} AND coalesce({m}, 0) > 0",
-        detail=f"concat({_text(detail)}, coalesce(cast({m} AS string), 'NULL'))",
+        where=f"upper({s}) = {literal(value.upper())} AND coalesce({m}, 0) > 0",
+        detail=f"concat({literal(detail)}, coalesce(cast({m} AS string), 'NULL'))",
         **rule,
     )
 
@@ -59,8 +49,8 @@ def retention_cutoff(
     return Rule(
         id=id,
         table=table,
-        where=f"{d} < date {_text(cutoff)}{alive}",
-        detail=f"concat({_text(before)}, date_format({d}, 'yyyy-MM-dd'), {_text(after)})",
+        where=f"{d} < date {literal(cutoff)}{alive}",
+        detail=f"concat({literal(before)}, date_format({d}, 'yyyy-MM-dd'), {literal(after)})",
         **rule,
     )
 
@@ -82,34 +72,20 @@ class Reference:
 def _with_matches(df: DataFrame, refs: Sequence[Reference], tables: Tables, repeat: bool) -> DataFrame:
     """Per reference i: ``_ok{i}`` and ``_bad{i}``, the valid and invalid rows of the left join."""
     for i, ref in enumerate(refs):
-        lookup = tables(ref.table).select(column(ref.key).alias("_ref_key"), column(ref.id).alias("_ref_id"))
-        counts = {
-            "_valid": F.count("_ref_id"),
-            "_null_ids": F.count_if(F.col("_ref_id").isNull()),
-        }
-        df = lookup_join(df, lookup, {ref.code: "_ref_key"}, counts)
-        no_code = column(ref.code).isNull()
-        no_match = F.col("_valid").isNull()
-        ok = F.when(no_code, 1).when(no_match, 0).otherwise(F.col("_valid"))
-        bad = F.when(no_code, 0).when(no_match, 1).otherwise(F.col("_null_ids"))
+        code = quoted(ref.code)
+        lookup = tables(ref.table).selectExpr(f"{quoted(ref.key)} AS _ref_key", f"{quoted(ref.id)} AS _ref_id")
+        counts = {"_valid": "count(_ref_id)", "_null_ids": "count_if(_ref_id IS NULL)"}
+        kept = [quoted(c) for c in df.columns]
+        ok = f"CASE WHEN {code} IS NULL THEN 1L WHEN _valid IS NULL THEN 0L ELSE _valid END"
+        bad = f"CASE WHEN {code} IS NULL THEN 0L WHEN _valid IS NULL THEN 1L ELSE _null_ids END"
         if not repeat:
-            bad = F.when(ok > 0, 0).otherwise(F.least(bad, F.lit(1)))
-            ok = F.least(ok, F.lit(1))
-        df = df.withColumns({f"_ok{i}": ok.cast("bigint"), f"_bad{i}": bad.cast("bigint")})
-        df = df.drop("_valid", "_null_ids")
+            bad = f"IF({ok} > 0, 0L, least({bad}, 1L))"
+            ok = f"least({ok}, 1L)"
+        joined = lookup_join(df, lookup, {ref.code: "_ref_key"}, counts)
+        df = joined.selectExpr(*kept, f"{ok} AS _ok{i}", f"{bad} AS _bad{i}")
     return df
 
 
-def _repeated(df: DataFrame, outcomes: Sequence[tuple[Column, Column]], kept: Sequence[Column]) -> DataFrame:
-    """One row per outcome and copy; ``outcomes`` are (detail, copies)."""
-    listed = [F.struct(d.alias("ISSUE_DETAIL"), n.cast("bigint").alias("_copies")) for d, n in outcomes]
-    some = reduce(lambda a, b: a | b, [n > 0 for _, n in outcomes])
-    rows = df.filter(some).select(*kept, F.inline(F.array(*listed))).filter(F.col("_copies") > 0)
-    names = [c for c in rows.columns if c != "_copies"]
-    copies = F.when(F.col("_copies") > 1, F.sequence(F.lit(1), F.col("_copies"))).otherwise(F.array(F.lit(1)))
-    return rows.withColumn("_copy", F.explode(copies)).select(*[column(c) for c in names])
-
-
 def any_reference_violations(
     df: DataFrame,
     refs: Sequence[Reference],
@@ -124,23 +100,28 @@ def any_reference_violations(
     The text names the first invalid code in the order of ``refs``. ``repeat=False`` gives
     one row per flagged row even if a reference holds a code several times.
     """
-    codes = [ref.code for ref in refs]
-    needed = list(dict.fromkeys([*keep, *codes]))
-    base = df.filter(_present(deleted)).select(*[column(c) for c in needed])
-    state = _with_matches(base, refs, tables, repeat)
+    codes = [quoted(ref.code) for ref in refs]
+    kept = [quoted(c) for c in dict.fromkeys([*keep, *[ref.code for ref in refs]])]
+    present = df if deleted is None else df.where(f"NOT coalesce({quoted(deleted)}, false)")
+    state = _with_matches(present.selectExpr(*kept), refs, tables, repeat)
 
-    none = reduce(lambda a, b: a & b, [column(c).isNull() for c in codes])
-    outcomes = [(F.lit(missing), F.when(none, 1).otherwise(0))]
+    none = " AND ".join(f"{code} IS NULL" for code in codes)
+    outcomes = [(literal(missing), f"IF({none}, 1L, 0L)")]
     for i, ref in enumerate(refs):
-        copies = F.when(column(ref.code).isNull(), 0).otherwise(F.col(f"_bad{i}"))
-        for j in range(len(refs)):
-            if j < i:
-                copies = copies * F.col(f"_ok{j}")
-            elif j > i:
-                copies = copies * (F.col(f"_ok{j}") + F.col(f"_bad{j}"))
-        detail = F.concat(F.lit(ref.invalid), column(ref.code).cast("string"))
-        outcomes.append((detail, copies))
-    return _repeated(state, outcomes, [column(c) for c in needed])
+        # Copies of the row whose first invalid code is this one: earlier codes valid,
+        # later ones either way.
+        factors = [f"_bad{i}"]
+        factors += [f"_ok{j}" for j in range(i)]
+        factors += [f"(_ok{j} + _bad{j})" for j in range(i + 1, len(refs))]
+        outcomes.append((f"concat({literal(ref.invalid)}, CAST({codes[i]} AS STRING))", " * ".join(factors)))
+
+    some = " OR ".join(["(" + none + ")", *[f"_bad{i} > 0" for i in range(len(refs))]])
+    listed = ", ".join(f"struct({detail} AS ISSUE_DETAIL, {copies} AS _copies)" for detail, copies in outcomes)
+    rows = state.where(some).selectExpr(*kept, f"inline(array({listed}))").where("_copies > 0")
+    if not repeat:
+        return rows.drop("_copies")
+    copies = rows.selectExpr(*kept, "ISSUE_DETAIL", "explode(IF(_copies > 1, sequence(1L, _copies), array(1L))) AS _copy")
+    return copies.drop("_copy")
 
 
 def any_valid_reference(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.text import literal, quoted
+
 ISSUE_SCHEMA = T.StructType(
     [
         T.StructField("DATABASE", T.StringType()),
@@ -27,17 +28,15 @@ ISSUE_SCHEMA = T.StructType(
 )
 
 
-def issue_columns(**values: Column | str | None) -> list[Column]:
-    """Columns of the issue table in order; plain texts become literals, gaps null."""
-    unknown = set(values) - set(ISSUE_SCHEMA.names)
+def issue_columns(**expressions: str) -> list[str]:
+    """The select list of the issue table from SQL expressions; what is not given is null."""
+    unknown = set(expressions) - set(ISSUE_SCHEMA.names)
     if unknown:
         raise ValueError(f"not columns of the issue table: {sorted(unknown)}")
-    out = []
-    for f in ISSUE_SCHEMA.fields:
-        value = values.get(f.name)
-        col = value if isinstance(value, Column) else F.lit(value)
-        out.append(col.cast(f.dataType).alias(f.name))
-    return out
+    return [
+        f"CAST({expressions.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in ISSUE_SCHEMA.fields
+    ]
 
 
 def empty_issues(spark: SparkSession) -> DataFrame:
@@ -46,24 +45,22 @@ def empty_issues(spark: SparkSession) -> DataFrame:
 
 def combine_issues(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
     """All producers as one frame, by column name; typed and empty if there are none."""
-    frames = list(parts)
-    if not frames:
-        return empty_issues(spark)
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    known = {
-        f.name: F.col(f.name).cast(f.dataType) if f.name in union.columns else F.lit(None).cast(f.dataType)
-        for f in ISSUE_SCHEMA.fields
-    }
-    return union.select(*[col.alias(name) for name, col in known.items()])
+    frames = [
+        df.selectExpr(*issue_columns(**{c: c for c in ISSUE_SCHEMA.names if c in df.columns})) for df in parts
+    ]
+    return reduce(DataFrame.union, frames) if frames else empty_issues(spark)
 
 
 def stamp(issues: DataFrame, database: str | None, schema: str | None) -> DataFrame:
     """Set the two location columns to constants."""
-    return issues.withColumns({"DATABASE": F.lit(database), "SCHEMA": F.lit(schema)})
+    rest = [quoted(c) for c in issues.columns if c not in ("DATABASE", "SCHEMA")]
+    location = [f"CAST({literal(v)} AS STRING) AS {k}" for k, v in (("DATABASE", database), ("SCHEMA", schema))]
+    return issues.selectExpr(*location, *rest)
 
 
 def widen_issues(issues: DataFrame, names: Sequence[str]) -> DataFrame:
     """Turn chosen payload names into real text columns."""
-    values = {name: F.try_element_at("ROW_VALUES", F.lit(name)) for name in names}
-    kept = [c for c in issues.columns if c != "ROW_VALUES"]
-    return issues.select(*kept, *[col.alias(name) for name, col in values.items()])
+    kept = [quoted(c) for c in issues.columns if c != "ROW_VALUES"]
+    return issues.selectExpr(
+        *kept, *[f"try_element_at(ROW_VALUES, {literal(name)}) AS {quoted(name)}" for name in names]
+    )

@@ -6,17 +6,15 @@ from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import labels
-from ..functions.text import column, named_values, payload_map, percent_text
+from ..functions.text import NESTED, literal, named_values, payload_map, per_value, percent_text, quoted
 from .issues import issue_columns
 
 NULL_THRESHOLD = 0.05
 DISTINCT_CHUNK = 3
-NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 PROFILE_SCHEMA = (
     "TABLE_NAME string, COLUMN_NAME string, DATA_TYPE string, ORDINAL_POSITION int, "
@@ -25,29 +23,19 @@ PROFILE_SCHEMA = (
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _per_table(texts: Mapping[str, str], default: str) -> Column:
-    """A text per TABLE_NAME, from a constant map."""
-    if not texts:
-        return F.lit(default)
-    entries = [F.lit(part) for pair in texts.items() for part in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), F.col("TABLE_NAME")), F.lit(default))
+    return reduce(DataFrame.union, frames)
 
 
 def row_count(df: DataFrame, table: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("ROW_COUNT")).select(
-        F.lit(table).alias("TABLE_NAME"), "ROW_COUNT"
-    )
+    return df.selectExpr(f"{literal(table)} AS TABLE_NAME", "count(1) AS ROW_COUNT")
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union([row_count(df, name) for name, df in tables.items()])
 
 
-def _long_form(wide: DataFrame, rows: Sequence[Column]) -> DataFrame:
-    return wide.select(F.inline(F.array(*rows)))
+def _long_form(wide: DataFrame, rows: Sequence[str]) -> DataFrame:
+    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _footers_answer(df: DataFrame) -> bool:
@@ -74,28 +62,17 @@ def null_profile(df: DataFrame, table: str) -> DataFrame:
 
     frames = []
     for group in groups:
-        total = F.count(F.lit(1))
-        counts = []
+        counts, rows = ["count(1) AS _total"], []
         for i, f in group:
-            if isinstance(f.dataType, NESTED):
-                nulls = F.count_if(column(f.name).isNull())
-            else:
-                nulls = total - F.count(column(f.name))
-            counts.append(nulls.alias(f"_n{i}"))
-        wide = df.agg(total.alias("_total"), *counts)
-        rows = [
-            F.struct(
-                F.lit(table).alias("TABLE_NAME"),
-                F.lit(f.name).alias("COLUMN_NAME"),
-                F.lit(f.dataType.simpleString()).alias("DATA_TYPE"),
-                F.lit(i).alias("ORDINAL_POSITION"),
-                F.col("_total").alias("TOTAL_ROWS"),
-                F.col(f"_n{i}").alias("NULL_COUNT"),
-                (F.col(f"_n{i}") / F.greatest(F.col("_total"), F.lit(1))).alias("NULL_RATE"),
+            name = quoted(f.name)
+            nested = isinstance(f.dataType, NESTED)
+            counts.append(f"count_if({name} IS NULL) AS _n{i}" if nested else f"count(1) - count({name}) AS _n{i}")
+            rows.append(
+                f"struct({literal(table)} AS TABLE_NAME, {literal(f.name)} AS COLUMN_NAME, "
+                f"{literal(f.dataType.simpleString())} AS DATA_TYPE, {i} AS ORDINAL_POSITION, "
+                f"_total AS TOTAL_ROWS, _n{i} AS NULL_COUNT, _n{i} / greatest(_total, 1L) AS NULL_RATE)"
             )
-            for i, f in group
-        ]
-        frames.append(_long_form(wide, rows))
+        frames.append(_long_form(df.selectExpr(*counts), rows))
     return _union(frames)
 
 
@@ -124,27 +101,21 @@ def distinct_profile(
     names = list(columns if columns is not None else df.columns)
     if method not in ("exact", "approx"):
         raise ValueError(f"unknown method: {method}")
-    size = chunk if method == "exact" else max(len(names), 1)
+    if not names:
+        return df.sparkSession.createDataFrame(
+            [], "TABLE_NAME string, COLUMN_NAME string, DISTINCT_COUNT bigint"
+        )
+    size = chunk if method == "exact" else len(names)
+    call = "count(DISTINCT {})" if method == "exact" else f"approx_count_distinct({{}}, {rsd})"
     frames = []
     for start in range(0, len(names), size):
         part = names[start : start + size]
-        if method == "exact":
-            counts = [F.count_distinct(column(c)).alias(f"_d{i}") for i, c in enumerate(part)]
-        else:
-            counts = [F.approx_count_distinct(column(c), rsd).alias(f"_d{i}") for i, c in enumerate(part)]
+        counts = [f"{call.format(quoted(c))} AS _d{i}" for i, c in enumerate(part)]
         rows = [
-            F.struct(
-                F.lit(table).alias("TABLE_NAME"),
-                F.lit(c).alias("COLUMN_NAME"),
-                F.col(f"_d{i}").alias("DISTINCT_COUNT"),
-            )
+            f"struct({literal(table)} AS TABLE_NAME, {literal(c)} AS COLUMN_NAME, _d{i} AS DISTINCT_COUNT)"
             for i, c in enumerate(part)
         ]
-        frames.append(_long_form(df.agg(*counts), rows))
-    if not frames:
-        return df.sparkSession.createDataFrame(
-            [], "TABLE_NAME string, COLUMN_NAME string, DISTINCT_COUNT bigint"
-        )
+        frames.append(_long_form(df.selectExpr(*counts), rows))
     return _union(frames)
 
 
@@ -154,41 +125,38 @@ def column_profiles(df: DataFrame, table: str, method: str = "exact", chunk: int
         distinct_profile(df, table, method=method, chunk=chunk), allowMissingColumns=True
     )
     figures = [c for c in parts.columns if c not in ("TABLE_NAME", "COLUMN_NAME")]
-    return parts.groupBy("TABLE_NAME", "COLUMN_NAME").agg(*[F.max(c).alias(c) for c in figures])
+    return parts.groupBy("TABLE_NAME", "COLUMN_NAME").agg(*[F.expr(f"max({c}) AS {c}") for c in figures])
 
 
 def null_rate_report(profile: DataFrame, picks: Mapping[str, Sequence[str]]) -> DataFrame:
     """(col, null_rate) for chosen columns of several tables, from the long profile."""
     wanted = [f"{table}.{name}" for table, names in picks.items() for name in names]
-    col = F.concat_ws(".", "TABLE_NAME", "COLUMN_NAME")
-    return profile.filter(col.isin(wanted)).select(col.alias("col"), F.col("NULL_RATE").alias("null_rate"))
+    rates = profile.selectExpr("concat_ws('.', TABLE_NAME, COLUMN_NAME) AS col", "NULL_RATE AS null_rate")
+    return rates.filter(F.col("col").isin(wanted))
 
 
 def high_null_columns(profile: DataFrame, threshold: float = NULL_THRESHOLD) -> DataFrame:
     """Profile rows strictly above the threshold, with the text of the finding."""
-    text = F.concat(
-        F.lit("Null rate "), percent_text(F.col("NULL_RATE")), F.lit(f" exceeds threshold {threshold:.1%}")
-    )
-    return profile.filter(F.col("NULL_RATE") > threshold).withColumn("ISSUE", text)
+    tail = literal(f" exceeds threshold {threshold:.1%}")
+    text = f"concat('Null rate ', {percent_text('NULL_RATE')}, {tail})"
+    return profile.filter(F.col("NULL_RATE") > threshold).selectExpr("*", f"{text} AS ISSUE")
 
 
 def high_null_issues(
     profile: DataFrame, keys: Mapping[str, Sequence[str]], threshold: float = NULL_THRESHOLD
 ) -> DataFrame:
     """One table-level issue per column above the null-rate threshold."""
-    flagged = high_null_columns(profile, threshold)
-    key_text = _per_table({table: ", ".join(names) for table, names in keys.items()}, "")
-    return flagged.select(
+    return high_null_columns(profile, threshold).selectExpr(
         *issue_columns(
-            TABLE_NAME=F.col("TABLE_NAME"),
-            PRIMARY_KEY=key_text,
-            ROW_IDENTIFIER=labels.TABLE_LEVEL,
-            ISSUE_TYPE=labels.HIGH_NULL_TYPE,
-            ISSUE_DETAIL=F.concat(F.lit("Column "), "COLUMN_NAME", F.lit(": "), "ISSUE"),
-            SEVERITY=labels.HIGH_NULL_SEVERITY,
-            RULE_NAME=labels.HIGH_NULL_RULE,
-            COLUMN_NAME=F.col("COLUMN_NAME"),
-            NULL_RATE=F.col("NULL_RATE"),
+            TABLE_NAME="TABLE_NAME",
+            PRIMARY_KEY=per_value("TABLE_NAME", {table: ", ".join(names) for table, names in keys.items()}, ""),
+            ROW_IDENTIFIER=literal(labels.TABLE_LEVEL),
+            ISSUE_TYPE=literal(labels.HIGH_NULL_TYPE),
+            ISSUE_DETAIL="concat('Column ', COLUMN_NAME, ': ', ISSUE)",
+            SEVERITY=literal(labels.HIGH_NULL_SEVERITY),
+            RULE_NAME=literal(labels.HIGH_NULL_RULE),
+            COLUMN_NAME="COLUMN_NAME",
+            NULL_RATE="NULL_RATE",
         )
     )
 
@@ -199,23 +167,22 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], max_extra: int = 0) -> Da
     The count is combined before the shuffle, so a hot key reaches its task as one row per
     map task.
     """
-    counted = df.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias("DUPLICATE_COUNT"))
-    return counted.filter(F.col("DUPLICATE_COUNT") - 1 > max_extra)
+    counted = df.groupBy(*[quoted(k) for k in keys]).agg(F.expr("count(1) AS DUPLICATE_COUNT"))
+    return counted.filter(f"DUPLICATE_COUNT - 1 > {int(max_extra)}")
 
 
 def duplicate_key_issues(df: DataFrame, table: str, keys: Sequence[str], max_extra: int = 0) -> DataFrame:
     """One critical issue per duplicated key group."""
     groups = duplicate_keys(df, keys, max_extra)
-    count = F.col("DUPLICATE_COUNT").cast("string")
-    return groups.select(
+    return groups.selectExpr(
         *issue_columns(
-            TABLE_NAME=table,
-            PRIMARY_KEY=", ".join(keys),
+            TABLE_NAME=literal(table),
+            PRIMARY_KEY=literal(", ".join(keys)),
             ROW_IDENTIFIER=named_values(groups, keys),
-            ISSUE_TYPE=labels.DUPLICATE_TYPE,
-            ISSUE_DETAIL=F.concat(F.lit("Duplicate PK with count="), count),
-            SEVERITY=labels.DUPLICATE_SEVERITY,
-            RULE_NAME=labels.DUPLICATE_RULE,
+            ISSUE_TYPE=literal(labels.DUPLICATE_TYPE),
+            ISSUE_DETAIL="concat('Duplicate PK with count=', CAST(DUPLICATE_COUNT AS STRING))",
+            SEVERITY=literal(labels.DUPLICATE_SEVERITY),
+            RULE_NAME=literal(labels.DUPLICATE_RULE),
             ROW_VALUES=payload_map(groups, keys),
         )
     )
@@ -239,6 +206,20 @@ def profile_issues(
     return _union(parts)
 
 
+def _duplicate_group_counts(
+    tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], max_extra: int
+) -> DataFrame:
+    counted = [
+        duplicate_keys(df, keys[name], max_extra).selectExpr(f"{literal(name)} AS TABLE_NAME", "count(1) AS _groups")
+        for name, df in tables.items()
+        if keys.get(name)
+    ]
+    if counted:
+        return _union(counted)
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([], "TABLE_NAME string, _groups bigint")
+
+
 def table_profiles(
     tables: Mapping[str, DataFrame],
     keys: Mapping[str, Sequence[str]],
@@ -253,73 +234,66 @@ def table_profiles(
     groups are counted from the tables. All duplicate groups of a table are one table
     issue. Table issues come first in the text, then column issues in column order.
     """
-    spark = next(iter(tables.values())).sparkSession
     if profile is None:
         profile = null_profiles(tables)
     if duplicates is None:
-        counted = [
-            duplicate_keys(df, keys[name], max_extra)
-            .agg(F.count(F.lit(1)).alias("GROUPS"))
-            .select(F.lit(name).alias("TABLE_NAME"), "GROUPS")
-            for name, df in tables.items()
-            if keys.get(name)
-        ]
-        groups = _union(counted) if counted else spark.createDataFrame([], "TABLE_NAME string, GROUPS bigint")
+        groups = _duplicate_group_counts(tables, keys, max_extra)
     else:
-        groups = (
-            duplicates.filter(F.col("ISSUE_TYPE") == labels.DUPLICATE_TYPE)
-            .groupBy("TABLE_NAME")
-            .agg(F.count(F.lit(1)).alias("GROUPS"))
-        )
-
-    rank, text = F.col("_rank"), F.col("_text")
-    column_rows = high_null_columns(profile, threshold).select(
-        "TABLE_NAME",
-        F.col("ORDINAL_POSITION").alias("_rank"),
-        F.concat("COLUMN_NAME", F.lit(": "), "ISSUE").alias("_text"),
-        F.lit(None).cast("bigint").alias("ROW_COUNT"),
-    )
-    size_rows = profile.groupBy("TABLE_NAME").agg(F.max("TOTAL_ROWS").alias("ROW_COUNT"))
+        found = duplicates.filter(F.col("ISSUE_TYPE") == labels.DUPLICATE_TYPE)
+        groups = found.groupBy("TABLE_NAME").agg(F.expr("count(1) AS _groups"))
+
+    # Facts about a table, one text each; rank 0 is the table itself, others its columns.
+    no_rows = "CAST(NULL AS BIGINT) AS ROW_COUNT"
+    facts = [
+        high_null_columns(profile, threshold).selectExpr(
+            "TABLE_NAME", "ORDINAL_POSITION AS _rank", "concat(COLUMN_NAME, ': ', ISSUE) AS _text", no_rows
+        ),
+        profile.groupBy("TABLE_NAME").agg(F.expr("max(TOTAL_ROWS) AS ROW_COUNT")).selectExpr(
+            "TABLE_NAME", "CAST(NULL AS INT) AS _rank", "CAST(NULL AS STRING) AS _text", "ROW_COUNT"
+        ),
+    ]
     bare = {name: df for name, df in tables.items() if not df.columns}
     if bare:
-        size_rows = size_rows.unionByName(row_counts(bare))
-    size_rows = size_rows.select(
-        "TABLE_NAME",
-        F.when(F.col("TABLE_NAME").isin(list(bare)), 0).alias("_rank"),
-        F.when(F.col("TABLE_NAME").isin(list(bare)), labels.NO_COLUMNS).alias("_text"),
-        "ROW_COUNT",
-    )
-    key_list = _per_table({name: repr(list(names)) for name, names in keys.items()}, "[]")
-    key_text = _per_table({name: ", ".join(names) for name, names in keys.items()}, "")
-    found = F.concat(
-        F.lit("Found "), F.col("GROUPS").cast("string"), F.lit(" duplicate primary key group(s) on "), key_list
-    )
-    group_rows = groups.filter(F.col("GROUPS") > 0).select(
-        "TABLE_NAME", F.lit(0).alias("_rank"), found.alias("_text"), F.lit(None).cast("bigint").alias("ROW_COUNT")
+        facts.append(
+            row_counts(bare).selectExpr(
+                "TABLE_NAME", "0 AS _rank", f"{literal(labels.NO_COLUMNS)} AS _text", "ROW_COUNT"
+            )
+        )
+    key_lists = per_value("TABLE_NAME", {name: repr(list(names)) for name, names in keys.items()}, "[]")
+    facts.append(
+        groups.filter("_groups > 0").selectExpr(
+            "TABLE_NAME",
+            "0 AS _rank",
+            f"concat('Found ', CAST(_groups AS STRING), ' duplicate primary key group(s) on ', {key_lists}) AS _text",
+            no_rows,
+        )
     )
 
-    texts = F.collect_list(F.when(text.isNotNull(), F.struct(rank, text)))
     merged = (
-        column_rows.unionByName(size_rows)
-        .unionByName(group_rows)
+        _union(facts)
         .groupBy("TABLE_NAME")
         .agg(
-            F.max("ROW_COUNT").alias("ROW_COUNT"),
-            F.count_if(text.isNotNull() & (rank > 0)).alias("COLUMN_ISSUE_COUNT"),
-            F.count_if(text.isNotNull() & (rank == 0)).alias("TABLE_ISSUE_COUNT"),
-            F.array_sort(texts).alias("_texts"),
+            F.expr("max(ROW_COUNT) AS ROW_COUNT"),
+            F.expr("array_sort(collect_list(IF(_text IS NULL, NULL, struct(_rank, _text)))) AS _texts"),
+        )
+        .selectExpr(
+            "TABLE_NAME",
+            "ROW_COUNT",
+            "transform(filter(_texts, t -> t._rank > 0), t -> t._text) AS COLUMN_ISSUES",
+            "transform(filter(_texts, t -> t._rank = 0), t -> t._text) AS TABLE_ISSUES",
         )
     )
-    joined = F.array_join(F.transform("_texts", lambda t: t["_text"]), "; ")
-    return merged.select(
+    key_text = per_value("TABLE_NAME", {name: ", ".join(names) for name, names in keys.items()}, "")
+    issues = "array_join(concat(TABLE_ISSUES, COLUMN_ISSUES), '; ')"
+    return merged.selectExpr(
         "TABLE_NAME",
         "ROW_COUNT",
-        key_text.alias("PRIMARY_KEYS"),
-        "COLUMN_ISSUE_COUNT",
-        "TABLE_ISSUE_COUNT",
-        F.when(joined == "", labels.NO_TABLE_ISSUES).otherwise(joined).alias("ISSUES"),
-        F.transform(F.filter("_texts", lambda t: t["_rank"] > 0), lambda t: t["_text"]).alias("COLUMN_ISSUES"),
-        F.transform(F.filter("_texts", lambda t: t["_rank"] == 0), lambda t: t["_text"]).alias("TABLE_ISSUES"),
+        f"{key_text} AS PRIMARY_KEYS",
+        "CAST(size(COLUMN_ISSUES) AS BIGINT) AS COLUMN_ISSUE_COUNT",
+        "CAST(size(TABLE_ISSUES) AS BIGINT) AS TABLE_ISSUE_COUNT",
+        f"coalesce(nullif({issues}, ''), {literal(labels.NO_TABLE_ISSUES)}) AS ISSUES",
+        "COLUMN_ISSUES",
+        "TABLE_ISSUES",
     )
 
 
@@ -330,10 +304,11 @@ def stale_tables(
 
     ``as_of`` is explicit, so a rerun gives the same answer.
     """
-    frames = []
-    for name, (df, stamp_column) in tables.items():
-        newest = df.agg(F.max(column(stamp_column)).cast("timestamp_ntz").alias("LAST_UPDATED"))
-        frames.append(newest.select(F.lit(name).alias("TABLE_NAME"), "LAST_UPDATED"))
-    cutoff = F.lit(str(as_of)).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
-    stale = F.coalesce(F.col("LAST_UPDATED") < cutoff, F.lit(False))
-    return _union(frames).withColumn("IS_STALE", stale)
+    frames = [
+        df.selectExpr(
+            f"{literal(name)} AS TABLE_NAME", f"CAST(max({quoted(stamp)}) AS TIMESTAMP_NTZ) AS LAST_UPDATED"
+        )
+        for name, (df, stamp) in tables.items()
+    ]
+    cutoff = f"CAST({literal(str(as_of))} AS TIMESTAMP_NTZ) - INTERVAL '{int(days)}' DAY"
+    return _union(frames).selectExpr("*", f"coalesce(LAST_UPDATED < {cutoff}, false) AS IS_STALE")

@@ -8,11 +8,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import labels
-from ..functions.text import column, joined_values, payload_map, row_fingerprint
+from ..functions.text import joined_values, literal, payload_map, quoted, row_fingerprint
+from ..sources.catalog import table_ref
 from ..sources.staging import Stage
 from .issues import ISSUE_SCHEMA, combine_issues, empty_issues, issue_columns, stamp
 
@@ -68,22 +68,21 @@ def rule_issues(found: DataFrame, rule: Rule) -> DataFrame:
     """Violating rows as issues; what the query did not return comes from the rule."""
     by_upper = {name.upper(): name for name in found.columns}
 
-    def returned(name: str, default: str) -> Column:
-        return column(by_upper[name]) if name in by_upper else F.lit(default)
+    def returned(name: str, default: str) -> str:
+        return quoted(by_upper[name]) if name in by_upper else literal(default)
 
     keys = [by_upper.get(k.upper(), k) for k in rule.primary_key]
     reserved = RESULT_COLUMNS + SET_BY_RULE
     payload = [name for upper, name in by_upper.items() if upper not in reserved]
-    identifier = joined_values(found, keys) if keys else row_fingerprint(found)
-    return found.select(
+    return found.selectExpr(
         *issue_columns(
-            TABLE_NAME=rule.table,
-            PRIMARY_KEY=", ".join(rule.primary_key),
-            ROW_IDENTIFIER=identifier,
+            TABLE_NAME=literal(rule.table),
+            PRIMARY_KEY=literal(", ".join(rule.primary_key)),
+            ROW_IDENTIFIER=joined_values(found, keys) if keys else row_fingerprint(found),
             ISSUE_TYPE=returned("ISSUE_TYPE", rule.id),
             ISSUE_DETAIL=returned("ISSUE_DETAIL", rule.description or rule.id),
-            SEVERITY=rule.severity,
-            RULE_NAME=rule.title,
+            SEVERITY=literal(rule.severity),
+            RULE_NAME=literal(rule.title),
             ROW_VALUES=payload_map(found, payload),
         )
     )
@@ -92,28 +91,27 @@ def rule_issues(found: DataFrame, rule: Rule) -> DataFrame:
 def check_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Issues of any number of row-local rules over one table, from one scan."""
     names = {c.upper(): c for c in df.columns}
-    structs = []
+    issues = []
     for rule in rules:
         keys = [names.get(k.upper(), k) for k in rule.primary_key]
         values = [names.get(c.upper(), c) for c in dict.fromkeys((*keys, *rule.payload))]
-        issue = F.struct(
-            *issue_columns(
-                TABLE_NAME=rule.table,
-                PRIMARY_KEY=", ".join(rule.primary_key),
-                ROW_IDENTIFIER=joined_values(df, keys) if keys else row_fingerprint(df),
-                ISSUE_TYPE=rule.id,
-                ISSUE_DETAIL=F.expr(rule.detail) if rule.detail else F.lit(rule.description or rule.id),
-                SEVERITY=rule.severity,
-                RULE_NAME=rule.title,
-                ROW_VALUES=payload_map(df, values),
-            )
+        columns = issue_columns(
+            TABLE_NAME=literal(rule.table),
+            PRIMARY_KEY=literal(", ".join(rule.primary_key)),
+            ROW_IDENTIFIER=joined_values(df, keys) if keys else row_fingerprint(df),
+            ISSUE_TYPE=literal(rule.id),
+            ISSUE_DETAIL=rule.detail or literal(rule.description or rule.id),
+            SEVERITY=literal(rule.severity),
+            RULE_NAME=literal(rule.title),
+            ROW_VALUES=payload_map(df, values),
         )
-        structs.append(F.when(F.expr(rule.where), issue))
-    any_rule = F.expr(" OR ".join(f"({rule.where})" for rule in rules))
-    flagged = df.filter(any_rule)
-    if len(structs) == 1:
-        return flagged.select(F.inline(F.array(*structs)))
-    return flagged.select(F.inline(F.array_compact(F.array(*structs))))
+        issues.append((rule.where, columns))
+    if len(issues) == 1:
+        where, columns = issues[0]
+        return df.where(where).selectExpr(*columns)
+    cases = ", ".join(f"IF({where}, struct({', '.join(columns)}), NULL)" for where, columns in issues)
+    any_rule = " OR ".join(f"({where})" for where, _ in issues)
+    return df.where(any_rule).selectExpr(f"inline(array_compact(array({cases})))")
 
 
 def rule_error(spark: SparkSession, rule: Rule, error: Exception) -> DataFrame:
@@ -158,8 +156,6 @@ def run_rule(
     try:
         planned = stamp(_plan(spark, rule, database, schema, tables), database, schema)
         if stage is None:
-            # Spark SQL errors surface here already; the schema call forces analysis.
-            planned.schema
             return planned
         return stage.write(planned, f"rule={rule.id}")
     except Exception as error:  # whatever goes wrong in a rule is a finding of its own
@@ -169,8 +165,6 @@ def run_rule(
 
 
 def _catalog_lookup(spark: SparkSession, database: str, schema: str) -> Tables:
-    from ..sources.catalog import table_ref
-
     return lambda name: spark.table(table_ref(database, schema, name))
 
 
@@ -216,7 +210,6 @@ def run_rules(
         try:
             planned = stamp(check_rows(tables(part[0].table), part), database, schema)
             if stage is None:
-                planned.schema
                 return [planned]
             return [stage.write(planned, f"rules={part[0].table}")]
         except Exception:  # rerun below tells which of the rules is to blame

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..functions.text import literal
 
 GROUP = ("ISSUE_TYPE", "RULE_NAME", "TABLE_NAME")
 
@@ -13,65 +14,60 @@ GROUP = ("ISSUE_TYPE", "RULE_NAME", "TABLE_NAME")
 def rule_summary(issues: DataFrame) -> DataFrame:
     """Issue counts by type, rule and severity, largest first; null keys are kept."""
     keys = ["ISSUE_TYPE", "RULE_NAME", "SEVERITY"]
-    counted = issues.groupBy(*keys).agg(F.count(F.lit(1)).alias("ISSUE_COUNT"))
+    counted = issues.groupBy(*keys).agg(F.expr("count(1) AS ISSUE_COUNT"))
     return counted.orderBy(F.desc("ISSUE_COUNT"), *keys)
 
 
-def severity_rank(severity="SEVERITY"):
+def severity_rank(severity: str = "SEVERITY") -> str:
     """1 for critical down to 4 for low; 5 for anything else."""
-    rank = F.lit(len(labels.SEVERITIES) + 1)
-    for place, name in enumerate(labels.SEVERITIES, start=1):
-        rank = F.when(F.col(severity) == name, place).otherwise(rank)
-    return rank
+    ranks = " ".join(f"WHEN '{name}' THEN {place}" for place, name in enumerate(labels.SEVERITIES, start=1))
+    return f"CASE {severity} {ranks} ELSE {len(labels.SEVERITIES) + 1} END"
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:
-    counted = issues.groupBy("SEVERITY").agg(F.count(F.lit(1)).alias("ISSUE_COUNT"))
-    return counted.withColumn("SEVERITY_RANK", severity_rank()).orderBy("SEVERITY_RANK", "SEVERITY")
+    counted = issues.groupBy("SEVERITY").agg(F.expr("count(1) AS ISSUE_COUNT"))
+    return counted.selectExpr("*", f"{severity_rank()} AS SEVERITY_RANK").orderBy("SEVERITY_RANK", "SEVERITY")
 
 
 def overview(issues: DataFrame, table_profiles: DataFrame, generated: str) -> DataFrame:
     """Five (Metric, Value) rows; the time of the report is passed in."""
 
-    def metric(place, name, value):
-        return F.struct(
-            F.lit(place).alias("_place"), F.lit(name).alias("Metric"), value.cast("string").alias("Value")
+    def metric(place: int, name: str, value: str) -> str:
+        return f"struct({place} AS _place, {literal(name)} AS Metric, CAST({value} AS STRING) AS Value)"
+
+    def rows(*metrics: str) -> str:
+        return f"inline(array({', '.join(metrics)}))"
+
+    counts = issues.selectExpr(
+        "count(1) AS total",
+        "count_if(SEVERITY = 'critical') AS critical",
+        "count_if(SEVERITY = 'high') AS high",
+    ).selectExpr(
+        rows(
+            metric(1, labels.METRIC_TOTAL, "total"),
+            metric(3, labels.METRIC_CRITICAL, "critical"),
+            metric(4, labels.METRIC_HIGH, "high"),
+            metric(5, labels.METRIC_GENERATED, literal(generated)),
         )
-
-    severity = F.col("SEVERITY")
-    counts = issues.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(severity == "critical").alias("critical"),
-        F.count_if(severity == "high").alias("high"),
-    ).select(
-        F.inline(
-            F.array(
-                metric(1, labels.METRIC_TOTAL, F.col("total")),
-                metric(3, labels.METRIC_CRITICAL, F.col("critical")),
-                metric(4, labels.METRIC_HIGH, F.col("high")),
-                metric(5, labels.METRIC_GENERATED, F.lit(generated)),
-            )
-        )
-    )
-    scanned = table_profiles.agg(F.count_distinct("TABLE_NAME").alias("n")).select(
-        F.inline(F.array(metric(2, labels.METRIC_TABLES, F.col("n"))))
     )
-    return counts.unionByName(scanned).orderBy("_place").select("Metric", "Value")
+    scanned = table_profiles.selectExpr("count(DISTINCT TABLE_NAME) AS n")
+    scanned = scanned.selectExpr(rows(metric(2, labels.METRIC_TABLES, "n")))
+    return counts.union(scanned).orderBy("_place").select("Metric", "Value")
 
 
 def run_result(issues: DataFrame, tables_scanned: int, location: str | None = None) -> DataFrame:
     """One row for the caller: listed tables, issues, and where the report went."""
-    return issues.agg(F.count(F.lit(1)).alias("total_issues")).select(
-        F.lit(location).cast("string").alias("output_path"),
-        F.lit(tables_scanned).cast("bigint").alias("tables_scanned"),
-        "total_issues",
+    return issues.selectExpr(
+        f"CAST({literal(location)} AS STRING) AS output_path",
+        f"{int(tables_scanned)}L AS tables_scanned",
+        "count(1) AS total_issues",
     )
 
 
 def issue_groups(issues: DataFrame) -> DataFrame:
     """One row per (type, rule, table) with its size and the severity of its first row."""
-    first = F.min(F.struct("ROW_IDENTIFIER", "ISSUE_DETAIL", "SEVERITY"))["SEVERITY"]
+    first = "min(struct(ROW_IDENTIFIER, ISSUE_DETAIL, SEVERITY)).SEVERITY"
     return issues.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("ISSUE_COUNT"),
-        F.coalesce(first, F.lit(labels.DEFAULT_SEVERITY)).alias("SEVERITY"),
+        F.expr("count(1) AS ISSUE_COUNT"),
+        F.expr(f"coalesce({first}, {literal(labels.DEFAULT_SEVERITY)}) AS SEVERITY"),
     )

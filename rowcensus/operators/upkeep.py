@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.lookup import lookup_join
-from ..functions.text import column
+from ..functions.text import literal, quoted
 
 
 def missing_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,15 +16,17 @@ def missing_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
     The target is first cut down to the keys the source asks about, so when the source is
     small the target is only scanned, never shuffled; repeats fold before the anti join.
     """
-    names = {k: k for k in keys}
-    key_rows = target.select(*[column(k) for k in keys]).dropna()
-    present = lookup_join(key_rows, source.select(*[column(k) for k in keys]), names, how="left_semi")
-    return lookup_join(source, present, names, how="left_anti")
+    on = {k: k for k in keys}
+    names = [quoted(k) for k in keys]
+    key_rows = target.selectExpr(*names).dropna()
+    present = lookup_join(key_rows, source.selectExpr(*names), on, how="left_semi")
+    return lookup_join(source, present, on, how="left_anti")
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The target plus the source rows whose key is missing; matched rows stay untouched."""
-    return target.unionByName(missing_rows(target, source, keys).select(*[column(c) for c in target.columns]))
+    fresh = missing_rows(target, source, keys)
+    return target.union(fresh.selectExpr(*[quoted(c) for c in target.columns]))
 
 
 def apply_corrections(
@@ -40,28 +41,27 @@ def apply_corrections(
     With ``sequence``, the correction with the largest value of that column wins. Without
     it, two corrections for one key are an error, never a silent choice.
     """
-    new = F.struct(*[column(c).alias(c) for c in columns])
+    new = f"struct({', '.join(f'{quoted(c)} AS {quoted(c)}' for c in columns)})"
     if sequence is None:
-        repeated = F.raise_error(F.lit("more than one correction for a key: " + ", ".join(keys)))
-        new_values = F.when(F.count(F.lit(1)) > 1, repeated.cast("boolean"))
-        aggregates = {"_repeated": new_values, "_new": F.first(new)}
+        text = literal("more than one correction for a key: " + ", ".join(keys))
+        values = {"_new": f"IF(count(1) > 1, raise_error({text}), first({new}))"}
     else:
-        aggregates = {"_new": F.max_by(new, column(sequence))}
-    joined = lookup_join(target, corrections, {k: k for k in keys}, aggregates)
-    matched = F.col("_new").isNotNull()
-    if sequence is None:
-        matched = matched & F.col("_repeated").isNull()
+        values = {"_new": f"max_by({new}, {quoted(sequence)})"}
+    joined = lookup_join(target, corrections, {k: k for k in keys}, values)
+    corrected = set(columns)
     out = []
     for f in target.schema.fields:
-        col = column(f.name)
-        if f.name in columns:
-            col = F.when(matched, F.col("_new")[f.name].cast(f.dataType)).otherwise(col)
-        out.append(col.alias(f.name))
-    return joined.select(*out)
+        name = quoted(f.name)
+        if f.name in corrected:
+            new_value = f"CAST(_new.{name} AS {f.dataType.simpleString()})"
+            out.append(f"IF(_new IS NOT NULL, {new_value}, {name}) AS {name}")
+        else:
+            out.append(name)
+    return joined.selectExpr(*out)
 
 
 def ensure_column(df: DataFrame, name: str, data_type: str) -> DataFrame:
     """Add a null-filled, typed column unless the table already has it (any case)."""
     if name.upper() in (c.upper() for c in df.columns):
         return df
-    return df.withColumn(name, F.lit(None).cast(data_type))
+    return df.selectExpr("*", f"CAST(NULL AS {data_type}) AS {quoted(name)}")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.text import json_text, stripped
+from ..functions.text import json_text, literal, quoted
 from ..operators.issues import ISSUE_SCHEMA
 from ..operators.summary import GROUP
 
@@ -31,56 +31,53 @@ def issue_samples(issues: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:
     Spark keeps only ``size`` rows per group and task before the shuffle, so a group that
     holds most of the issues does not flood the task that ranks it.
     """
-    order = ["ROW_IDENTIFIER", "ISSUE_DETAIL", F.map_entries("ROW_VALUES")]
-    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order))
-    return issues.withColumn("SAMPLE_NO", rank).filter(F.col("SAMPLE_NO") <= size)
+    order = "ROW_IDENTIFIER, ISSUE_DETAIL, map_entries(ROW_VALUES)"
+    rank = f"row_number() OVER (PARTITION BY {', '.join(GROUP)} ORDER BY {order})"
+    return issues.selectExpr("*", f"{rank} AS SAMPLE_NO").where(f"SAMPLE_NO <= {int(size)}")
 
 
 def issue_prompts(issues: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:
     """One prompt per (type, rule, table); the severity is that of the group's first row."""
-    samples = issue_samples(issues, size)
-    row = F.struct("SAMPLE_NO", F.to_json(F.struct(*ISSUE_SCHEMA.names)).alias("ROW"), "SEVERITY")
-    grouped = samples.groupBy(*GROUP).agg(F.collect_list(row).alias("_rows"))
-    ready = grouped.withColumn("_rows", F.array_sort("_rows")).select(
-        *GROUP,
-        F.coalesce(F.col("_rows")[0]["SEVERITY"], F.lit(labels.DEFAULT_SEVERITY)).alias("SEVERITY"),
-        F.concat(
-            F.lit("["), F.array_join(F.transform("_rows", lambda r: r["ROW"]), ","), F.lit("]")
-        ).alias("SAMPLE_ROWS"),
+    names = ", ".join(ISSUE_SCHEMA.names)
+    record = f"struct(SAMPLE_NO, to_json(struct({names})) AS ROW, SEVERITY)"
+    grouped = issue_samples(issues, size).groupBy(*GROUP).agg(
+        F.expr(f"array_sort(collect_list({record})) AS _rows")
     )
-    rule = F.coalesce(F.nullif(F.col("RULE_NAME"), F.lit("")), F.col("ISSUE_TYPE"))
-    prompt = F.concat_ws(
-        "\n",
-        F.lit("You review data quality findings for a governance team."),
-        F.concat(F.lit("Table: "), F.coalesce("TABLE_NAME", F.lit("None"))),
-        F.concat(F.lit("Kind of issue: "), F.coalesce("ISSUE_TYPE", F.lit("None"))),
-        F.concat(F.lit("Rule: "), F.coalesce(rule, F.lit("None"))),
-        F.concat(F.lit("Severity: "), "SEVERITY"),
-        F.concat(F.lit("Sample rows as JSON: "), "SAMPLE_ROWS"),
-        F.lit(CONTRACT),
+    ready = grouped.selectExpr(
+        *GROUP,
+        f"coalesce(_rows[0].SEVERITY, {literal(labels.DEFAULT_SEVERITY)}) AS SEVERITY",
+        "concat('[', array_join(transform(_rows, r -> r.ROW), ','), ']') AS SAMPLE_ROWS",
     )
-    return ready.withColumn("PROMPT", prompt)
-
-
-def _bullets(items: str) -> Column:
-    listed = F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i)), "\n")
-    return F.when(F.size(items) > 0, listed).otherwise("- None")
+    lines = [
+        literal("You review data quality findings for a governance team."),
+        "concat('Table: ', coalesce(TABLE_NAME, 'None'))",
+        "concat('Kind of issue: ', coalesce(ISSUE_TYPE, 'None'))",
+        "concat('Rule: ', coalesce(nullif(RULE_NAME, ''), ISSUE_TYPE, 'None'))",
+        "concat('Severity: ', SEVERITY)",
+        "concat('Sample rows as JSON: ', SAMPLE_ROWS)",
+        literal(CONTRACT),
+    ]
+    return ready.selectExpr("*", f"concat_ws(chr(10), {', '.join(lines)}) AS PROMPT")
 
 
 def table_prompts(table_profiles: DataFrame) -> DataFrame:
     """One prompt per table that has an issue of its own or in a column."""
-    affected = table_profiles.filter(F.col("COLUMN_ISSUE_COUNT") + F.col("TABLE_ISSUE_COUNT") > 0)
-    prompt = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Describe the data quality of the table "), "TABLE_NAME", F.lit(" for a governance report.")),
-        F.concat(F.lit("Rows: "), F.col("ROW_COUNT").cast("string")),
-        F.lit("Issues in columns:"),
-        _bullets("COLUMN_ISSUES"),
-        F.lit("Issues of the table itself:"),
-        _bullets("TABLE_ISSUES"),
-        F.lit("Write two or three specific sentences, without bullet points."),
-    )
-    return affected.select("TABLE_NAME", prompt.alias("PROMPT"))
+
+    def bullets(items: str) -> str:
+        listed = f"array_join(transform({items}, i -> concat('- ', i)), chr(10))"
+        return f"IF(size({items}) > 0, {listed}, '- None')"
+
+    lines = [
+        "concat('Describe the data quality of the table ', TABLE_NAME, ' for a governance report.')",
+        "concat('Rows: ', CAST(ROW_COUNT AS STRING))",
+        literal("Issues in columns:"),
+        bullets("COLUMN_ISSUES"),
+        literal("Issues of the table itself:"),
+        bullets("TABLE_ISSUES"),
+        literal("Write two or three specific sentences, without bullet points."),
+    ]
+    affected = table_profiles.where("COLUMN_ISSUE_COUNT + TABLE_ISSUE_COUNT > 0")
+    return affected.selectExpr("TABLE_NAME", f"concat_ws(chr(10), {', '.join(lines)}) AS PROMPT")
 
 
 def respond(
@@ -148,28 +145,24 @@ def parse_responses(
     parsed as the only element of an array, since the parser would otherwise accept
     whatever follows the first object.
     """
-    raw = F.col(response)
-    fields = ", ".join(f"{key}: string" for key in labels.RESPONSE_COLUMNS)
-    parsed = F.from_json(
-        F.concat(F.lit("["), json_text(raw), F.lit("]")),
-        f"array<struct<{fields}>>",
-        {"allowSingleQuotes": "false"},
-    )
-    rule = F.coalesce(F.nullif(F.col(rule_name), F.lit("")), F.col(issue_type), F.lit("None"))
-    note = F.concat(F.lit("Issue: "), F.coalesce(issue_type, F.lit("None")), F.lit(" / "), rule)
+    raw, kind, rule = quoted(response), quoted(issue_type), quoted(rule_name)
+    schema = f"array<struct<{', '.join(f'{key}: string' for key in labels.RESPONSE_COLUMNS)}>>"
+    strict = "map('allowSingleQuotes', 'false')"
+    parsed = f"from_json(concat('[', _json, ']'), '{schema}', {strict})"
     fallback = {
-        "llm_summary": F.substring(raw, 1, FALLBACK_CHARS),
-        "business_impact": F.lit(""),
-        "recommended_fix": F.lit(labels.MANUAL_FIX),
-        "governance_note": note,
+        "llm_summary": f"substring({raw}, 1, {FALLBACK_CHARS})",
+        "business_impact": "''",
+        "recommended_fix": literal(labels.MANUAL_FIX),
+        "governance_note": f"concat('Issue: ', coalesce({kind}, 'None'), ' / ', "
+        f"coalesce(nullif({rule}, ''), {kind}, 'None'))",
     }
-    out = df.withColumn("_parsed", parsed)
-    one_object = (F.size("_parsed") == 1) & F.col("_parsed")[0].isNotNull()
-    columns = {}
-    for key, name in labels.RESPONSE_COLUMNS.items():
-        value = F.when(one_object, F.coalesce(F.col("_parsed")[0][key], F.lit(""))).otherwise(fallback[key])
-        columns[name] = F.when(raw.isNull(), "").otherwise(value)
-    return out.withColumns(columns).drop("_parsed")
+    kept = [quoted(c) for c in df.columns]
+    texts = [
+        f"CASE WHEN {raw} IS NULL THEN '' WHEN size(_parsed) = 1 AND _parsed[0] IS NOT NULL "
+        f"THEN coalesce(_parsed[0].{key}, '') ELSE {fallback[key]} END AS {name}"
+        for key, name in labels.RESPONSE_COLUMNS.items()
+    ]
+    return json_text(df, raw, "_json").selectExpr(*kept, f"{parsed} AS _parsed").selectExpr(*kept, *texts)
 
 
 def attach_texts(issues: DataFrame, texts: DataFrame) -> DataFrame:
@@ -179,12 +172,10 @@ def attach_texts(issues: DataFrame, texts: DataFrame) -> DataFrame:
     enough; beyond that, AQE splits the groups that hold most of the issues.
     """
     names = list(labels.RESPONSE_COLUMNS.values())
-    right = texts.select(*[F.col(k).alias(f"_{k}") for k in GROUP], *names)
-    condition = F.lit(True)
-    for key in GROUP:
-        condition = condition & issues[key].eqNullSafe(right[f"_{key}"])
-    joined = issues.join(right, condition, "left")
-    return joined.select(*issues.columns, *[F.coalesce(n, F.lit("")).alias(n) for n in names])
+    right = texts.selectExpr(*[f"{k} AS _{k}" for k in GROUP], *names)
+    same_group = F.expr(" AND ".join(f"{k} <=> _{k}" for k in GROUP))
+    joined = issues.join(right, same_group, "left")
+    return joined.selectExpr(*[quoted(c) for c in issues.columns], *[f"coalesce({n}, '') AS {n}" for n in names])
 
 
 def template_answers() -> Callable[[list[str]], list[str]]:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import labels
+from ..functions.text import NESTED, quoted
 
 # Dataset names in report order.
 DATASETS = ("Overview", "Rule_Summary", "Table_Profiles", "Row_Issues", "LLM_Table_Summaries")
@@ -17,11 +16,8 @@ PREFIX = "dq_governance_report"
 
 def _as_text(df: DataFrame) -> DataFrame:
     """Maps and arrays as JSON, for formats without nested types."""
-    nested = (T.MapType, T.ArrayType, T.StructType)
-    changed = {
-        f.name: F.to_json(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, nested)
-    }
-    return df.withColumns(changed) if changed else df
+    columns = [(quoted(f.name), isinstance(f.dataType, NESTED)) for f in df.schema.fields]
+    return df.selectExpr(*[f"to_json({name}) AS {name}" if nested else name for name, nested in columns])
 
 
 def write_report(

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import quoted
+from ..functions.text import literal, quoted
 
 KEY_PROPERTY = "dq.primary_key"
 KEY_SUFFIXES = ("ID", "KEY")
@@ -28,14 +28,16 @@ def register_parquet(
 ) -> None:
     """Register Parquet folders as external tables, optionally with declared keys."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(schema)}")
+    known = {row["tableName"].upper() for row in spark.sql(f"SHOW TABLES IN {quoted(schema)}").collect()}
     for name, path in paths.items():
-        location = path.replace("'", "\\'")
+        if name.upper() in known:
+            continue
         properties = ""
         if keys and keys.get(name):
             properties = f" TBLPROPERTIES ('{KEY_PROPERTY}' = '{','.join(keys[name])}')"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table_ref(schema, name)} "
-            f"USING parquet LOCATION '{location}'{properties}"
+            f"USING parquet LOCATION {literal(path)}{properties}"
         )
 
 
@@ -66,9 +68,9 @@ def column_metadata(
     that holds no null counts as NOT NULL.
     """
     if profile is not None:
-        seen = F.when(F.col("NULL_COUNT") > 0, "YES").otherwise("NO")
-        return profile.filter(F.col("TABLE_NAME") == table).select(
-            "TABLE_NAME", "COLUMN_NAME", "DATA_TYPE", seen.alias("IS_NULLABLE"), "ORDINAL_POSITION"
+        return profile.filter(F.col("TABLE_NAME") == table).selectExpr(
+            "TABLE_NAME", "COLUMN_NAME", "DATA_TYPE",
+            "IF(NULL_COUNT > 0, 'YES', 'NO') AS IS_NULLABLE", "ORDINAL_POSITION",
         )
     rows = [
         (table, f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO", i)
@@ -114,10 +116,8 @@ def not_null_columns(tables: Mapping[str, DataFrame], profile: DataFrame) -> dic
     Collects names of candidate key columns only, so its size follows the schema and
     never the data.
     """
-    candidates = F.lit(False)
-    for suffix in KEY_SUFFIXES:
-        candidates = candidates | F.upper("COLUMN_NAME").endswith(suffix)
-    complete = profile.filter(candidates & (F.col("NULL_COUNT") == 0))
+    suffix = " OR ".join(f"endswith(upper(COLUMN_NAME), '{suffix}')" for suffix in KEY_SUFFIXES)
+    complete = profile.where(f"NULL_COUNT = 0 AND ({suffix})")
     found: dict[str, set[str]] = {name: set() for name in tables}
     for row in complete.select("TABLE_NAME", "COLUMN_NAME").collect():
         found[row["TABLE_NAME"]].add(row["COLUMN_NAME"])

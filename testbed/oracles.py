@@ -265,7 +265,8 @@ texts AS (SELECT *, CASE WHEN first_brace > 0 AND last_brace > first_brace
 
 def _parsed(key: str, fallback: str) -> str:
     value = f"coalesce(json_extract_string(json, '$.{key}'), '')"
-    valid = "json_valid(json) AND json LIKE '{%'"
+    # json_valid lets a trailing comma pass, which is not JSON.
+    valid = "json_valid(json) AND json LIKE '{%' AND NOT regexp_matches(json, ',\\s*}')"
     return f"CASE WHEN {valid} THEN {value} ELSE {fallback} END AS {LLM_COLUMNS[key]}"
 
 

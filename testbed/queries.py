@@ -365,7 +365,7 @@ def enrich_template(spark, sf):
 
 def extract_json(spark, sf):
     answers = derived(spark, sf, "events_answers")
-    return answers.select("event_id", json_text(F.col("RESPONSE")).alias("json"))
+    return json_text(answers, "RESPONSE", "json").select("event_id", "json")
 
 
 def parse_responses(spark, sf):
