@@ -14,8 +14,15 @@ from pyspark.sql import types as T
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
+FENCE_MARK = "```"
 FENCE = r"(?isU)```(?:json)?\s*(.*?)\s*```"
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def quoted(name: str) -> str:
     """Backtick-quote one identifier, so odd column names stay safe."""
@@ -86,8 +93,7 @@ def per_value(column: str, texts: Mapping[str, str], default: str) -> str:
 
 def stripped(text: str) -> str:
     """Remove leading and trailing white space, Unicode spaces included."""
-    pattern = literal(r"(?U)\A\s+|\s+\z")
-    return f"regexp_replace({text}, {pattern}, '')"
+    return f"trim(BOTH {literal(WHITE_SPACE)} FROM {text})"
 
 
 def json_text(df: DataFrame, raw: str, name: str) -> DataFrame:
@@ -96,8 +102,9 @@ def json_text(df: DataFrame, raw: str, name: str) -> DataFrame:
     Takes the first fenced block if there is one, then the span from the first opening to
     the last closing brace; text without such a span is returned as it is.
     """
-    fence = literal(FENCE)
-    body = stripped(f"IF(regexp_like({raw}, {fence}), regexp_extract({raw}, {fence}, 1), {raw})")
+    fence, mark = literal(FENCE), literal(FENCE_MARK)
+    fenced = f"contains({raw}, {mark}) AND regexp_like({raw}, {fence})"
+    body = stripped(f"IF({fenced}, regexp_extract({raw}, {fence}, 1), {raw})")
     kept = [quoted(c) for c in df.columns]
     span = "substring(_body, _first, _last - _first + 1)"
     return (

@@ -148,7 +148,9 @@ def parse_responses(
     raw, kind, rule = quoted(response), quoted(issue_type), quoted(rule_name)
     schema = f"array<struct<{', '.join(f'{key}: string' for key in labels.RESPONSE_COLUMNS)}>>"
     strict = "map('allowSingleQuotes', 'false')"
-    parsed = f"from_json(concat('[', _json, ']'), '{schema}', {strict})"
+    # Prose is told apart by its ends: a parse that fails costs an exception per row.
+    is_object = "startswith(_json, '{') AND endswith(_json, '}')"
+    parsed = f"IF({is_object}, from_json(concat('[', _json, ']'), '{schema}', {strict}), NULL)"
     fallback = {
         "llm_summary": f"substring({raw}, 1, {FALLBACK_CHARS})",
         "business_impact": "''",

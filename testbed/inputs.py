@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from rowcensus.sources.catalog import register_parquet
 
@@ -82,20 +83,40 @@ def as_sql(name: str) -> str:
     return f"SELECT {columns} FROM {source_of(name)}"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is inferred once per path, as a catalog would remember it."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path in _schemas:
+        return spark.read.schema(_schemas[path]).parquet(path)
+    df = spark.read.parquet(path)
+    _schemas[path] = df.schema
+    return df
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source = table(spark, sf_dir, source_of(name))
+def project(source: DataFrame, name: str) -> DataFrame:
     return source.selectExpr(*[f"{expr} AS {alias}" for alias, expr in PROJECTIONS[name].items()])
 
 
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return project(table(spark, sf_dir, source_of(name)), name)
+
+
 def derived_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four inputs that the scan queries look at together."""
     return {name: derived(spark, sf_dir, name) for name in SCANNED}
 
 
+def scanned_and_references(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The same four, and the raw tables that rules look into."""
+    raw = {source_of(name): table(spark, sf_dir, source_of(name)) for name in SCANNED}
+    inputs = {name: project(raw[source_of(name)], name) for name in SCANNED}
+    references = {name: table(spark, sf_dir, name) for name in ("part", "supplier")}
+    return {**inputs, "customer": raw["customer"], **references}
+
+
 KEYS = {
     "customer_d": ["c_custkey"],
     "events_d": ["event_id"],

@@ -26,7 +26,7 @@ from rowcensus.plans.scan import scan, table_keys
 from rowcensus.sources import catalog as C
 from rowcensus.sources.staging import Stage
 
-from .inputs import KEYS, TABLES, derived, derived_tables, registered, table
+from .inputs import KEYS, SCANNED, TABLES, derived, derived_tables, registered, scanned_and_references, table
 
 DATABASE = "spark_catalog"
 SHOWN = (
@@ -102,25 +102,18 @@ RULES = (
 )
 
 
-def _known(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    raw = {name: table(spark, sf, name) for name in ("customer", "part", "supplier")}
-    return {**derived_tables(spark, sf), **raw}
-
-
 def _lookup(spark: SparkSession, sf: str):
-    return _known(spark, sf).__getitem__
-
-
-def _rule_issues(spark: SparkSession, sf: str, stage: Stage | None = None) -> DataFrame:
-    return run_rules(spark, RULES, DATABASE, registered(spark, sf), _known(spark, sf), stage)
+    return scanned_and_references(spark, sf).__getitem__
 
 
-def _profile_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return P.profile_issues(derived_tables(spark, sf), KEYS)
+def _rule_issues(spark: SparkSession, sf: str, known: dict[str, DataFrame]) -> DataFrame:
+    return run_rules(spark, RULES, DATABASE, registered(spark, sf), known)
 
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
-    return combine_issues(spark, [_profile_issues(spark, sf), _rule_issues(spark, sf)])
+    known = scanned_and_references(spark, sf)
+    found = P.profile_issues({name: known[name] for name in SCANNED}, KEYS)
+    return combine_issues(spark, [found, _rule_issues(spark, sf, known)])
 
 
 def _shown(issues: DataFrame) -> DataFrame:
@@ -231,7 +224,7 @@ def stale_tables(spark, sf):
 
 
 def profile_issues(spark, sf):
-    return _shown(_profile_issues(spark, sf))
+    return _shown(P.profile_issues(derived_tables(spark, sf), KEYS))
 
 
 def table_profiles(spark, sf):
@@ -286,7 +279,7 @@ def run_sql_rule(spark, sf):
 
 
 def run_all_rules(spark, sf):
-    return _shown(_rule_issues(spark, sf))
+    return _shown(_rule_issues(spark, sf, scanned_and_references(spark, sf)))
 
 
 def rule_error(spark, sf):
@@ -324,7 +317,7 @@ def overview(spark, sf):
 
 
 def run_result(spark, sf):
-    return S.run_result(_combined(spark, sf), len(derived_tables(spark, sf)), "report")
+    return S.run_result(_combined(spark, sf), len(SCANNED), "report")
 
 
 def full_scan(spark, sf):
@@ -334,7 +327,7 @@ def full_scan(spark, sf):
 
 def _scan(spark, sf, **more):
     return scan(
-        spark, _known(spark, sf), RULES, DATABASE, registered(spark, sf),
+        spark, scanned_and_references(spark, sf), RULES, DATABASE, registered(spark, sf),
         overrides=KEYS, generated="2025-01-01T00:00:00", **more,
     )
 
