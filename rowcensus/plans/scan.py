@@ -14,6 +14,7 @@ from ..operators.issues import empty_issues, stamp
 from ..operators.rules import Rule, run_rules
 from ..operators.summary import overview, rule_summary, run_result
 from ..sources.catalog import declared_keys, load_tables, not_null_columns, resolve_keys
+from ..sources.footers import parquet_location, write_footer_profile
 from ..sources.staging import Stage
 from .enrich import attach_texts, issue_prompts, parse_responses, respond, table_prompts
 from .report import PREFIX, write_report
@@ -40,17 +41,25 @@ def _batches(names: Sequence[str]) -> Iterable[Sequence[str]]:
         yield names[start : start + TABLE_BATCH]
 
 
-def _stored_profile(tables: Mapping[str, DataFrame], stage: Stage) -> DataFrame:
+def stored_profile(
+    spark: SparkSession, tables: Mapping[str, DataFrame], paths: Mapping[str, str], stage: Stage
+) -> DataFrame:
     """Null profile of all tables, some tables per job so that plans stay small.
 
-    The result has one row per column, which is why one file per batch is enough.
+    Tables with a known Parquet folder are answered from the footers where possible. The
+    result has one row per column, which is why one file per batch is enough.
     """
-    written, like = [], None
-    for i, names in enumerate(_batches(list(tables))):
-        like = P.null_profiles({n: tables[n] for n in names})
-        stage.write_only(like.coalesce(1), f"profile={i}")
+    written = []
+    scanned = [name for name in tables if name not in paths]
+    for i, names in enumerate(_batches([name for name in tables if name in paths])):
+        if write_footer_profile(spark, {n: tables[n] for n in names}, paths, stage, f"footers={i}"):
+            written.append(f"footers={i}")
+        else:
+            scanned += names
+    for i, names in enumerate(_batches(scanned)):
+        stage.write_only(P.null_profiles({n: tables[n] for n in names}).coalesce(1), f"profile={i}")
         written.append(f"profile={i}")
-    return stage.read(like, *written)
+    return stage.read(spark.createDataFrame([], P.PROFILE_SCHEMA), *written)
 
 
 def _stored_issues(
@@ -103,13 +112,15 @@ def scan(
     options: ScanOptions = ScanOptions(),
     generated: str | None = None,
     stage: Stage | None = None,
+    paths: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """Scan ``tables`` and return the five report datasets plus the run result.
 
     Every table is read twice at most by the profiler (all columns for nulls, key columns
     for duplicates) and once per group of rules. Profiles, issues and model answers are
     stored as they are made; every returned frame reads those files, so looking at one
-    repeats no scan and calls no model again.
+    repeats no scan and calls no model again. ``paths`` names the folders of tables that are
+    plain Parquet: their nulls are counted from the file footers alone.
     """
     stage = stage or Stage(spark)
     profile_on = options.profile and bool(tables)
@@ -117,7 +128,7 @@ def scan(
     if profile_on:
         named = {n: df for n, df in tables.items() if df.columns}
         if named:
-            profile = _stored_profile(named, stage)
+            profile = stored_profile(spark, named, paths or {}, stage)
         else:
             profile = spark.createDataFrame([], P.PROFILE_SCHEMA)
         keys = table_keys(tables, profile, overrides, declared)
@@ -180,8 +191,10 @@ def scan_schema(
     now = now or datetime.now()
     tables = load_tables(spark, database, schema, exclude)
     declared = {name: declared_keys(spark, database, schema, name) for name in tables}
+    folders = {name: parquet_location(spark, database, schema, name) for name in tables}
+    paths = {name: folder for name, folder in folders.items() if folder}
     frames = scan(
-        spark, tables, rules, database, schema, overrides, declared, enrich, options, now.isoformat()
+        spark, tables, rules, database, schema, overrides, declared, enrich, options, now.isoformat(), paths=paths
     )
     if report_folder:
         path = write_report(frames, report_folder, now.strftime("%Y%m%d_%H%M%S"), prefix)

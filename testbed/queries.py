@@ -22,8 +22,9 @@ from rowcensus.operators.issues import combine_issues, stamp, widen_issues
 from rowcensus.operators.rules import Rule, run_rule, run_rules
 from rowcensus.plans import enrich as E
 from rowcensus.plans.report import DATASETS, write_report
-from rowcensus.plans.scan import scan, table_keys
+from rowcensus.plans.scan import scan, stored_profile, table_keys
 from rowcensus.sources import catalog as C
+from rowcensus.sources.footers import parquet_location
 from rowcensus.sources.staging import Stage
 
 from .inputs import KEYS, SCANNED, TABLES, derived, derived_tables, registered, scanned_and_references, table
@@ -164,8 +165,11 @@ def row_counts(spark, sf):
 
 
 def scan_tables(spark, sf):
-    tables = C.load_tables(spark, DATABASE, registered(spark, sf))
-    return P.null_profiles(tables).select("TABLE_NAME", "COLUMN_NAME", "TOTAL_ROWS", "NULL_COUNT")
+    schema = registered(spark, sf)
+    tables = C.load_tables(spark, DATABASE, schema)
+    paths = {name: parquet_location(spark, DATABASE, schema, name) for name in tables}
+    profile = stored_profile(spark, tables, paths, Stage(spark))
+    return profile.select("TABLE_NAME", "COLUMN_NAME", "TOTAL_ROWS", "NULL_COUNT")
 
 
 def param_query(spark, sf):
