@@ -157,11 +157,11 @@ def run_rule(
         planned = stamp(_plan(spark, rule, database, schema, tables), database, schema)
         if stage is None:
             return planned
-        return stage.write(planned, f"rule={rule.id}")
+        return stage.read(ISSUE_SCHEMA, stage.write_findings(planned, rule.id))
     except Exception as error:  # whatever goes wrong in a rule is a finding of its own
         log.warning("rule %s failed: %s", rule.id, error)
         failed = stamp(rule_error(spark, rule, error), database, schema)
-        return failed if stage is None else stage.write(failed, f"error={rule.id}")
+        return failed if stage is None else stage.read(ISSUE_SCHEMA, stage.write(failed, f"error-{rule.id}"))
 
 
 def _catalog_lookup(spark: SparkSession, database: str, schema: str) -> Tables:
@@ -211,7 +211,7 @@ def run_rules(
             planned = stamp(check_rows(tables(part[0].table), part), database, schema)
             if stage is None:
                 return [planned]
-            return [stage.write(planned, f"rules={part[0].table}")]
+            return [stage.read(ISSUE_SCHEMA, stage.write_findings(planned, f"rules-{part[0].table}"))]
         except Exception:  # rerun below tells which of the rules is to blame
             return one_by_one(part)
 

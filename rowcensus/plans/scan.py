@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
-from ..operators.issues import empty_issues, stamp
+from ..operators.issues import ISSUE_SCHEMA, empty_issues, stamp
 from ..operators.rules import Rule, run_rules
 from ..operators.summary import overview, rule_summary, run_result
 from ..sources.catalog import declared_keys, load_tables, not_null_columns, resolve_keys
@@ -36,9 +37,9 @@ class ScanOptions:
     model_tasks: int | None = None
 
 
-def _batches(names: Sequence[str]) -> Iterable[Sequence[str]]:
-    for start in range(0, len(names), TABLE_BATCH):
-        yield names[start : start + TABLE_BATCH]
+def _batches(items: Sequence) -> Iterable[Sequence]:
+    for start in range(0, len(items), TABLE_BATCH):
+        yield items[start : start + TABLE_BATCH]
 
 
 def stored_profile(
@@ -51,15 +52,15 @@ def stored_profile(
     """
     written = []
     scanned = [name for name in tables if name not in paths]
-    for i, names in enumerate(_batches([name for name in tables if name in paths])):
-        if write_footer_profile(spark, {n: tables[n] for n in names}, paths, stage, f"footers={i}"):
-            written.append(f"footers={i}")
-        else:
+    for names in _batches([name for name in tables if name in paths]):
+        path = write_footer_profile(spark, {n: tables[n] for n in names}, paths, stage)
+        if path is None:
             scanned += names
-    for i, names in enumerate(_batches(scanned)):
-        stage.write_only(P.null_profiles({n: tables[n] for n in names}).coalesce(1), f"profile={i}")
-        written.append(f"profile={i}")
-    return stage.read(spark.createDataFrame([], P.PROFILE_SCHEMA), *written)
+        else:
+            written.append(path)
+    for names in _batches(scanned):
+        written.append(stage.write(P.null_profiles({n: tables[n] for n in names}).coalesce(1), "profile"))
+    return stage.read(P.PROFILE_SCHEMA, *written)
 
 
 def _stored_issues(
@@ -71,18 +72,14 @@ def _stored_issues(
     database: str,
     schema: str,
 ) -> list[str]:
+    found = [P.high_null_issues(profile, keys, options.null_threshold)]
+    for name, df in tables.items():
+        if keys.get(name):
+            found.append(P.duplicate_key_issues(df, name, keys[name], options.max_extra))
     written = []
-    nulls = P.high_null_issues(profile, keys, options.null_threshold)
-    for i, names in enumerate(_batches([n for n in tables if keys.get(n)])):
-        found = nulls if i == 0 else None
-        for name in names:
-            groups = P.duplicate_key_issues(tables[name], name, keys[name], options.max_extra)
-            found = groups if found is None else found.unionByName(groups)
-        stage.write_only(stamp(found, database, schema), f"duplicates={i}")
-        written.append(f"duplicates={i}")
-    if not written:
-        stage.write_only(stamp(nulls, database, schema), "nulls")
-        written.append("nulls")
+    for part in _batches(found):
+        issues = stamp(reduce(DataFrame.union, part), database, schema)
+        written.append(stage.write_findings(issues, "profile-issues"))
     return written
 
 
@@ -139,7 +136,7 @@ def scan(
         found = empty_issues(spark)
     issues = found
     if written:
-        stored = stage.read(empty_issues(spark), *written)
+        stored = stage.read(ISSUE_SCHEMA, *written)
         issues = stored.unionByName(found)
         profiles = P.table_profiles(
             tables, keys, profile, stored, options.null_threshold, options.max_extra
@@ -155,10 +152,10 @@ def scan(
     summaries = spark.createDataFrame([], "TABLE_NAME string, LLM_SUMMARY string")
     if enrich is not None:
         answers = respond(table_prompts(profiles), enrich, parallel=options.model_tasks)
-        answers = stage.write(answers, "table_answers")
+        answers = stage.read(answers.schema, stage.write(answers, "table-answers"))
         summaries = answers.select("TABLE_NAME", F.coalesce("RESPONSE", F.lit("")).alias("LLM_SUMMARY"))
         answers = respond(issue_prompts(issues, options.sample_size), enrich, parallel=options.model_tasks)
-        answers = stage.write(answers, "issue_answers")
+        answers = stage.read(answers.schema, stage.write(answers, "issue-answers"))
         explained = attach_texts(issues, parse_responses(answers))
 
     stamp_text = generated or datetime.now().isoformat()

@@ -36,18 +36,17 @@ def footer_session(spark: SparkSession) -> SparkSession:
 
 
 def write_footer_profile(
-    spark: SparkSession, tables: Mapping[str, DataFrame], paths: Mapping[str, str], stage: Stage, name: str
-) -> bool:
+    spark: SparkSession, tables: Mapping[str, DataFrame], paths: Mapping[str, str], stage: Stage
+) -> str | None:
     """Store the null profile of ``tables`` as found in the footers below ``paths``.
 
-    False if Spark cannot answer from them, for example because a writer left out the
+    None if Spark cannot answer from them, for example because a writer left out the
     statistics or a file lacks a later column; the tables have to be scanned then.
     """
     session = footer_session(spark)
     frames = {t: session.read.schema(df.schema).parquet(paths[t]) for t, df in tables.items()}
     try:
-        stage.write_only(null_profiles(frames).coalesce(1), name)
+        return stage.write(null_profiles(frames).coalesce(1), "footers")
     except Exception as error:
         log.warning("no null profile from the footers of %s: %s", sorted(tables), error)
-        return False
-    return True
+        return None

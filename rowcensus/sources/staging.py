@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTING = "spark.checkpoint.dir"
 
@@ -36,17 +39,23 @@ class Stage:
         self.spark = spark
         base = (root or staging_root(spark)).rstrip("/")
         self.folder = f"{base}/rowcensus/{uuid.uuid4().hex}"
+        self._numbers = itertools.count(1)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Run ``df``, keep its rows under ``name`` and return a frame that reads them."""
-        self.write_only(df, name)
-        return self.read(df, name)
-
-    def write_only(self, df: DataFrame, name: str) -> str:
-        path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
+    def write(self, df: DataFrame, label: str) -> str:
+        """Run ``df``, store its rows and return their path; labels need not be unique."""
+        safe = re.sub(r"[^A-Za-z0-9_-]+", "_", label)[:60]
+        path = f"{self.folder}/{next(self._numbers):05d}-{safe}"
+        df.write.parquet(path)
         return path
 
-    def read(self, like: DataFrame, *names: str) -> DataFrame:
-        paths = [f"{self.folder}/{name}" for name in names]
-        return self.spark.read.schema(like.schema).parquet(*paths)
+    def write_findings(self, df: DataFrame, label: str) -> str:
+        """Store rows that a large scan found few of.
+
+        They are gathered into files of a sensible size first: without that, every task of
+        the scan would leave a tiny file. Spark picks the number of files from the bytes it
+        measures and splits partitions that are too large.
+        """
+        return self.write(df.hint("rebalance"), label)
+
+    def read(self, schema: StructType | str, *paths: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths)

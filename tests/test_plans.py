@@ -106,9 +106,9 @@ def test_footer_profile_equals_the_scanned_one(spark, tmp_path):
     spark.createDataFrame(rows, "id int, name string, items array<int>").repartition(3).write.parquet(path)
     tables = {"t": spark.read.parquet(path)}
     stage = Stage(spark)
-    assert write_footer_profile(spark, tables, {"t": path}, stage, "footers")
+    stored = write_footer_profile(spark, tables, {"t": path}, stage)
     scanned = P.null_profiles(tables)
-    assert sorted(stage.read(scanned, "footers").collect()) == sorted(scanned.collect())
+    assert sorted(stage.read(P.PROFILE_SCHEMA, stored).collect()) == sorted(scanned.collect())
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
     # A file without one of the columns: whichever way it is answered, the counts are right.
     spark.createDataFrame([(9,)], "id int").write.mode("append").parquet(path)
@@ -213,3 +213,11 @@ def test_insert_missing_only_scans_the_target_for_a_small_source(spark, files):
     rows = insert_missing(target, source, ["k"])
     assert sorted(r.status for r in rows.filter("status NOT IN ('OPEN', 'CLOSED')").collect()) == ["again", "new", "none"]
     assert rows.count() == 300_003
+
+
+def test_findings_of_many_tasks_end_in_few_files(spark, files):
+    stage = Stage(spark)
+    found = facts(spark, files).repartition(64).filter("id % 10000 = 0")
+    path = stage.write_findings(found, "any/label = x")
+    stored = spark.read.parquet(path)
+    assert stored.count() == 30 and len(stored.inputFiles()) <= 2
