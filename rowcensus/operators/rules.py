@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import labels
 from ..functions.text import joined_values, literal, payload_map, quoted, row_fingerprint
 from ..sources.catalog import table_ref
+from ..sources.jobs import side_by_side
 from ..sources.staging import Stage
 from .issues import ISSUE_SCHEMA, combine_issues, empty_issues, issue_columns, stamp
 
@@ -188,10 +188,11 @@ def run_rules(
     side by side so that the tail of one does not idle the cluster; if a shared scan
     fails, its rules are rerun one by one to find the culprit.
     """
+    catalog = _catalog_lookup(spark, database, schema)
     if isinstance(tables, Mapping):
         known = {name.upper(): df for name, df in tables.items()}
-        tables = lambda name: known[name.upper()]
-    tables = tables or _catalog_lookup(spark, database, schema)
+        tables = lambda name: known[name.upper()] if name.upper() in known else catalog(name)
+    tables = tables or catalog
 
     shared: dict[str, list[Rule]] = {}
     single: list[Rule] = []
@@ -216,11 +217,5 @@ def run_rules(
             return one_by_one(part)
 
     work = [*shared.values(), *[[rule] for rule in single]]
-    if stage is None or parallel <= 1 or len(work) <= 1:
-        results = [together(part) for part in work]
-    else:
-        with ThreadPoolExecutor(min(parallel, len(work))) as pool:
-            # Each thread needs its own wrapper to inherit the session's properties.
-            futures = [pool.submit(inheritable_thread_target(spark)(together), part) for part in work]
-            results = [future.result() for future in futures]
+    results = side_by_side(spark, [partial(together, part) for part in work], 1 if stage is None else parallel)
     return combine_issues(spark, [df for part in results for df in part])

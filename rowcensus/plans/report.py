@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame
 
 from ..functions import labels
 from ..functions.text import NESTED, quoted
+from ..sources.jobs import side_by_side
 
 # Dataset names in report order.
 DATASETS = ("Overview", "Rule_Summary", "Table_Profiles", "Row_Issues", "LLM_Table_Summaries")
@@ -34,7 +36,8 @@ def write_report(
     also written as text below ``csv/``, where an empty one holds a single message row.
     """
     run_dir = f"{folder.rstrip('/')}/{prefix}_{run_stamp}"
-    for name in DATASETS:
+
+    def write(name: str) -> None:
         df = frames[name]
         writer = df.write.mode("error")
         if name == "Row_Issues":
@@ -45,4 +48,7 @@ def write_report(
             if df.isEmpty():
                 small = df.sparkSession.createDataFrame([(labels.EMPTY_DATASET,)], "message string")
             _as_text(small).coalesce(1).write.mode("error").csv(f"{run_dir}/csv/{name}", header=True)
+
+    spark = frames[DATASETS[0]].sparkSession
+    side_by_side(spark, [partial(write, name) for name in DATASETS], len(DATASETS))
     return run_dir

@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
-from ..operators.issues import ISSUE_SCHEMA, empty_issues, stamp
+from ..operators.issues import ISSUE_SCHEMA, combine_issues, stamp
 from ..operators.rules import Rule, run_rules
 from ..operators.summary import overview, rule_summary, run_result
 from ..sources.catalog import declared_keys, load_tables, not_null_columns, resolve_keys
 from ..sources.footers import parquet_location, write_footer_profile
+from ..sources.jobs import side_by_side
 from ..sources.staging import Stage
 from .enrich import attach_texts, issue_prompts, parse_responses, respond, table_prompts
 from .report import PREFIX, write_report
 
 TABLE_BATCH = 40
+NO_PROFILES = (
+    "TABLE_NAME string, ROW_COUNT bigint, PRIMARY_KEYS string, COLUMN_ISSUE_COUNT bigint, "
+    "TABLE_ISSUE_COUNT bigint, ISSUES string, COLUMN_ISSUES array<string>, TABLE_ISSUES array<string>"
+)
 PROFILE_COLUMNS = (
     "TABLE_NAME", "ROW_COUNT", "PRIMARY_KEYS", "COLUMN_ISSUE_COUNT", "TABLE_ISSUE_COUNT", "ISSUES"
 )
@@ -120,43 +125,46 @@ def scan(
     plain Parquet: their nulls are counted from the file footers alone.
     """
     stage = stage or Stage(spark)
-    profile_on = options.profile and bool(tables)
-    written: list[str] = []
-    if profile_on:
-        named = {n: df for n, df in tables.items() if df.columns}
+
+    def profiled() -> tuple[DataFrame, DataFrame | None]:
+        if not (options.profile and tables):
+            return spark.createDataFrame([], NO_PROFILES), None
+        named = {name: df for name, df in tables.items() if df.columns}
         if named:
             profile = stored_profile(spark, named, paths or {}, stage)
         else:
             profile = spark.createDataFrame([], P.PROFILE_SCHEMA)
         keys = table_keys(tables, profile, overrides, declared)
-        written = _stored_issues(tables, keys, profile, stage, options, database, schema)
-    if options.rules:
-        found = run_rules(spark, rules, database, schema, dict(tables) or None, stage, options.parallel_rules)
-    else:
-        found = empty_issues(spark)
-    issues = found
-    if written:
-        stored = stage.read(ISSUE_SCHEMA, *written)
-        issues = stored.unionByName(found)
-        profiles = P.table_profiles(
-            tables, keys, profile, stored, options.null_threshold, options.max_extra
-        )
-    else:
-        profiles = spark.createDataFrame(
-            [],
-            "TABLE_NAME string, ROW_COUNT bigint, PRIMARY_KEYS string, COLUMN_ISSUE_COUNT bigint, "
-            "TABLE_ISSUE_COUNT bigint, ISSUES string, COLUMN_ISSUES array<string>, TABLE_ISSUES array<string>",
-        )
+        stored = stage.read(ISSUE_SCHEMA, *_stored_issues(tables, keys, profile, stage, options, database, schema))
+        summary = P.table_profiles(tables, keys, profile, stored, options.null_threshold, options.max_extra)
+        return summary, stored
+
+    def ruled() -> DataFrame | None:
+        if not options.rules:
+            return None
+        return run_rules(spark, rules, database, schema, dict(tables) or None, stage, options.parallel_rules)
+
+    (profiles, stored), broken = side_by_side(spark, [profiled, ruled], 2)
+    issues = combine_issues(spark, [part for part in (stored, broken) if part is not None])
 
     explained = issues
     summaries = spark.createDataFrame([], "TABLE_NAME string, LLM_SUMMARY string")
     if enrich is not None:
-        answers = respond(table_prompts(profiles), enrich, parallel=options.model_tasks)
-        answers = stage.read(answers.schema, stage.write(answers, "table-answers"))
-        summaries = answers.select("TABLE_NAME", F.coalesce("RESPONSE", F.lit("")).alias("LLM_SUMMARY"))
-        answers = respond(issue_prompts(issues, options.sample_size), enrich, parallel=options.model_tasks)
-        answers = stage.read(answers.schema, stage.write(answers, "issue-answers"))
-        explained = attach_texts(issues, parse_responses(answers))
+
+        def answered(prompts: DataFrame, label: str) -> DataFrame:
+            answers = respond(prompts, enrich, parallel=options.model_tasks)
+            return stage.read(answers.schema, stage.write(answers, label))
+
+        about_tables, about_issues = side_by_side(
+            spark,
+            [
+                lambda: answered(table_prompts(profiles), "table-answers"),
+                lambda: answered(issue_prompts(issues, options.sample_size), "issue-answers"),
+            ],
+            2,
+        )
+        summaries = about_tables.selectExpr("TABLE_NAME", "coalesce(RESPONSE, '') AS LLM_SUMMARY")
+        explained = attach_texts(issues, parse_responses(about_issues))
 
     stamp_text = generated or datetime.now().isoformat()
     return {

@@ -18,14 +18,13 @@ def staging_root(spark: SparkSession) -> str:
 
     The local folder is never used on a cluster, where executors could not see it.
     """
-    folder = spark.conf.get(SETTING, None)
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="rowcensus-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rowcensus-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 class Stage:

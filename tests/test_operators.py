@@ -175,18 +175,30 @@ def test_scan_of_a_schema_writes_its_report(spark, schema, tmp_path):
         scan_schema(spark, "", schema)
 
 
-def test_staging_needs_a_shared_folder_on_a_cluster():
-    class Conf(dict):
-        def get(self, key, default=None):
-            return dict.get(self, key, default)
+class FakeContext:
+    folder = None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
 
-    class Session:
-        conf = Conf({"spark.master": "yarn"})
 
+class FakeSession:
+    def __init__(self, **conf):
+        self.conf = {k.replace("__", "."): v for k, v in conf.items()}
+        self.sparkContext = FakeContext()
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
     with pytest.raises(ValueError):
-        staging_root(Session())
-    Session.conf["spark.checkpoint.dir"] = "hdfs:///shared"
-    assert staging_root(Session()) == "hdfs:///shared"
+        staging_root(FakeSession(spark__master="yarn"))
+    named = FakeSession(spark__master="yarn", spark__checkpoint__dir="hdfs:///shared")
+    assert staging_root(named) == "hdfs:///shared"
+    local = FakeSession(spark__master="local[2]")
+    folder = staging_root(local)
+    assert folder and staging_root(local) == folder
 
 
 # Issues and rules
