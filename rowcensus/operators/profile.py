@@ -121,9 +121,12 @@ def distinct_profile(
 
 def column_profiles(df: DataFrame, table: str, method: str = "exact", chunk: int = DISTINCT_CHUNK) -> DataFrame:
     """Null and distinct figures of every column in one row per column."""
-    parts = null_profile(df, table).unionByName(
-        distinct_profile(df, table, method=method, chunk=chunk), allowMissingColumns=True
-    )
+    return merge_profiles(null_profile(df, table), distinct_profile(df, table, method=method, chunk=chunk))
+
+
+def merge_profiles(nulls: DataFrame, distincts: DataFrame) -> DataFrame:
+    """Null and distinct profiles side by side; both have one row per column."""
+    parts = nulls.unionByName(distincts, allowMissingColumns=True)
     figures = [c for c in parts.columns if c not in ("TABLE_NAME", "COLUMN_NAME")]
     return parts.groupBy("TABLE_NAME", "COLUMN_NAME").agg(*[F.expr(f"max({c}) AS {c}") for c in figures])
 

@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import partial
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,14 @@ class Rule:
     detail: str | None = None
     payload: tuple[str, ...] = ()
 
+    @classmethod
+    def from_dict(cls, entry: Mapping[str, Any]) -> Rule:
+        """A rule from one entry of a parsed rule list; ``primary_key`` may be a list."""
+        fields = dict(entry)
+        for name in ("primary_key", "payload"):
+            fields[name] = tuple(fields.get(name) or ())
+        return cls(**fields)
+
     @property
     def title(self) -> str:
         return self.name or self.id

@@ -40,6 +40,7 @@ class ScanOptions:
     rules: bool = True
     parallel_rules: int = 4
     model_tasks: int | None = None
+    distinct: str | None = None  # "exact" or "approx" adds distinct counts to Column_Profiles
 
 
 def _batches(items: Sequence) -> Iterable[Sequence]:
@@ -68,6 +69,14 @@ def stored_profile(
     return stage.read(P.PROFILE_SCHEMA, *written)
 
 
+def _stored_distincts(tables: Mapping[str, DataFrame], method: str, stage: Stage) -> DataFrame:
+    written = []
+    for name, df in tables.items():
+        counts = P.distinct_profile(df, name, method=method)
+        written.append(stage.write(counts.coalesce(1), f"distinct-{name}"))
+    return stage.read(counts.schema, *written)
+
+
 def _stored_issues(
     tables: Mapping[str, DataFrame],
     keys: Mapping[str, Sequence[str]],
@@ -116,7 +125,7 @@ def scan(
     stage: Stage | None = None,
     paths: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Scan ``tables`` and return the five report datasets plus the run result.
+    """Scan ``tables``; return the five report datasets, the column profiles and the run result.
 
     Every table is read twice at most by the profiler (all columns for nulls, key columns
     for duplicates) and once per group of rules. Profiles, issues and model answers are
@@ -126,9 +135,9 @@ def scan(
     """
     stage = stage or Stage(spark)
 
-    def profiled() -> tuple[DataFrame, DataFrame | None]:
+    def profiled() -> tuple[DataFrame, DataFrame, DataFrame | None]:
         if not (options.profile and tables):
-            return spark.createDataFrame([], NO_PROFILES), None
+            return spark.createDataFrame([], P.PROFILE_SCHEMA), spark.createDataFrame([], NO_PROFILES), None
         named = {name: df for name, df in tables.items() if df.columns}
         if named:
             profile = stored_profile(spark, named, paths or {}, stage)
@@ -137,14 +146,16 @@ def scan(
         keys = table_keys(tables, profile, overrides, declared)
         stored = stage.read(ISSUE_SCHEMA, *_stored_issues(tables, keys, profile, stage, options, database, schema))
         summary = P.table_profiles(tables, keys, profile, stored, options.null_threshold, options.max_extra)
-        return summary, stored
+        if options.distinct and named:
+            profile = P.merge_profiles(profile, _stored_distincts(named, options.distinct, stage))
+        return profile, summary, stored
 
     def ruled() -> DataFrame | None:
         if not options.rules:
             return None
         return run_rules(spark, rules, database, schema, dict(tables) or None, stage, options.parallel_rules)
 
-    (profiles, stored), broken = side_by_side(spark, [profiled, ruled], 2)
+    (columns, profiles, stored), broken = side_by_side(spark, [profiled, ruled], 2)
     issues = combine_issues(spark, [part for part in (stored, broken) if part is not None])
 
     explained = issues
@@ -173,6 +184,7 @@ def scan(
         "Table_Profiles": profiles.select(*PROFILE_COLUMNS),
         "Row_Issues": explained,
         "LLM_Table_Summaries": summaries,
+        "Column_Profiles": columns,
         "Run_Result": run_result(issues, len(tables)),
     }
 

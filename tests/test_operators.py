@@ -286,6 +286,26 @@ def test_status_rule_ignores_missing_and_zero_measures(spark):
     assert [(r.ROW_IDENTIFIER, r.ISSUE_DETAIL) for r in found] == [("1", "it's 5.50")]
 
 
+def test_rules_from_parsed_entries(spark):
+    entry = {"id": "r", "name": "Rule", "severity": "high", "table": "T", "primary_key": ["id"], "sql": "SELECT 1 AS id"}
+    rule = Rule.from_dict(entry)
+    assert rule.primary_key == ("id",) and rule.enabled and not rule.dynamic
+    row = run_rule(spark, rule, "c", "s").first()
+    assert (row.ROW_IDENTIFIER, row.SEVERITY, row.RULE_NAME, row.TABLE_NAME) == ("1", "high", "Rule", "T")
+    with pytest.raises(TypeError):
+        Rule.from_dict({"id": "r", "sqll": "SELECT 1"})
+
+
+def test_scan_can_add_distinct_counts(spark):
+    tables = {"a": spark.range(6).selectExpr("id", "id % 2 AS v"), "b": spark.range(3).selectExpr("id")}
+    for method in ("exact", "approx"):
+        frames = scan(spark, tables, options=ScanOptions(distinct=method), generated="t0")
+        rows = {(r.TABLE_NAME, r.COLUMN_NAME): (r.NULL_COUNT, r.DISTINCT_COUNT) for r in frames["Column_Profiles"].collect()}
+        assert rows == {("a", "id"): (0, 6), ("a", "v"): (0, 2), ("b", "id"): (0, 3)}
+    plain = scan(spark, tables, generated="t0")["Column_Profiles"]
+    assert plain.count() == 3 and "DISTINCT_COUNT" not in plain.columns
+
+
 # Enrichment
 
 
