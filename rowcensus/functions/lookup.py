@@ -6,13 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import quoted
 
-SPREAD = 4096
-UNHASHABLE = (T.MapType, T.VariantType)
-
 
 def lookup_join(
     facts: DataFrame,
@@ -28,22 +24,20 @@ def lookup_join(
     join, so a hot key never multiplies rows here.
 
     There is no broadcast hint: Catalyst broadcasts a lookup it measures below
-    ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges a larger one. For that second
-    case the join also carries a spread number, 0 on the lookup side. Fact rows without a
-    key match nothing, so they get a hash instead of all landing in one task; and since
-    the aggregate is not partitioned by that number, both sides are shuffled right below
-    the join, which is the shape AQE needs to split a hot key at run time.
+    ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges a larger one. In that second
+    case AQE splits a hot key, and the rows without a key, at run time. It only does so for
+    a join whose both sides are shuffled right below it, which an aggregate on the join key
+    is not: it would hand over its own partitioning. So the lookup is joined on an
+    expression that equals its key (``_zero`` is always 0) but that Spark cannot reduce to it.
     """
-    hashed = ", ".join(quoted(f.name) for f in facts.schema.fields if not isinstance(f.dataType, UNHASHABLE))
-    no_key = " OR ".join(f"{quoted(fact)} IS NULL" for fact in on)
-    left = facts.selectExpr("*", f"IF({no_key}, 1 + pmod(xxhash64({hashed}), {SPREAD}), 0L) AS _spread")
-
     names = [f"_key{i}" for i in range(len(on))]
     keyed = [f"{quoted(source)} AS {name}" for source, name in zip(on.values(), names)]
-    values = [F.expr(f"{value} AS {name}") for name, value in (aggregates or {}).items()]
-    right = lookup.selectExpr("*", *keyed).where(" AND ".join(f"{name} IS NOT NULL" for name in names))
-    right = right.groupBy(*names).agg(*values, F.expr("min(0L) AS _zero"))
-
-    matched = ["_spread = _zero", *[f"{quoted(fact)} = {name}" for fact, name in zip(on, names)]]
-    joined = left.join(right, F.expr(" AND ".join(matched)), how)
-    return joined.drop("_spread", "_zero", *names)
+    values = dict(aggregates or {})
+    grouped = lookup.selectExpr("*", *keyed).where(" AND ".join(f"{name} IS NOT NULL" for name in names))
+    grouped = grouped.groupBy(*names).agg(
+        *[F.expr(f"{value} AS {name}") for name, value in values.items()], F.expr("min(0) AS _zero")
+    )
+    right = grouped.selectExpr(*[f"IF(_zero = 0, {name}, NULL) AS {name}" for name in names], *values)
+
+    matched = " AND ".join(f"{quoted(fact)} = {name}" for fact, name in zip(on, names))
+    return facts.join(right, F.expr(matched), how).drop(*names)

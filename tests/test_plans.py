@@ -141,17 +141,22 @@ def test_small_reference_is_broadcast_by_its_measured_size(spark, files):
     assert "BroadcastHashJoin" in plan(joined)
 
 
-def test_hot_and_missing_keys_are_spread(spark, files):
+def test_hot_and_missing_keys_are_split(spark, files, tmp_path):
     df, ref = facts(spark, files), reference(spark, files)
     with conf(spark, **NO_BROADCAST):
         joined = lookup_join(df, ref, {"code": "ref_code"}, {"n": "count(1)"})
         text = final_plan(joined)
         assert "SortMergeJoin(skew=true)" in text
-        with conf(spark, spark__sql__adaptive__enabled="false"):
-            apart = lookup_join(df, ref, {"code": "ref_code"}, {"n": "count(1)"})
-            apart = apart.selectExpr("code", "n", "spark_partition_id() AS p").groupBy("p")
-            sizes = [r.missing for r in apart.agg(F.expr("count_if(code IS NULL) AS missing"), F.sum("n")).collect()]
-            assert len(sizes) == 16 and max(sizes) < 100_000 / 4
+        # Neither the rows without a code nor those of the hot code meet in one task.
+        apart = lookup_join(df, ref, {"code": "ref_code"}, {"n": "count(1)"})
+        apart = apart.selectExpr("id", "code", "n", "spark_partition_id() AS p")
+        path = str(tmp_path / "apart")
+        apart.write.parquet(path)
+        rows = spark.read.parquet(path).groupBy("p").agg(
+            F.expr("count_if(code IS NULL) AS missing"), F.expr("count_if(code = 7) AS hot")
+        )
+        sizes = rows.collect()
+        assert max(r.missing for r in sizes) < 100_000 / 2 and max(r.hot for r in sizes) < 100_000 / 2
         plain = df.join(ref.groupBy("ref_code").agg(F.count(F.lit(1)).alias("n")), df.code == F.col("ref_code"), "left")
         assert joined.select("id", "n").exceptAll(plain.select("id", "n")).count() == 0
         assert joined.count() == plain.count() == 300_000
