@@ -69,23 +69,6 @@ class Reference:
     invalid: str
 
 
-def _with_matches(df: DataFrame, refs: Sequence[Reference], tables: Tables, repeat: bool) -> DataFrame:
-    """Per reference i: ``_ok{i}`` and ``_bad{i}``, the valid and invalid rows of the left join."""
-    for i, ref in enumerate(refs):
-        code = quoted(ref.code)
-        lookup = tables(ref.table).selectExpr(f"{quoted(ref.key)} AS _ref_key", f"{quoted(ref.id)} AS _ref_id")
-        counts = {"_valid": "count(_ref_id)", "_null_ids": "count_if(_ref_id IS NULL)"}
-        kept = [quoted(c) for c in df.columns]
-        ok = f"CASE WHEN {code} IS NULL THEN 1L WHEN _valid IS NULL THEN 0L ELSE _valid END"
-        bad = f"CASE WHEN {code} IS NULL THEN 0L WHEN _valid IS NULL THEN 1L ELSE _null_ids END"
-        if not repeat:
-            bad = f"IF({ok} > 0, 0L, least({bad}, 1L))"
-            ok = f"least({ok}, 1L)"
-        joined = lookup_join(df, lookup, {ref.code: "_ref_key"}, counts)
-        df = joined.selectExpr(*kept, f"{ok} AS _ok{i}", f"{bad} AS _bad{i}")
-    return df
-
-
 def any_reference_violations(
     df: DataFrame,
     refs: Sequence[Reference],
@@ -102,26 +85,42 @@ def any_reference_violations(
     """
     codes = [quoted(ref.code) for ref in refs]
     kept = [quoted(c) for c in dict.fromkeys([*keep, *[ref.code for ref in refs]])]
-    present = df if deleted is None else df.where(f"NOT coalesce({quoted(deleted)}, false)")
-    state = _with_matches(present.selectExpr(*kept), refs, tables, repeat)
+    rows = df if deleted is None else df.where(f"NOT coalesce({quoted(deleted)}, false)")
+    rows = rows.selectExpr(*kept)
+    for i, ref in enumerate(refs):
+        lookup = tables(ref.table).selectExpr(f"{quoted(ref.key)} AS _ref_key", f"{quoted(ref.id)} AS _ref_id")
+        counts = {f"_valid{i}": "count(_ref_id)", f"_null_ids{i}": "count_if(_ref_id IS NULL)"}
+        rows = lookup_join(rows, lookup, {ref.code: "_ref_key"}, counts)
 
+    # A code is bad if it has no match, or a match without an id; with one row per flagged
+    # row, matches without an id only count if there is no other.
     none = " AND ".join(f"{code} IS NULL" for code in codes)
-    outcomes = [(literal(missing), f"IF({none}, 1L, 0L)")]
+    bad_match = "_null_ids{i} > 0" if repeat else "_valid{i} = 0"
+    bad = [
+        f"({code} IS NOT NULL AND (_valid{i} IS NULL OR {bad_match.format(i=i)}))" for i, code in enumerate(codes)
+    ]
+    flagged = rows.where(" OR ".join([f"({none})", *bad]))
+
+    if not repeat:
+        details = [f"WHEN {test} THEN {_invalid_text(ref)}" for test, ref in zip(bad, refs)]
+        return flagged.selectExpr(*kept, f"CASE {' '.join(details)} ELSE {literal(missing)} END AS ISSUE_DETAIL")
+
+    # Rows that the left join would have had: with a valid match, and with a bad one.
+    ok_rows = [f"if({code} IS NULL, 1L, coalesce(_valid{i}, 0L))" for i, code in enumerate(codes)]
+    bad_rows = [f"if({code} IS NULL, 0L, coalesce(_null_ids{i}, 1L))" for i, code in enumerate(codes)]
+    outcomes = [(literal(missing), f"if({none}, 1L, 0L)")]
     for i, ref in enumerate(refs):
-        # Copies of the row whose first invalid code is this one: earlier codes valid,
-        # later ones either way.
-        factors = [f"_bad{i}"]
-        factors += [f"_ok{j}" for j in range(i)]
-        factors += [f"(_ok{j} + _bad{j})" for j in range(i + 1, len(refs))]
-        outcomes.append((f"concat({literal(ref.invalid)}, CAST({codes[i]} AS STRING))", " * ".join(factors)))
-
-    some = " OR ".join(["(" + none + ")", *[f"_bad{i} > 0" for i in range(len(refs))]])
+        # Its code is the first bad one: those before are valid, those after are either.
+        later = [f"({ok_rows[j]} + {bad_rows[j]})" for j in range(i + 1, len(refs))]
+        outcomes.append((_invalid_text(ref), " * ".join([*ok_rows[:i], bad_rows[i], *later])))
     listed = ", ".join(f"struct({detail} AS ISSUE_DETAIL, {copies} AS _copies)" for detail, copies in outcomes)
-    rows = state.where(some).selectExpr(*kept, f"inline(array({listed}))").where("_copies > 0")
-    if not repeat:
-        return rows.drop("_copies")
-    copies = rows.selectExpr(*kept, "ISSUE_DETAIL", "explode(IF(_copies > 1, sequence(1L, _copies), array(1L))) AS _copy")
-    return copies.drop("_copy")
+    found = flagged.selectExpr(*kept, f"inline(array({listed}))").where("_copies > 0")
+    copy = "explode(if(_copies > 1, sequence(1L, _copies), array(1L))) AS _copy"
+    return found.selectExpr(*kept, "ISSUE_DETAIL", copy).drop("_copy")
+
+
+def _invalid_text(ref: Reference) -> str:
+    return f"concat({literal(ref.invalid)}, CAST({quoted(ref.code)} AS STRING))"
 
 
 def any_valid_reference(

@@ -183,6 +183,22 @@ def test_reference_rule_equals_the_plain_left_join(spark, files):
     assert expected.count() > df.count() / 10
     assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
 
+    # One row per flagged row: a code is valid if any of its reference rows has an id.
+    valid = "SELECT ref_code FROM plain_reference WHERE ref_id IS NOT NULL"
+    expected = spark.sql(f"""
+        SELECT id, CASE WHEN a IS NULL AND b IS NULL THEN 'none'
+                        WHEN a IS NOT NULL AND a NOT IN ({valid}) THEN concat('bad a ', a)
+                        ELSE concat('bad b ', b) END AS ISSUE_DETAIL
+        FROM plain_facts
+        WHERE (a IS NULL AND b IS NULL) OR (a IS NOT NULL AND a NOT IN ({valid}))
+           OR (b IS NOT NULL AND b NOT IN ({valid}))
+    """)
+    found = any_reference_violations(
+        df, refs, lambda name: reference(spark, files), "none", ["id"], repeat=False
+    ).select("id", "ISSUE_DETAIL")
+    assert found.select("id").distinct().count() == found.count()
+    assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
+
 
 def test_issue_samples_limit_before_the_shuffle(spark, files):
     issues = _issues(spark, files)
