@@ -249,6 +249,12 @@ def test_rule_failures_stay_apart(spark, schema):
     assert rows_of(fine) == [("braces", 1), ("fine", 2)]
 
 
+def test_rules_reach_tables_that_are_not_scanned(spark, schema):
+    rule = Rule(id="r", table="codes", violations=lambda t: t("codes").limit(1), primary_key=("code",))
+    found = run_rules(spark, [rule], "spark_catalog", schema, {"people": people(spark)})
+    assert [r.ROW_IDENTIFIER for r in found.collect()] == ["1"]
+
+
 def test_one_bad_row_rule_does_not_spoil_the_shared_scan(spark):
     rules = [
         Rule(id="good", table="people", where="id > 0", primary_key=("id",)),
