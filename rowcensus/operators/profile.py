@@ -20,6 +20,7 @@ PROFILE_SCHEMA = (
     "TABLE_NAME string, COLUMN_NAME string, DATA_TYPE string, ORDINAL_POSITION int, "
     "TOTAL_ROWS bigint, NULL_COUNT bigint, NULL_RATE double"
 )
+DISTINCT_SCHEMA = "TABLE_NAME string, COLUMN_NAME string, DISTINCT_COUNT bigint"
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -102,9 +103,7 @@ def distinct_profile(
     if method not in ("exact", "approx"):
         raise ValueError(f"unknown method: {method}")
     if not names:
-        return df.sparkSession.createDataFrame(
-            [], "TABLE_NAME string, COLUMN_NAME string, DISTINCT_COUNT bigint"
-        )
+        return df.sparkSession.createDataFrame([], DISTINCT_SCHEMA)
     size = chunk if method == "exact" else len(names)
     call = "count(DISTINCT {})" if method == "exact" else f"approx_count_distinct({{}}, {rsd})"
     frames = []

@@ -147,6 +147,15 @@ def _plan(spark: SparkSession, rule: Rule, database: str, schema: str, tables: T
     return rule_issues(spark.sql(fill_template(rule.sql, database, schema)), rule)
 
 
+def _stored(spark: SparkSession, rule: Rule, database: str, schema: str, tables: Tables, stage: Stage) -> str:
+    """Run one rule and return the path of its issues, or of the row that stands for its failure."""
+    try:
+        return stage.write_findings(stamp(_plan(spark, rule, database, schema, tables), database, schema), rule.id)
+    except Exception as error:  # whatever goes wrong in a rule is a finding of its own
+        log.warning("rule %s failed: %s", rule.id, error)
+        return stage.write(stamp(rule_error(spark, rule, error), database, schema), f"error-{rule.id}")
+
+
 def run_rule(
     spark: SparkSession,
     rule: Rule,
@@ -162,15 +171,13 @@ def run_rule(
     inside the tasks, such as a bad cast, are caught as well.
     """
     tables = tables or _catalog_lookup(spark, database, schema)
+    if stage is not None:
+        return stage.read(ISSUE_SCHEMA, _stored(spark, rule, database, schema, tables, stage))
     try:
-        planned = stamp(_plan(spark, rule, database, schema, tables), database, schema)
-        if stage is None:
-            return planned
-        return stage.read(ISSUE_SCHEMA, stage.write_findings(planned, rule.id))
+        return stamp(_plan(spark, rule, database, schema, tables), database, schema)
     except Exception as error:  # whatever goes wrong in a rule is a finding of its own
         log.warning("rule %s failed: %s", rule.id, error)
-        failed = stamp(rule_error(spark, rule, error), database, schema)
-        return failed if stage is None else stage.read(ISSUE_SCHEMA, stage.write(failed, f"error-{rule.id}"))
+        return stamp(rule_error(spark, rule, error), database, schema)
 
 
 def _catalog_lookup(spark: SparkSession, database: str, schema: str) -> Tables:
@@ -211,20 +218,26 @@ def run_rules(
         else:
             single.append(rule)
 
-    def one_by_one(part: Sequence[Rule]) -> list[DataFrame]:
-        return [run_rule(spark, rule, database, schema, tables, stage) for rule in part]
-
-    def together(part: Sequence[Rule]) -> list[DataFrame]:
-        if len(part) == 1:
-            return one_by_one(part)
-        try:
-            planned = stamp(check_rows(tables(part[0].table), part), database, schema)
-            if stage is None:
-                return [planned]
-            return [stage.read(ISSUE_SCHEMA, stage.write_findings(planned, f"rules-{part[0].table}"))]
-        except Exception:  # rerun below tells which of the rules is to blame
-            return one_by_one(part)
+    if stage is None:
+        found = []
+        for part in shared.values():
+            try:
+                found.append(stamp(check_rows(tables(part[0].table), part), database, schema))
+            except Exception:  # one by one below tells which of the rules is to blame
+                found += [run_rule(spark, rule, database, schema, tables) for rule in part]
+        found += [run_rule(spark, rule, database, schema, tables) for rule in single]
+        return combine_issues(spark, found)
+
+    def stored(part: Sequence[Rule]) -> list[str]:
+        if len(part) > 1:
+            try:
+                planned = stamp(check_rows(tables(part[0].table), part), database, schema)
+                return [stage.write_findings(planned, f"rules-{part[0].table}")]
+            except Exception as error:
+                log.warning("shared scan of %s failed, running its rules one by one: %s", part[0].table, error)
+        return [_stored(spark, rule, database, schema, tables, stage) for rule in part]
 
     work = [*shared.values(), *[[rule] for rule in single]]
-    results = side_by_side(spark, [partial(together, part) for part in work], 1 if stage is None else parallel)
-    return combine_issues(spark, [df for part in results for df in part])
+    paths = [path for part in side_by_side(spark, [partial(stored, p) for p in work], parallel) for path in part]
+    # One reader for all of them, so that plans stay small however many rules there are.
+    return stage.read(ISSUE_SCHEMA, *paths) if paths else empty_issues(spark)

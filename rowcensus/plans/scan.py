@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ class ScanOptions:
     sample_size: int = 5
     profile: bool = True
     rules: bool = True
-    parallel_rules: int = 4
+    parallel: int = 4
     model_tasks: int | None = None
     distinct: str | None = None  # "exact" or "approx" adds distinct counts to Column_Profiles
 
@@ -69,12 +69,13 @@ def stored_profile(
     return stage.read(P.PROFILE_SCHEMA, *written)
 
 
-def _stored_distincts(tables: Mapping[str, DataFrame], method: str, stage: Stage) -> DataFrame:
-    written = []
-    for name, df in tables.items():
-        counts = P.distinct_profile(df, name, method=method)
-        written.append(stage.write(counts.coalesce(1), f"distinct-{name}"))
-    return stage.read(counts.schema, *written)
+def _stored_distincts(
+    spark: SparkSession, tables: Mapping[str, DataFrame], method: str, stage: Stage, parallel: int
+) -> DataFrame:
+    def stored(name: str) -> str:
+        return stage.write(P.distinct_profile(tables[name], name, method=method).coalesce(1), f"distinct-{name}")
+
+    return stage.read(P.DISTINCT_SCHEMA, *side_by_side(spark, [partial(stored, name) for name in tables], parallel))
 
 
 def _stored_issues(
@@ -147,13 +148,14 @@ def scan(
         stored = stage.read(ISSUE_SCHEMA, *_stored_issues(tables, keys, profile, stage, options, database, schema))
         summary = P.table_profiles(tables, keys, profile, stored, options.null_threshold, options.max_extra)
         if options.distinct and named:
-            profile = P.merge_profiles(profile, _stored_distincts(named, options.distinct, stage))
+            distincts = _stored_distincts(spark, named, options.distinct, stage, options.parallel)
+            profile = P.merge_profiles(profile, distincts)
         return profile, summary, stored
 
     def ruled() -> DataFrame | None:
         if not options.rules:
             return None
-        return run_rules(spark, rules, database, schema, dict(tables) or None, stage, options.parallel_rules)
+        return run_rules(spark, rules, database, schema, dict(tables) or None, stage, options.parallel)
 
     (columns, profiles, stored), broken = side_by_side(spark, [profiled, ruled], 2)
     issues = combine_issues(spark, [part for part in (stored, broken) if part is not None])

@@ -5,7 +5,6 @@ import random
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from rowcensus import ISSUE_SCHEMA, Rule, ScanOptions, combine_issues, run_rule, run_rules, scan, scan_schema, widen_issues
 from rowcensus.functions.text import json_text, percent_text
