@@ -54,6 +54,8 @@ def retention_cutoff(
         **rule,
     )
 
+BLOCK = "65536L"
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -115,8 +117,10 @@ def any_reference_violations(
         outcomes.append((_invalid_text(ref), " * ".join([*ok_rows[:i], bad_rows[i], *later])))
     listed = ", ".join(f"struct({detail} AS ISSUE_DETAIL, {copies} AS _copies)" for detail, copies in outcomes)
     found = flagged.selectExpr(*kept, f"inline(array({listed}))").where("_copies > 0")
-    copy = "explode(if(_copies > 1, sequence(1L, _copies), array(1L))) AS _copy"
-    return found.selectExpr(*kept, "ISSUE_DETAIL", copy).drop("_copy")
+    # Copies come in blocks, so that no row ever needs an array as long as a hot code.
+    blocks = found.selectExpr("*", f"explode(sequence(0L, (_copies - 1) div {BLOCK})) AS _block")
+    copy = f"explode(sequence(1L, least({BLOCK}, _copies - _block * {BLOCK}))) AS _copy"
+    return blocks.selectExpr(*kept, "ISSUE_DETAIL", copy).drop("_copy")
 
 
 def _invalid_text(ref: Reference) -> str:

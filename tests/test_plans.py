@@ -200,6 +200,15 @@ def test_reference_rule_equals_the_plain_left_join(spark, files):
     assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
 
 
+def test_rows_repeat_as_often_as_a_hot_reference_code(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 'bad', 'hot'), (2, 'good', 'hot'), (3, 'good', 'bad') AS t(id, a, b)")
+    codes = spark.range(150_001).selectExpr("IF(id = 0, 'good', 'hot') AS code", "id AS ref_id")
+    refs = [Reference(c, "codes", "code", "ref_id", f"{c}: ") for c in ("a", "b")]
+    found = any_reference_violations(df, refs, lambda name: codes, "none", ["id"])
+    counts = {(r.id, r.ISSUE_DETAIL): r["count"] for r in found.groupBy("id", "ISSUE_DETAIL").count().collect()}
+    assert counts == {(1, "a: bad"): 150_000, (3, "b: bad"): 1}
+
+
 def test_issue_samples_limit_before_the_shuffle(spark, files):
     issues = _issues(spark, files)
     text = plan(issue_samples(issues))
