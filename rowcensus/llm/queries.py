@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .minhash import minhash_dedup
 from .mixing import mix_sources
 from .packing import pack
+from .substring import substring_dedup
+from .url_filter import UrlRule, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +40,26 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+RULES = (
+    UrlRule("net/", "block"),
+    UrlRule("example.net/en/", "allow"),
+    UrlRule("example.com/de/", "block"),
+    UrlRule("org/fr/", "allow"),
+)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -44,7 +67,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_url_filter": op3_url_filter,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT_SQL}
