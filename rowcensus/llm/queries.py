@@ -11,6 +11,7 @@ from .minhash import minhash_dedup
 from .mixing import mix_sources
 from .packing import pack
 from .substring import substring_dedup
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import UrlRule, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).drop("passages")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT_SQL}

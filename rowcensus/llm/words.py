@@ -23,6 +23,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Everything between runs of letters; bytes of non-ASCII characters count as letters.
+NOT_LETTERS = np.ones(256, dtype=bool)
+NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -104,13 +107,18 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds.astype(np.int64)
 
 
-def find_words(data: np.ndarray, bounds: np.ndarray, row: int = 0, lower: bool = False) -> Slice:
-    """Words of the texts ``data[bounds[i]:bounds[i + 1]]``; ``bounds[0]`` is 0."""
+def find_words(
+    data: np.ndarray, bounds: np.ndarray, row: int = 0, lower: bool = False, between: np.ndarray = _SPACE
+) -> Slice:
+    """Words of the texts ``data[bounds[i]:bounds[i + 1]]``; ``bounds[0]`` is 0.
+
+    ``between`` tells which bytes are not part of a word.
+    """
     n = len(data)
     body = _LOWER[data] if lower else data
     inside = np.ones(n + 2, dtype=bool)
     inside[0] = inside[n + 1] = False
-    inside[1 : n + 1] = ~_SPACE[data]
+    inside[1 : n + 1] = ~between[data]
     opens, closes = inside[1 : n + 1] & ~inside[:n], inside[1 : n + 1] & ~inside[2 : n + 2]
     edges = bounds[(bounds > 0) & (bounds < n)]
     opens[edges] |= inside[1 : n + 1][edges]
@@ -119,12 +127,14 @@ def find_words(data: np.ndarray, bounds: np.ndarray, row: int = 0, lower: bool =
     return Slice(row, body, bounds, starts, ends, np.searchsorted(starts, bounds))
 
 
-def slices(column: pa.Array, lower: bool = False, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(
+    column: pa.Array, lower: bool = False, between: np.ndarray = _SPACE, slice_bytes: int = SLICE_BYTES
+) -> Iterator[Slice]:
     """Walk a string column in slices of at most ``slice_bytes``, or one text if it is longer."""
     data, bounds = text_buffers(column)
     lo, n = 0, len(column)
     while lo < n:
         hi = int(np.searchsorted(bounds, bounds[lo] + slice_bytes, side="right")) - 1
         hi = min(max(hi, lo + 1), n)
-        yield find_words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], lo, lower)
+        yield find_words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], lo, lower, between)
         lo = hi
