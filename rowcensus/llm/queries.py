@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .minhash import minhash_dedup
 from .mixing import mix_sources
 from .packing import pack
+from .quality import fit_quality, score_quality
 from .substring import substring_dedup
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import UrlRule, filter_urls
@@ -71,6 +72,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).drop("passages")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).drop("lines", "bad_lines")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op7_mix_sources": op7_mix_sources,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT_SQL}
