@@ -8,18 +8,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowcensus.llm.exact_dedup import exact_dedup
+from rowcensus.llm.joins import keep_matching
+from rowcensus.llm.minhash import minhash_dedup
+from rowcensus.llm.mixing import mix_sources
+from rowcensus.llm.packing import pack
+from rowcensus.llm.quality import fit_quality, keep_good
+from rowcensus.llm.queries import tokenizer_path
 from rowcensus.sources.staging import Stage
 
 Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: The place after every word, where a text is cut without changing its white space.
+AFTER_WORDS = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
+
+
+def _survivors(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id has a decision to keep it; null ids are compared too."""
+    stage = Stage(docs.sparkSession)
+    kept = decisions.where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = stage.read(kept.schema, stage.write(kept, "kept"))
+    return keep_matching(docs, kept, F.col("doc_id").eqNullSafe(F.col("_id")))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the classifier rejects go; it learns from the labels of the input."""
+    return keep_good(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
 
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    return _survivors(docs, exact_dedup(docs))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by five-word shingles at 0.8 the smallest doc_id stays."""
+    return _survivors(docs, minhash_dedup(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; the one cut by a block's end up to there.
+
+    Rows that share an id are taken alike, as often as the most taken one.
+    """
+    stage = Stage(spark)
+    shares = mix_sources(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("share"))
+    shares = shares.selectExpr("doc_id AS _id", "CAST(share.taken DIV share.size AS INT) AS whole", "CAST(share.taken % share.size AS INT) AS head")
+    shares = stage.read(shares.schema, stage.write(shares, "shares"))
+    joined = keep_matching(docs, shares, F.col("doc_id").eqNullSafe(F.col("_id")), "inner")
+    cut = F.array_join(F.slice(F.split("text", AFTER_WORDS), F.lit(1), F.col("head")), "")
+    rest = F.when(F.col("head") > 0, F.array(cut)).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat("text", F.col("whole")), rest)
+    taken = joined.withColumn("text", F.explode(texts))
+    if "n_chars" in docs.columns:
+        taken = taken.withColumn("n_chars", F.when(F.col("head") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return taken.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in sequences of 1024 tokens."""
+    return pack(docs, tokenizer_path())
 
 
-STAGES: list[tuple[str, Step]] = [("exact_dedup", one_of_each_text)]
+STAGES: list[tuple[str, Step]] = [
+    ("quality_classifier", good_quality),
+    ("exact_dedup", one_of_each_text),
+    ("minhash_dedup", one_of_each_group),
+    ("mix_sources", mixed),
+    ("best_fit_packing", packed),
+]
 
 # The classifier, the drawn order of the mix and the tokens are beyond SQL.
 ORACLE_SQL = None
@@ -29,7 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each is written and read again for the next one."""
     stage = Stage(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
+    for name, step in STAGES[:-1]:
         result = step(spark, docs, sf_dir)
         docs = stage.read(result.schema, stage.write(result, name))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

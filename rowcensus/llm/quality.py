@@ -239,6 +239,18 @@ def fit_quality(
     return train(features, first, known)
 
 
+def text_scores(lines: Slice, features: np.ndarray, model: QualityModel) -> np.ndarray:
+    """The score of each text of a slice."""
+    return _weighted(lines, model.marginals(features, lines.first))
+
+
+def _weighted(lines: Slice, good: np.ndarray) -> np.ndarray:
+    """The mean of the lines' marginals, weighted by bytes; 0 for a text without lines."""
+    owner, size, n = lines.owners(), (lines.ends - lines.starts).astype(float), len(lines)
+    total = np.bincount(owner, weights=size, minlength=n)
+    return np.clip(np.bincount(owner, weights=size * good, minlength=n) / np.maximum(total, 1), 0.0, 1.0)
+
+
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``score``, ``predicted``, ``lines``, ``bad_lines``.
 
@@ -253,16 +265,13 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
         for batch in batches:
             for lines, features in described(batch.column(1)):
                 good = model.marginals(features, lines.first)
-                owner, size = lines.owners(), (lines.ends - lines.starts).astype(float)
                 n = len(lines)
-                total = np.bincount(owner, weights=size, minlength=n)
-                score = np.bincount(owner, weights=size * good, minlength=n) / np.maximum(total, 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lines.row, n),
-                        pa.array(np.clip(score, 0.0, 1.0)),
+                        pa.array(_weighted(lines, good)),
                         pa.array(lines.counts().astype(np.int64)),
-                        pa.array(np.bincount(owner, weights=good < 0.5, minlength=n).astype(np.int64)),
+                        pa.array(np.bincount(lines.owners(), weights=good < 0.5, minlength=n).astype(np.int64)),
                     ],
                     names=["id", "score", "lines", "bad_lines"],
                 )
@@ -276,3 +285,16 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
         "lines",
         "bad_lines",
     )
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [text_scores(lines, features, model) for lines, features in described(batch.column(place))]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
