@@ -151,7 +151,8 @@ def filter_urls(
     Bayes: ``score`` is the log odds of being unwanted, above 0 is a block. Host names are
     split into words by Viterbi under unigram counts of the words of all pages (the seed
     words count as known). The training label of a page is whether its host words contain
-    one of ``seeds``; what else such hosts and paths contain is learned.
+    one of ``seeds``; what else such hosts and paths contain is learned. A word counts once in
+    a host and once in a path, so an odd url of many parts has no more weight than others.
 
     Words, hosts and paths are counted over all pages; names are segmented once each, and
     pages are joined to the scores of their host and path. A null or odd url has an empty
@@ -170,11 +171,11 @@ def filter_urls(
     total = words.agg(F.sum("count")).first()[0] or 1
 
     runs = F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))
-    placed = hosts.select("host", F.posexplode(runs).alias("at", "name"))
+    placed = hosts.select("host", F.explode(runs).alias("name"))
     split = segmented(placed.select("name").distinct(), words, total)
     split = stage.read(split.schema, stage.write(split, "names"))
     host_words = placed.join(split, "name").groupBy("host")
-    host_words = host_words.agg(F.flatten(F.array_sort(F.collect_list(F.struct("at", "words")))["words"]).alias("words"))
+    host_words = host_words.agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
     host_words = hosts.join(host_words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     unwanted = F.arrays_overlap("words", F.array(*[F.lit(w) for w in seeds])) if seeds else F.lit(False)
     host_words = host_words.withColumn("unwanted", unwanted)
@@ -183,7 +184,7 @@ def filter_urls(
     counts = parts.join(host_words.select("host", "unwanted"), "host").groupBy("path_key", "unwanted").count()
     counts = stage.read(counts.schema, stage.write(counts, "paths"))
     seen = host_words.select(F.explode("words").alias("token"), "unwanted", F.col("pages").alias("n")).union(
-        counts.select(F.explode(F.split("path_key", " ")).alias("token"), "unwanted", F.col("count").alias("n")).where("token != ''")
+        counts.select(F.explode(F.array_distinct(F.split("path_key", " "))).alias("token"), "unwanted", F.col("count").alias("n")).where("token != ''")
     )
     bad = F.sum(F.when(F.col("unwanted"), F.col("n")).otherwise(0))
     good = F.sum(F.when(~F.col("unwanted"), F.col("n")).otherwise(0))
@@ -204,7 +205,7 @@ def filter_urls(
     by_host = hosts.select("host").join(scored(host_words, "host", "words"), "host", "left")
     by_host = by_host.join(host_rules(hosts, rules), "host", "left")
     by_host = stage.read(by_host.schema, stage.write(by_host, "by-host"))
-    keys = counts.select("path_key").distinct().withColumn("_tokens", F.split("path_key", " "))
+    keys = counts.select("path_key").distinct().withColumn("_tokens", F.array_distinct(F.split("path_key", " ")))
     by_path = scored(keys, "path_key", "_tokens")
     by_path = stage.read(by_path.schema, stage.write(by_path, "by-path"))
 
