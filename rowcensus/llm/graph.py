@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.lookup import lookup_join
 from ..sources.staging import Stage
 
 ROUNDS = 100
@@ -13,16 +13,15 @@ ROUNDS = 100
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its smallest neighbour or itself."""
     both = edges.union(edges.selectExpr("b AS a", "a AS b"))
-    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-    return both.join(low.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).where("b > a").selectExpr("b AS a", "low AS b")
+    joined = lookup_join(both, both, {"a": "a"}, {"low": "min(b)"}, "inner")
+    return joined.where("b > a").selectExpr("b AS a", "least(a, low) AS b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them."""
     down = edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a > b")
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    joined = down.join(low.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a"))
-    return joined.selectExpr("b AS a", "low AS b").where("a != b").union(low.selectExpr("a", "low AS b"))
+    joined = lookup_join(down, down, {"a": "a"}, {"low": "min(b)"}, "inner")
+    return joined.selectExpr("IF(b = low, a, b) AS a", "low AS b")
 
 
 def components(edges: DataFrame, stage: Stage) -> DataFrame:
@@ -30,7 +29,8 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
 
     Each round is written to the stage, which cuts the lineage; it ends when a round changes
     nothing. Neighbours are never gathered: a node sees only their minimum, which is
-    combined before the shuffle, so a node of any degree does.
+    combined before the shuffle and joined back by a join that splits hot nodes, so a node
+    of any degree does.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
     edges = edges.distinct()

@@ -304,6 +304,7 @@ def substring_dedup(
     runs = stage.read(runs.schema, stage.write(runs, "runs"))
     often = runs.groupBy("a").agg(F.min("s").alias("_low"), F.max("s").alias("_high"), F.max("again").alias("_again"))
     often = often.where("_low != _high OR _again").select(F.col("a").alias("_a"))
+    often = stage.read(often.schema, stage.write(often, "often"))
     marks = runs.join(often, F.col("a") == F.col("_a")).select("a", "id", "s", "i", "j")
     renamed = later.selectExpr("id AS _id", "s AS _s")
     same = (F.col("id") == F.col("_id")) & (F.col("s") == F.col("_s"))
@@ -321,6 +322,7 @@ def substring_dedup(
     place = F.struct("id", "i", "s")
     firsts = pieces.groupBy(*content).agg(F.min(place).alias("first"))
     firsts = firsts.select(*[F.col(c).alias(f"_{c}") for c in content], "first")
+    firsts = stage.read(firsts.schema, stage.write(firsts, "firsts"))
     placed = pieces.join(firsts, [F.col(c) == F.col(f"_{c}") for c in content])
     is_first = F.col("first") == place
     repeats = placed.where(~is_first & ((F.col("first.id") != F.col("id")) | (F.col("first.i") != F.col("i"))))
