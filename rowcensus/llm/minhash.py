@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +13,18 @@ from pyspark.sql import functions as F
 from ..sources.staging import Stage
 from .graph import components
 from .joins import keep_matching
-from .words import Slice, mix, slices, span_hash
+from .words import Slice, mix, span_hash
+from .words import slices as text_slices
 
 SHINGLE = 5
 PERCENT = 80
 BANDS = 28
 ROWS = 4
-MARGIN = 0.2
+MARGIN = 0.15
+#: Rounds of comparing classes to one of their bucket, and different draws in each.
+ROUNDS, DRAWS = 2, 4
+#: Classes of a bucket that are compared at once.
+BLOCK = 2_000
 
 
 def shingle_sets(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +69,7 @@ def signatures(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1), lower=True):
+            for part in text_slices(batch.column(1), lower=True):
                 hashes, first = shingle_sets(part, size)
                 n = np.diff(first)
                 some = n > 0
@@ -100,7 +106,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1), lower=True):
+            for part in text_slices(batch.column(1), lower=True):
                 hashes, first = shingle_sets(part, size)
                 sets = [hashes[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -110,9 +116,10 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(collect, f"id {kind}, shingles binary")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in a share of at least ``least``."""
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may reach ``percent``, by the sizes of their sets and their signatures."""
     kind = pairs.schema["a"].dataType.simpleString()
+    least = percent / 100 - MARGIN
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,12 +129,42 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             share = (left == right).mean(axis=1)
             yield batch.select([0, 1]).filter(pa.array(share >= least))
 
-    signed = pairs.join(classes.selectExpr("id AS a", "sig AS sig_a"), "a").join(
-        classes.selectExpr("id AS b", "sig AS sig_b"), "b"
-    )
+    signed = pairs.join(classes.selectExpr("id AS a", "sig AS sig_a", "n AS n_a"), "a")
+    sizes = F.expr(f"b = _b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    signed = signed.join(classes.selectExpr("id AS _b", "sig AS sig_b", "n AS n_b"), sizes)
     return signed.select("a", "b", "sig_a", "sig_b").mapInArrow(agree, f"a {kind}, b {kind}").distinct()
 
 
+def likely_in_bucket(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The likely pairs (a, b) of a bucket whose components differ, each only in its first shared band.
+
+    With two blocks only pairs across them are looked at.
+    """
+    ids, part, n = (group[c].to_numpy() for c in ("id", "component", "n"))
+    sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(ids), -1)
+    keys = np.array(group["bands"].tolist(), dtype=np.int64)
+    own, band = group["block"].to_numpy(), int(group["band"].iloc[0])
+    across = group["left"].iloc[0] != group["right"].iloc[0]
+    least = percent / 100 - MARGIN
+    found = []
+    for at in range(0, len(ids), 256):
+        some = slice(at, at + 256)
+        open_pair = (part[some, None] != part) & (ids[some, None] < ids)
+        open_pair &= 100 * np.minimum(n[some, None], n) >= percent * np.maximum(n[some, None], n)
+        if across:
+            open_pair &= own[some, None] != own
+        rows, columns = np.nonzero(open_pair)
+        rows += at
+        for lo in range(0, len(rows), 100_000):
+            r, c = rows[lo : lo + 100_000], columns[lo : lo + 100_000]
+            near = (sig[r] == sig[c]).mean(axis=1) >= least
+            r, c = r[near], c[near]
+            first = (keys[r] == keys[c]).argmax(axis=1) == band
+            found.append(np.stack([ids[r[first]], ids[c[first]]], axis=1))
+    both = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -148,6 +185,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "set_a", "set_b").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def open_buckets(shared: DataFrame, parts: DataFrame, stage: Stage) -> DataFrame:
+    """The rows of ``shared`` with their components, of buckets that hold several."""
+    names = parts.selectExpr("id AS _id", "component AS _component")
+    placed = shared.join(names, F.col("id") == F.col("_id"), "left")
+    placed = placed.withColumn("component", F.coalesce("_component", "id")).drop("_id", "_component")
+    placed = stage.read(placed.schema, stage.write(placed, "placed"))
+    several = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    several = several.where("_low != _high").select(F.col("key").alias("_key"))
+    several = stage.read(several.schema, stage.write(several, "several"))
+    rows = placed.join(several, F.col("key") == F.col("_key"), "left_semi")
+    return stage.read(rows.schema, stage.write(rows, "open"))
+
+
 def minhash_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -156,6 +206,7 @@ def minhash_dedup(
     percent: int = PERCENT,
     bands: int = BANDS,
     rows: int = ROWS,
+    rounds: int = ROUNDS,
     seed: int = 11,
     stage: Stage | None = None,
 ) -> DataFrame:
@@ -165,13 +216,15 @@ def minhash_dedup(
     shingles have 100 * intersection >= percent * union, counted on the full sets.
 
     Texts with equal sets form a class, so copies are never compared. Classes that share a
-    band of minima are candidates; pairs whose signatures are clearly too different go, and
-    the others are compared on their full sets. First every class is compared to the
-    smallest of each of its buckets. Then, in the buckets that still hold several
-    components, all pairs across components are; pairs inside a component need no test,
-    because their link would join nothing. So a large group of near copies costs about as
-    many pairs as it has members. At the threshold a pair shares no band with probability
-    (1 - s ** rows) ** bands: 4e-7 for 0.8 and 1e-9 for 0.85 with 28 bands of 4.
+    band of minima meet in a bucket. Pairs whose sizes or signatures are too different go;
+    the others are compared on their full sets. First, in ``rounds`` rounds, every class is
+    compared to one of its bucket, drawn by a hash, and the links found are joined into
+    components. Then, in the buckets that still hold several components, all pairs across
+    components are; pairs inside a component need no test, because their link would join
+    nothing. So a large group of near copies costs about as many pairs as it has members. A
+    large bucket is compared in pairs of blocks of ``BLOCK`` classes. At the threshold a pair
+    shares no band with probability (1 - s ** rows) ** bands: 4e-7 for 0.8 and 1e-9 for 0.85
+    with 28 bands of 4. Signatures are off by more than ``MARGIN`` with about 1e-5.
 
     A null text is an empty one; a text without words is linked with nothing. Rows that
     share an id are one node. Null ids are linked with nothing. Other columns are ignored.
@@ -186,16 +239,15 @@ def minhash_dedup(
     classes = classes.agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = stage.read(classes.schema, stage.write(classes, "classes"))
 
-    banded = classes.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    shared = banded.join(buckets.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).drop("_key")
+    banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("key", "_key")
+    buckets = stage.read(buckets.schema, stage.write(buckets, "buckets"))
+    shared = banded.join(buckets, F.col("key") == F.col("_key")).drop("_key").withColumn("component", F.col("id"))
     shared = stage.read(shared.schema, stage.write(shared, "shared"))
-
-    least = percent / 100 - MARGIN
-    stars = shared.where("id != low").selectExpr("low AS a", "id AS b").distinct()
-    stars = likely(stars, classes, least)
-    stars = stage.read(stars.schema, stage.write(stars, "stars"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = classes.schema["id"].dataType.simpleString()
+    links = spark.createDataFrame([], f"a {kind}, b {kind}")
+    parts = spark.createDataFrame([], f"id {kind}, component {kind}")
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs that their full sets confirm."""
@@ -203,29 +255,37 @@ def minhash_dedup(
         ids = stage.read(ids.schema, stage.write(ids, f"{label}-ids"))
         sets = full_sets(keep_matching(texts, ids, F.col("id") == F.col("_id")), shingle)
         sets = stage.read(sets.schema, stage.write(sets, f"{label}-sets"))
-        links = confirmed(pairs, sets, percent)
-        return stage.read(links.schema, stage.write(links, f"{label}-links"))
-
-    links = linked(stars, "stars")
-    parts = components(links, stage).selectExpr("node AS id", "component")
-    placed = shared.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    mixed = mixed.where("_low != _high").select(F.col("key").alias("_key"))
-    open_rows = placed.join(mixed, F.col("key") == F.col("_key")).select("key", "id", "low", "component")
-    open_rows = stage.read(open_rows.schema, stage.write(open_rows, "open"))
-    left, right = (open_rows.select(*[F.col(c).alias(f"{c}_{side}") for c in open_rows.columns]) for side in "ab")
-    across = left.join(
-        right,
-        (F.col("key_a") == F.col("key_b"))
-        & (F.col("id_a") < F.col("id_b"))
-        & (F.col("id_a") != F.col("low_a"))
-        & (F.col("component_a") != F.col("component_b")),
-    )
-    across = likely(across.selectExpr("id_a AS a", "id_b AS b").distinct(), classes, least)
-    across = stage.read(across.schema, stage.write(across, "across"))
-    if not across.isEmpty():
-        links = links.union(linked(across, "across"))
+        return links.union(confirmed(pairs, sets, percent))
+
+    for number in range(rounds + 1):
+        if shared.isEmpty():
+            break
+        if number < rounds:
+            # A few different draws for the bands, so that near copies meet a few classes each.
+            draw = F.struct(F.xxhash64(F.lit(number), F.col("band") % DRAWS, F.col("id")), F.col("id").alias("id"))
+            pivots = shared.groupBy("key").agg(F.min(draw).alias("low")).selectExpr("key AS _key", "low.id AS low")
+            pivots = stage.read(pivots.schema, stage.write(pivots, "pivots"))
+            stars = shared.join(pivots, F.col("key") == F.col("_key")).where("id != low")
+            pairs = likely(stars.selectExpr("least(id, low) AS a", "greatest(id, low) AS b").distinct(), classes, percent)
+        else:
+            blocks = F.ceil(F.col("size") / BLOCK)
+            dealt = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            dealt = dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+            members = classes.select(F.col("id").alias("_id"), "n", "sig", "bands")
+            full = dealt.join(members, F.col("id") == F.col("_id"))
+            full = full.select("key", "left", "right", "block", "band", "id", "component", "n", "sig", "bands")
+            pairs = full.groupBy("key", "left", "right").applyInPandas(
+                lambda group: likely_in_bucket(group, percent), f"a {kind}, b {kind}"
+            )
+        pairs = stage.read(pairs.schema, stage.write(pairs, "pairs"))
+        if pairs.isEmpty():
+            continue
+        links = linked(pairs, "likely")
+        links = stage.read(links.schema, stage.write(links, "links"))
         parts = components(links, stage).selectExpr("node AS id", "component")
+        if number < rounds:
+            shared = open_buckets(shared, parts, stage)
 
     known = classes.select(*[F.col(c).alias(f"_{c}") for c in digest], "id").join(parts, "id", "left")
     known = known.select(*[f"_{c}" for c in digest], F.coalesce("component", "id").alias("component"))
