@@ -142,7 +142,7 @@ plain AS (
     regexp_replace(body, '[.!?;:]+(\\s|\\z)', chr(10), 'g'), '{_UPPER}', '{_LOWER}'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) AS parts
   FROM joined),
 named AS (
-  SELECT doc_id, array_to_string(list_filter(list_transform(parts, s -> m[trim(s)]), s -> s IS NOT NULL), '|') AS identifiers
+  SELECT doc_id, array_to_string([m[trim(s)] FOR s IN parts IF m[trim(s)] IS NOT NULL], '|') AS identifiers
   FROM plain, known),
 marked AS (SELECT *, '|' || identifiers || '|' AS line FROM named)
 SELECT doc_id, identifiers, CASE {cases} END AS licence FROM marked"""
