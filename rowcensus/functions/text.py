@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
+# The fence that answers come in.
 FENCE_MARK = "```"
 FENCE = r"(?isU)```(?:json)?\s*(.*?)\s*```"
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.lookup import lookup_join
 from ..functions.text import literal, quoted
-from .rules import Rule, Tables
+from .rules import Rule, Tables, actual_names
 
 
 def status_measure(
@@ -86,7 +86,7 @@ def any_reference_violations(
     one row per flagged row even if a reference holds a code several times.
     """
     codes = [quoted(ref.code) for ref in refs]
-    kept = [quoted(c) for c in dict.fromkeys([*keep, *[ref.code for ref in refs]])]
+    kept = [quoted(c) for c in actual_names(df, [*keep, *[ref.code for ref in refs]])]
     rows = df if deleted is None else df.where(f"NOT coalesce({quoted(deleted)}, false)")
     rows = rows.selectExpr(*kept)
     for i, ref in enumerate(refs):

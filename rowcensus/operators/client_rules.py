@@ -6,12 +6,12 @@ from ..functions import labels
 from .builders import Reference, any_valid_reference, required_reference, retention_cutoff, status_measure
 from .rules import Rule
 
-# Ids, names, severities and texts as they appear in reports.
+# Ids, names, severities and issue texts as they appear in reports.
 CLIENT_RULES: tuple[Rule, ...] = (
     status_measure(
         id="archived_client_with_aum",
         name="Archived clients still showing AUM",
-        description="Clients marked as archived should not have active assets under management",
+        description="An archived client holds no assets any more",
         severity="high",
         table="CLIENTS",
         primary_key=("CLIENT_ID",),
@@ -23,7 +23,7 @@ CLIENT_RULES: tuple[Rule, ...] = (
     retention_cutoff(
         id="pre_2017_client_not_deleted",
         name="Clients listed prior to 2017 should be deleted",
-        description="Legacy clients created before 2017 should no longer exist in active tables",
+        description="Records from before 2017 are past their retention period",
         severity="high",
         table="CLIENTS",
         primary_key=("CLIENT_ID",),
@@ -37,7 +37,7 @@ CLIENT_RULES: tuple[Rule, ...] = (
     any_valid_reference(
         id="invalid_im_fp",
         name="Clients missing or with invalid IM / FP adviser",
-        description="Each client must have at least one valid IM or FP assigned; invalid codes are flagged",
+        description="One of the two adviser codes is set, and each that is set is in the register",
         severity="medium",
         table="CLIENTS",
         primary_key=("CLIENT_ID",),
@@ -51,7 +51,7 @@ CLIENT_RULES: tuple[Rule, ...] = (
     required_reference(
         id="invalid_rm",
         name="Clients missing or with invalid Relationship Manager (RM)",
-        description="Every client must have a valid RM code assigned in the reference adviser table",
+        description="The relationship manager's code is set and in the register",
         severity="medium",
         table="CLIENTS",
         primary_key=("CLIENT_ID",),
@@ -62,14 +62,14 @@ CLIENT_RULES: tuple[Rule, ...] = (
     Rule(
         id=labels.DUPLICATE_TYPE,
         name=labels.DUPLICATE_RULE,
-        description="Duplicate PK values detected during profiling",
+        description="The profiler found a key more than once",
         severity=labels.DUPLICATE_SEVERITY,
         dynamic=True,
     ),
     Rule(
         id=labels.HIGH_NULL_TYPE,
         name=labels.HIGH_NULL_RULE,
-        description="Column has unusually high null percentage",
+        description="The profiler found more nulls than the threshold allows",
         severity=labels.HIGH_NULL_SEVERITY,
         dynamic=True,
     ),

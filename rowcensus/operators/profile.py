@@ -15,6 +15,7 @@ from .issues import issue_columns
 
 NULL_THRESHOLD = 0.05
 DISTINCT_CHUNK = 3
+WIDE_TABLE = 24
 
 PROFILE_SCHEMA = (
     "TABLE_NAME string, COLUMN_NAME string, DATA_TYPE string, ORDINAL_POSITION int, "
@@ -89,13 +90,16 @@ def distinct_profile(
     method: str = "exact",
     chunk: int = DISTINCT_CHUNK,
     rsd: float = 0.05,
+    wide: int = WIDE_TABLE,
 ) -> DataFrame:
     """Distinct non-null values of every column.
 
     Exact counts of several columns in one aggregate make Spark copy each row once per
     column, every copy as wide as all of them. Columns are therefore counted in chunks: a
     columnar scan reads each column once either way, and the copies stay narrow. Every
-    chunk removes repeats before its shuffle, so hot values cost nothing extra.
+    chunk removes repeats before its shuffle, so hot values cost nothing extra. With more
+    than ``wide`` columns the chunks would open the table too often: all columns of one type
+    are then turned into rows (column, value) in one scan, of which repeats are removed.
 
     ``method="approx"`` counts all columns in one pass with fixed-size sketches.
     """
@@ -104,6 +108,8 @@ def distinct_profile(
         raise ValueError(f"unknown method: {method}")
     if not names:
         return df.sparkSession.createDataFrame([], DISTINCT_SCHEMA)
+    if method == "exact" and len(names) > wide:
+        return _distinct_by_type(df, table, names)
     size = chunk if method == "exact" else len(names)
     call = "count(DISTINCT {})" if method == "exact" else f"approx_count_distinct({{}}, {rsd})"
     frames = []
@@ -118,6 +124,25 @@ def distinct_profile(
     return _union(frames)
 
 
+def _distinct_by_type(df: DataFrame, table: str, names: Sequence[str]) -> DataFrame:
+    """Exact distinct counts from one scan per data type."""
+    by_type: dict[str, list[str]] = {}
+    for name in names:
+        by_type.setdefault(df.select(quoted(name)).schema[0].dataType.simpleString(), []).append(name)
+    frames = []
+    for same in by_type.values():
+        pairs = ", ".join(f"struct({i} AS _column, {quoted(c)} AS _value)" for i, c in enumerate(same))
+        values = df.selectExpr(f"inline(array({pairs}))")
+        counted = values.groupBy("_column", "_value").agg(F.expr("min(0) AS _zero"))
+        # A column of nulls only still has its row, with a count of 0.
+        counted = counted.groupBy("_column").agg(F.expr("count(_value) AS DISTINCT_COUNT"))
+        listed = f"array({', '.join(literal(c) for c in same)})"
+        every = df.sparkSession.range(len(same)).selectExpr(f"{listed}[id] AS COLUMN_NAME", "CAST(id AS INT) AS _at")
+        joined = every.join(counted, F.expr("_at = _column"), "left")
+        frames.append(joined.selectExpr(f"{literal(table)} AS TABLE_NAME", "COLUMN_NAME", "coalesce(DISTINCT_COUNT, 0L) AS DISTINCT_COUNT"))
+    return _union(frames)
+
+
 def column_profiles(df: DataFrame, table: str, method: str = "exact", chunk: int = DISTINCT_CHUNK) -> DataFrame:
     """Null and distinct figures of every column in one row per column."""
     return merge_profiles(null_profile(df, table), distinct_profile(df, table, method=method, chunk=chunk))
@@ -232,8 +257,8 @@ def table_profiles(
 ) -> DataFrame:
     """One row per table: size, keys, issue counts and issue texts.
 
-    ``duplicates`` is a stored issue frame to count duplicate groups from; without it the
-    groups are counted from the tables. All duplicate groups of a table are one table
+    ``duplicates`` is a stored issue frame, or its counts per table, to count duplicate
+    groups from; without it the groups are counted from the tables. All duplicate groups of a table are one table
     issue. Table issues come first in the text, then column issues in column order.
     """
     if profile is None:
@@ -242,7 +267,8 @@ def table_profiles(
         groups = _duplicate_group_counts(tables, keys, max_extra)
     else:
         found = duplicates.filter(F.col("ISSUE_TYPE") == labels.DUPLICATE_TYPE)
-        groups = found.groupBy("TABLE_NAME").agg(F.expr("count(1) AS _groups"))
+        each = "ISSUE_COUNT" if "ISSUE_COUNT" in found.columns else "1L"
+        groups = found.groupBy("TABLE_NAME").agg(F.expr(f"sum({each}) AS _groups"))
 
     # Facts about a table, one text each; rank 0 is the table itself, others its columns.
     no_rows = "CAST(NULL AS BIGINT) AS ROW_COUNT"

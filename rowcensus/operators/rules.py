@@ -97,13 +97,18 @@ def rule_issues(found: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def actual_names(df: DataFrame, wanted: Iterable[str]) -> list[str]:
+    """The columns of ``df`` that are meant, in whatever case they are given, each once."""
+    by_upper = {c.upper(): c for c in df.columns}
+    return list(dict.fromkeys(c if c in df.columns else by_upper.get(c.upper(), c) for c in wanted))
+
+
 def check_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Issues of any number of row-local rules over one table, from one scan."""
-    names = {c.upper(): c for c in df.columns}
     issues = []
     for rule in rules:
-        keys = [names.get(k.upper(), k) for k in rule.primary_key]
-        values = [names.get(c.upper(), c) for c in dict.fromkeys((*keys, *rule.payload))]
+        keys = actual_names(df, rule.primary_key)
+        values = actual_names(df, (*keys, *rule.payload))
         columns = issue_columns(
             TABLE_NAME=literal(rule.table),
             PRIMARY_KEY=literal(", ".join(rule.primary_key)),

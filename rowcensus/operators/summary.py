@@ -11,10 +11,27 @@ from ..functions.text import literal
 GROUP = ("ISSUE_TYPE", "RULE_NAME", "TABLE_NAME")
 
 
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """Issues per type, rule, table and severity: a few rows from which all summaries follow.
+
+    The summaries below take issues, or this frame in their place.
+    """
+    return issues.groupBy(*GROUP, "SEVERITY").agg(F.expr("count(1) AS ISSUE_COUNT"))
+
+
+def _weight(issues: DataFrame) -> str:
+    """How many issues a row stands for."""
+    return "ISSUE_COUNT" if "ISSUE_COUNT" in issues.columns else "1L"
+
+
+def _total(issues: DataFrame, where: str = "TRUE") -> str:
+    return f"coalesce(sum(IF({where}, {_weight(issues)}, 0L)), 0L)"
+
+
 def rule_summary(issues: DataFrame) -> DataFrame:
     """Issue counts by type, rule and severity, largest first; null keys are kept."""
     keys = ["ISSUE_TYPE", "RULE_NAME", "SEVERITY"]
-    counted = issues.groupBy(*keys).agg(F.expr("count(1) AS ISSUE_COUNT"))
+    counted = issues.groupBy(*keys).agg(F.expr(f"sum({_weight(issues)}) AS ISSUE_COUNT"))
     return counted.orderBy(F.desc("ISSUE_COUNT"), *keys)
 
 
@@ -25,7 +42,7 @@ def severity_rank(severity: str = "SEVERITY") -> str:
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:
-    counted = issues.groupBy("SEVERITY").agg(F.expr("count(1) AS ISSUE_COUNT"))
+    counted = issues.groupBy("SEVERITY").agg(F.expr(f"sum({_weight(issues)}) AS ISSUE_COUNT"))
     return counted.selectExpr("*", f"{severity_rank()} AS SEVERITY_RANK").orderBy("SEVERITY_RANK", "SEVERITY")
 
 
@@ -39,9 +56,9 @@ def overview(issues: DataFrame, table_profiles: DataFrame, generated: str) -> Da
         return f"inline(array({', '.join(metrics)}))"
 
     counts = issues.selectExpr(
-        "count(1) AS total",
-        "count_if(SEVERITY = 'critical') AS critical",
-        "count_if(SEVERITY = 'high') AS high",
+        f"{_total(issues)} AS total",
+        f"{_total(issues, "SEVERITY = 'critical'")} AS critical",
+        f"{_total(issues, "SEVERITY = 'high'")} AS high",
     ).selectExpr(
         rows(
             metric(1, labels.METRIC_TOTAL, "total"),
@@ -60,7 +77,7 @@ def run_result(issues: DataFrame, tables_scanned: int, location: str | None = No
     return issues.selectExpr(
         f"CAST({literal(location)} AS STRING) AS output_path",
         f"{int(tables_scanned)}L AS tables_scanned",
-        "count(1) AS total_issues",
+        f"{_total(issues)} AS total_issues",
     )
 
 

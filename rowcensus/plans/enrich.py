@@ -14,7 +14,6 @@ from ..operators.summary import GROUP
 
 SAMPLE_SIZE = 5
 TOKEN_LIMIT = 1024
-FALLBACK_CHARS = 500
 
 CONTRACT = (
     "Answer with one JSON object and nothing else: no markdown, no code fences.\n"
@@ -131,19 +130,23 @@ def respond(
 
     spark = prompts.sparkSession
     tasks = parallel or spark.sparkContext.defaultParallelism
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
+    fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in prompts.schema.fields)
     return prompts.repartition(tasks).mapInPandas(run, f"{fields}, RESPONSE string, ERROR string")
 
 
 def parse_responses(
-    df: DataFrame, response: str = "RESPONSE", issue_type: str = "ISSUE_TYPE", rule_name: str = "RULE_NAME"
+    df: DataFrame,
+    response: str = "RESPONSE",
+    issue_type: str = "ISSUE_TYPE",
+    rule_name: str = "RULE_NAME",
+    fallback_chars: int | None = None,
 ) -> DataFrame:
     """The four LLM_* columns from free-form answers.
 
     Missing keys give empty texts. An answer that is not exactly one JSON object becomes
-    the summary (its first 500 characters) with a note to review it by hand. The text is
-    parsed as the only element of an array, since the parser would otherwise accept
-    whatever follows the first object.
+    the summary, whole unless ``fallback_chars`` says how much of it to keep, with a note to
+    review it by hand. The text is parsed as the only element of an array, since the parser
+    would otherwise accept whatever follows the first object.
     """
     raw, kind, rule = quoted(response), quoted(issue_type), quoted(rule_name)
     schema = f"array<struct<{', '.join(f'{key}: string' for key in labels.RESPONSE_COLUMNS)}>>"
@@ -152,7 +155,7 @@ def parse_responses(
     is_object = "startswith(_json, '{') AND endswith(_json, '}')"
     parsed = f"IF({is_object}, from_json(concat('[', _json, ']'), '{schema}', {strict}), NULL)"
     fallback = {
-        "llm_summary": f"substring({raw}, 1, {FALLBACK_CHARS})",
+        "llm_summary": raw if fallback_chars is None else f"substring({raw}, 1, {int(fallback_chars)})",
         "business_impact": "''",
         "recommended_fix": literal(labels.MANUAL_FIX),
         "governance_note": f"concat('Issue: ', coalesce({kind}, 'None'), ' / ', "
@@ -170,14 +173,17 @@ def parse_responses(
 def attach_texts(issues: DataFrame, texts: DataFrame) -> DataFrame:
     """Give every issue the texts of its group, null keys included; empty by default.
 
-    ``texts`` has one row per group. Catalyst broadcasts it when it is measured small
-    enough; beyond that, AQE splits the groups that hold most of the issues.
+    ``texts`` has one row per group. If it has the ERROR of each group, that becomes
+    LLM_ERROR. Catalyst broadcasts it when it is measured small enough; beyond that, AQE
+    splits the groups that hold most of the issues.
     """
     names = list(labels.RESPONSE_COLUMNS.values())
-    right = texts.selectExpr(*[f"{k} AS _{k}" for k in GROUP], *names)
+    errors = ["ERROR AS LLM_ERROR"] if "ERROR" in texts.columns else []
+    right = texts.selectExpr(*[f"{k} AS _{k}" for k in GROUP], *names, *errors)
     same_group = F.expr(" AND ".join(f"{k} <=> _{k}" for k in GROUP))
     joined = issues.join(right, same_group, "left")
-    return joined.selectExpr(*[quoted(c) for c in issues.columns], *[f"coalesce({n}, '') AS {n}" for n in names])
+    kept = [quoted(c) for c in issues.columns]
+    return joined.selectExpr(*kept, *[f"coalesce({n}, '') AS {n}" for n in names], *(["LLM_ERROR"] if errors else []))
 
 
 def template_answers() -> Callable[[list[str]], list[str]]:

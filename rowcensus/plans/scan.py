@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import profile as P
 from ..operators.issues import ISSUE_SCHEMA, combine_issues, stamp
 from ..operators.rules import Rule, run_rules
-from ..operators.summary import overview, rule_summary, run_result
+from ..operators.summary import issue_counts, overview, rule_summary, run_result
 from ..sources.catalog import declared_keys, load_tables, not_null_columns, resolve_keys
 from ..sources.footers import parquet_location, write_footer_profile
 from ..sources.jobs import side_by_side
@@ -21,6 +22,8 @@ from ..sources.staging import Stage
 from .enrich import attach_texts, issue_prompts, parse_responses, respond, table_prompts
 from .report import PREFIX, write_report
 
+log = logging.getLogger(__name__)
+
 TABLE_BATCH = 40
 NO_PROFILES = (
     "TABLE_NAME string, ROW_COUNT bigint, PRIMARY_KEYS string, COLUMN_ISSUE_COUNT bigint, "
@@ -40,6 +43,9 @@ class ScanOptions:
     rules: bool = True
     parallel: int = 4
     model_tasks: int | None = None
+    max_tokens: int | None = None  # these three go to the model function's caller
+    attempts: int = 3
+    prompt_batch: int = 16
     distinct: str | None = None  # "exact" or "approx" adds distinct counts to Column_Profiles
 
 
@@ -49,23 +55,29 @@ def _batches(items: Sequence) -> Iterable[Sequence]:
 
 
 def stored_profile(
-    spark: SparkSession, tables: Mapping[str, DataFrame], paths: Mapping[str, str], stage: Stage
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    paths: Mapping[str, str],
+    stage: Stage,
+    parallel: int = 4,
 ) -> DataFrame:
     """Null profile of all tables, some tables per job so that plans stay small.
 
     Tables with a known Parquet folder are answered from the footers where possible. The
     result has one row per column, which is why one file per batch is enough.
     """
-    written = []
-    scanned = [name for name in tables if name not in paths]
-    for names in _batches([name for name in tables if name in paths]):
-        path = write_footer_profile(spark, {n: tables[n] for n in names}, paths, stage)
-        if path is None:
-            scanned += names
-        else:
-            written.append(path)
-    for names in _batches(scanned):
-        written.append(stage.write(P.null_profiles({n: tables[n] for n in names}).coalesce(1), "profile"))
+
+    def from_footers(names: Sequence[str]) -> tuple[list[str], list[str]]:
+        return write_footer_profile(spark, {n: tables[n] for n in names}, paths, stage, parallel)
+
+    def from_data(names: Sequence[str]) -> str:
+        return stage.write(P.null_profiles({n: tables[n] for n in names}).coalesce(1), "profile")
+
+    known = [name for name in tables if name in paths]
+    answers = side_by_side(spark, [partial(from_footers, names) for names in _batches(known)], parallel)
+    scanned = [name for name in tables if name not in paths] + [name for _, failed in answers for name in failed]
+    written = [path for found, _ in answers for path in found]
+    written += side_by_side(spark, [partial(from_data, names) for names in _batches(scanned)], parallel)
     return stage.read(P.PROFILE_SCHEMA, *written)
 
 
@@ -91,11 +103,11 @@ def _stored_issues(
     for name, df in tables.items():
         if keys.get(name):
             found.append(P.duplicate_key_issues(df, name, keys[name], options.max_extra))
-    written = []
-    for part in _batches(found):
-        issues = stamp(reduce(DataFrame.union, part), database, schema)
-        written.append(stage.write_findings(issues, "profile-issues"))
-    return written
+
+    def stored(part: Sequence[DataFrame]) -> str:
+        return stage.write_findings(stamp(reduce(DataFrame.union, part), database, schema), "profile-issues")
+
+    return side_by_side(stage.spark, [partial(stored, part) for part in _batches(found)], options.parallel)
 
 
 def table_keys(
@@ -131,42 +143,59 @@ def scan(
     Every table is read twice at most by the profiler (all columns for nulls, key columns
     for duplicates) and once per group of rules. Profiles, issues and model answers are
     stored as they are made; every returned frame reads those files, so looking at one
-    repeats no scan and calls no model again. ``paths`` names the folders of tables that are
+    repeats no scan and calls no model again. The issues are counted once, by type, rule,
+    table and severity, and all summaries follow from the counts. A prompt that the model
+    does not answer leaves its error in LLM_ERROR. ``paths`` names the folders of tables that are
     plain Parquet: their nulls are counted from the file footers alone.
     """
     stage = stage or Stage(spark)
 
-    def profiled() -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    def counted(part: DataFrame) -> DataFrame:
+        counts = issue_counts(part)
+        return stage.read(counts.schema, stage.write(counts.coalesce(1), "counts"))
+
+    def profiled() -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
         if not (options.profile and tables):
-            return spark.createDataFrame([], P.PROFILE_SCHEMA), spark.createDataFrame([], NO_PROFILES), None
+            return spark.createDataFrame([], P.PROFILE_SCHEMA), spark.createDataFrame([], NO_PROFILES), None, None
         named = {name: df for name, df in tables.items() if df.columns}
         if named:
-            profile = stored_profile(spark, named, paths or {}, stage)
+            profile = stored_profile(spark, named, paths or {}, stage, options.parallel)
         else:
             profile = spark.createDataFrame([], P.PROFILE_SCHEMA)
         keys = table_keys(tables, profile, overrides, declared)
         stored = stage.read(ISSUE_SCHEMA, *_stored_issues(tables, keys, profile, stage, options, database, schema))
-        summary = P.table_profiles(tables, keys, profile, stored, options.null_threshold, options.max_extra)
+        counts = counted(stored)
+        summary = P.table_profiles(tables, keys, profile, counts, options.null_threshold, options.max_extra)
+        summary = stage.read(summary.schema, stage.write(summary.coalesce(1), "table-profiles"))
         if options.distinct and named:
             distincts = _stored_distincts(spark, named, options.distinct, stage, options.parallel)
             profile = P.merge_profiles(profile, distincts)
-        return profile, summary, stored
+        return profile, summary, stored, counts
 
-    def ruled() -> DataFrame | None:
+    def ruled() -> tuple[DataFrame | None, DataFrame | None]:
         if not options.rules:
-            return None
-        return run_rules(spark, rules, database, schema, dict(tables) or None, stage, options.parallel)
+            return None, None
+        broken = run_rules(spark, rules, database, schema, dict(tables) or None, stage, options.parallel)
+        return broken, counted(broken)
 
-    (columns, profiles, stored), broken = side_by_side(spark, [profiled, ruled], 2)
+    (columns, profiles, stored, stored_counts), (broken, broken_counts) = side_by_side(spark, [profiled, ruled], 2)
     issues = combine_issues(spark, [part for part in (stored, broken) if part is not None])
+    parts = [part for part in (stored_counts, broken_counts) if part is not None]
+    counts = reduce(DataFrame.union, parts) if parts else issue_counts(issues)
 
     explained = issues
-    summaries = spark.createDataFrame([], "TABLE_NAME string, LLM_SUMMARY string")
+    summaries = spark.createDataFrame([], "TABLE_NAME string, LLM_SUMMARY string, LLM_ERROR string")
     if enrich is not None:
 
         def answered(prompts: DataFrame, label: str) -> DataFrame:
-            answers = respond(prompts, enrich, parallel=options.model_tasks)
-            return stage.read(answers.schema, stage.write(answers, label))
+            answers = respond(
+                prompts, enrich, options.attempts, options.prompt_batch, options.model_tasks, options.max_tokens
+            )
+            answers = stage.read(answers.schema, stage.write(answers, label))
+            failed = answers.where("ERROR IS NOT NULL").count()
+            if failed:
+                log.warning("%d of the %s are missing; LLM_ERROR says why", failed, label)
+            return answers
 
         about_tables, about_issues = side_by_side(
             spark,
@@ -176,18 +205,20 @@ def scan(
             ],
             2,
         )
-        summaries = about_tables.selectExpr("TABLE_NAME", "coalesce(RESPONSE, '') AS LLM_SUMMARY")
+        summaries = about_tables.selectExpr(
+            "TABLE_NAME", "coalesce(RESPONSE, '') AS LLM_SUMMARY", "ERROR AS LLM_ERROR"
+        )
         explained = attach_texts(issues, parse_responses(about_issues))
 
     stamp_text = generated or datetime.now().isoformat()
     return {
-        "Overview": overview(issues, profiles, stamp_text),
-        "Rule_Summary": rule_summary(issues),
+        "Overview": overview(counts, profiles, stamp_text),
+        "Rule_Summary": rule_summary(counts),
         "Table_Profiles": profiles.select(*PROFILE_COLUMNS),
         "Row_Issues": explained,
         "LLM_Table_Summaries": summaries,
         "Column_Profiles": columns,
-        "Run_Result": run_result(issues, len(tables)),
+        "Run_Result": run_result(counts, len(tables)),
     }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import literal, quoted
 
+log = logging.getLogger(__name__)
+
 KEY_PROPERTY = "dq.primary_key"
 KEY_SUFFIXES = ("ID", "KEY")
 BASE_TYPES = ("MANAGED", "EXTERNAL")
@@ -26,25 +30,49 @@ def register_parquet(
     paths: Mapping[str, str],
     keys: Mapping[str, Sequence[str]] | None = None,
 ) -> None:
-    """Register Parquet folders as external tables, optionally with declared keys."""
+    """Register Parquet folders as external tables, optionally with declared keys.
+
+    A table that is known already keeps its folder, which has to be the given one, and gets
+    the keys that are given for it.
+    """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(schema)}")
     known = {row["tableName"].upper() for row in spark.sql(f"SHOW TABLES IN {quoted(schema)}").collect()}
     for name, path in paths.items():
+        wanted = list((keys or {}).get(name) or ())
+        property_list = f"({literal(KEY_PROPERTY)} = {literal(','.join(wanted))})"
         if name.upper() in known:
+            folder = _described(spark, schema, name).get("Location", "")
+            if _plain(folder) != _plain(path):
+                raise ValueError(f"{schema}.{name} is registered on {folder}, not on {path}")
+            if wanted and wanted != declared_keys(spark, schema, name):
+                spark.sql(f"ALTER TABLE {table_ref(schema, name)} SET TBLPROPERTIES {property_list}")
             continue
-        properties = ""
-        if keys and keys.get(name):
-            properties = f" TBLPROPERTIES ('{KEY_PROPERTY}' = '{','.join(keys[name])}')"
+        properties = f" TBLPROPERTIES {property_list}" if wanted else ""
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table_ref(schema, name)} "
             f"USING parquet LOCATION {literal(path)}{properties}"
         )
 
 
-def list_tables(spark: SparkSession, schema: str, exclude: Iterable[str] = ()) -> list[str]:
-    """Base tables of a schema by name, without views and excluded names (any case)."""
+def _plain(folder: str) -> str:
+    """A folder without the ways to write a local path that mean the same."""
+    return re.sub("^file:/+", "/", folder).rstrip("/")
+
+
+def _described(spark: SparkSession, *parts: str) -> dict[str, str]:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table_ref(*parts)}").collect()
+    return {row["col_name"]: row["data_type"] for row in rows}
+
+
+def list_tables(
+    spark: SparkSession, schema: str, exclude: Iterable[str] = (), database: str | None = None
+) -> list[str]:
+    """Base tables of a schema by name, without views and excluded names (any case).
+
+    ``database`` is the catalog that holds the schema, the current one by default.
+    """
     dropped = {name.upper() for name in exclude}
-    found = spark.catalog.listTables(schema)
+    found = spark.catalog.listTables(table_ref(*([database] if database else []), schema))
     names = [t.name for t in found if not t.isTemporary and t.tableType in BASE_TYPES]
     return sorted(n for n in names if n.upper() not in dropped)
 
@@ -55,7 +83,7 @@ def load_tables(
     """Lazy frames of all base tables, in listing order."""
     return {
         name: spark.table(table_ref(database, schema, name))
-        for name in list_tables(spark, schema, exclude)
+        for name in list_tables(spark, schema, exclude, database)
     }
 
 
@@ -81,8 +109,15 @@ def column_metadata(
 
 
 def declared_keys(spark: SparkSession, *parts: str) -> list[str]:
-    """Key columns declared in the table property, in key order; empty if undeclared."""
-    rows = spark.sql(f"SHOW TBLPROPERTIES {table_ref(*parts)}").collect()
+    """Key columns declared in the table property, in key order; empty if undeclared.
+
+    A catalog that cannot tell is logged, and the key is inferred then.
+    """
+    try:
+        rows = spark.sql(f"SHOW TBLPROPERTIES {table_ref(*parts)}").collect()
+    except Exception as error:
+        log.warning("no declared key of %s: %s", table_ref(*parts), error)
+        return []
     text = next((row["value"] for row in rows if row["key"] == KEY_PROPERTY), "")
     return [part.strip() for part in text.split(",") if part.strip()]
 

@@ -56,5 +56,11 @@ class Stage:
         """
         return self.write(df.hint("rebalance"), label)
 
+    def close(self) -> None:
+        """Remove the run's folder. No frame that reads from it may be used afterwards."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(hadoop, True)
+
     def read(self, schema: StructType | str, *paths: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)

@@ -58,7 +58,7 @@ RESPONSE_TEXT = """CASE event_type
     WHEN 'click' THEN concat('{"llm_summary": "event ', event_id, '", "business_impact": "low", "k": ', substr(props, 7))
     WHEN 'view' THEN concat('Sure!', chr(10), '```JSON', chr(10), '{"recommended_fix": "fix ', user_id,
         '", "governance_note": "n"}', chr(10), '```', chr(10), 'Hope it helps')
-    WHEN 'signup' THEN concat('  The finding is ', props, ' as seen.')
+    WHEN 'signup' THEN concat('  The finding is ', repeat(concat(props, ' '), 60), ' as seen.')
     WHEN 'purchase' THEN concat('No object for event ', event_id, ' } or {')
     ELSE concat('{"llm_summary": "broken ', event_id, '",}')
 END"""

@@ -275,7 +275,7 @@ PARSED = (
     + "SELECT event_id, ISSUE_TYPE, RULE_NAME, "
     + ", ".join(
         [
-            _parsed("llm_summary", "substr(RESPONSE, 1, 500)"),
+            _parsed("llm_summary", "RESPONSE"),
             _parsed("business_impact", "''"),
             _parsed("recommended_fix", "'Review issue manually; LLM response was not structured JSON.'"),
             _parsed("governance_note", "'Issue: ' || ISSUE_TYPE || ' / ' || RULE_NAME"),
@@ -296,6 +296,7 @@ def _inputs(query: str) -> str:
     return f"WITH {INPUTS}, {PROFILE}\n{query}"
 
 
+# The names of the metrics, as reports carry them.
 METRICS = """
 SELECT 'Total row-level issues' AS Metric, CAST(count(*) AS VARCHAR) AS Value FROM issues
 UNION ALL SELECT 'Tables scanned', CAST(count(DISTINCT TABLE_NAME) AS VARCHAR) FROM profile
@@ -311,6 +312,28 @@ SCAN_ISSUES = _union([ALL, *[_duplicates(t, t, _EXTRA_KEYS[t]) for t in SCAN_EXT
 
 _LINE_GROUPS = "SELECT l_orderkey, l_linenumber, count(*) AS DUPLICATE_COUNT FROM lineitem GROUP BY ALL HAVING count(*) > "
 
+REPORT_METRICS = METRICS.replace("count(DISTINCT TABLE_NAME)", f"count(DISTINCT TABLE_NAME) + {len(SCAN_EXTRA)}")
+
+
+def _schema_scan() -> str:
+    """Row count, keys and findings of every given table; none of them holds a null."""
+    keys = {**{t: columns.split()[:1] for t, columns in RAW.items()}, "conversations": ["conv_id", "turn"]}
+    keys["lineitem"] = ["l_orderkey", "l_linenumber"]
+    parts = []
+    for t, own in keys.items():
+        groups = f"(SELECT count(*) FROM (SELECT 1 FROM {t} GROUP BY {', '.join(own)} HAVING count(*) > 1))"
+        rule = "(SELECT count(*) FROM customer WHERE c_acctbal < 0)" if t == "customer" else "0"
+        parts.append(
+            f"SELECT '{t}' AS TABLE_NAME, count(*) AS ROW_COUNT, '{', '.join(own)}' AS PRIMARY_KEYS, "
+            f"CAST(0 AS BIGINT) AS COLUMN_ISSUE_COUNT, CAST({groups} > 0 AS BIGINT) AS TABLE_ISSUE_COUNT, "
+            f"CASE WHEN {groups} > 0 THEN 'Found ' || {groups} || ' duplicate primary key group(s) on ' || {_text(repr(own))} "
+            f"ELSE 'None' END AS ISSUES, {groups} + {rule} AS ISSUES_FOUND FROM {t}"
+        )
+    return _union(parts)
+
+
+SCHEMA_SCAN = _schema_scan()
+
 ORACLES: dict[str, str] = {
     "list_tables": _union(
         f"SELECT '{t}' AS TABLE_NAME, count(*) AS ROW_COUNT FROM {t}" for t in RAW if t != "embeddings"
@@ -444,13 +467,41 @@ ORACLES: dict[str, str] = {
     ),
     "report_datasets": _with(
         SCAN_ISSUES,
-        "SELECT 'Overview' AS dataset, CAST(5 AS BIGINT) AS n_rows "
-        "UNION ALL SELECT 'Rule_Summary', count(*) FROM (SELECT DISTINCT ISSUE_TYPE, RULE_NAME, SEVERITY FROM issues) "
-        "UNION ALL SELECT 'Table_Profiles', count(DISTINCT TABLE_NAME) + 3 FROM profile "
-        "UNION ALL SELECT 'Row_Issues', count(*) FROM issues "
-        "UNION ALL SELECT 'LLM_Table_Summaries', count(DISTINCT TABLE_NAME) FROM issues "
-        "WHERE ISSUE_TYPE IN ('high_null_rate', 'duplicate_primary_key')",
+        f"SELECT 'Overview' AS dataset, Metric AS item, Value AS content FROM ({REPORT_METRICS}) "
+        "UNION ALL SELECT 'Rule_Summary', concat_ws('/', ISSUE_TYPE, RULE_NAME, SEVERITY), CAST(count(*) AS VARCHAR) "
+        "FROM issues GROUP BY ISSUE_TYPE, RULE_NAME, SEVERITY "
+        "UNION ALL SELECT 'Table_Profiles', concat_ws('/', TABLE_NAME, ROW_COUNT, PRIMARY_KEYS), ISSUES FROM table_profiles "
+        + "".join(
+            f"UNION ALL SELECT 'Table_Profiles', concat_ws('/', '{t}', count(*), '{keys[0]}'), 'None' FROM {t} "
+            for t, keys in _EXTRA_KEYS.items()
+        )
+        + "UNION ALL SELECT 'Row_Issues', concat_ws('/', ISSUE_TYPE, TABLE_NAME, ROW_IDENTIFIER, ISSUE_DETAIL, SEVERITY), "
+        "ISSUE_TYPE || ' in ' || TABLE_NAME FROM issues "
+        "UNION ALL SELECT 'LLM_Table_Summaries', TABLE_NAME, 'Describe the data quality of the table ' || TABLE_NAME || "
+        "' for a governance report.' FROM table_profiles WHERE COLUMN_ISSUE_COUNT + TABLE_ISSUE_COUNT > 0",
+        more=TABLE_PROFILES,
+    ),
+    "distinct_profile_approx": _inputs(
+        f"SELECT TABLE_NAME, COLUMN_NAME, DISTINCT_COUNT, TRUE AS CLOSE FROM ({_union(_distinct_rows('lineitem_d'))})"
+    ),
+    "distinct_profile_wide": _union(
+        f"SELECT 'lineitem' AS TABLE_NAME, '{c}' AS COLUMN_NAME, count(DISTINCT {c}) AS DISTINCT_COUNT FROM lineitem"
+        for c in RAW["lineitem"].split()
+    ),
+    "zero_column_table": _inputs("").rstrip()
+    + TABLE_PROFILES
+    + "SELECT TABLE_NAME, ROW_COUNT, PRIMARY_KEYS, COLUMN_ISSUE_COUNT, TABLE_ISSUE_COUNT, ISSUES FROM table_profiles "
+    "WHERE TABLE_NAME = 'events_d' UNION ALL SELECT 'bare', count(*), '', 0, 1, 'No columns found in INFORMATION_SCHEMA' "
+    "FROM orders",
+    "enrich_failure": _combined(
+        f"SELECT {GROUP}, CASE WHEN ISSUE_TYPE = 'high_null_rate' THEN '' ELSE {ANSWER['llm_summary']} END AS LLM_SUMMARY, "
+        "CASE WHEN ISSUE_TYPE = 'high_null_rate' THEN 'ValueError: refused' END AS LLM_ERROR, count(*) AS n_rows "
+        f"FROM issues GROUP BY {GROUP}"
     ),
+    "empty_report": "SELECT 'Rule_Summary' AS dataset, 'No issues found' AS content "
+    "UNION ALL SELECT 'LLM_Table_Summaries', 'No issues found' "
+    + "".join(f"UNION ALL SELECT '{t}', CAST(count(*) AS VARCHAR) FROM {t} " for t in ("customer", "part", "documents")),
+    "schema_scan": SCHEMA_SCAN,
     "insert_missing": "SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, 0, 0 FROM documents "
     "WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "apply_corrections": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'Corrected ' || c_name ELSE c_name END AS c_name, "

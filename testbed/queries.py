@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from rowcensus.operators.builders import (
 from rowcensus.operators.issues import combine_issues, stamp, widen_issues
 from rowcensus.operators.rules import Rule, run_rule, run_rules
 from rowcensus.plans import enrich as E
-from rowcensus.plans.report import DATASETS, write_report
-from rowcensus.plans.scan import scan, stored_profile, table_keys
+from rowcensus.plans.report import write_report
+from rowcensus.plans.scan import scan, scan_schema, stored_profile, table_keys
 from rowcensus.sources import catalog as C
 from rowcensus.sources.footers import parquet_location
 from rowcensus.sources.staging import Stage
@@ -44,6 +45,8 @@ STATUS_RULE = status_measure(
     status="o_orderstatus",
     value="F",
     measure="price",
+    # Names count in any case, and the key is not listed twice.
+    payload=("O_ORDERKEY", "o_orderstatus", "Price"),
     detail="Order is closed but price = ",
 )
 RETENTION_RULE = retention_cutoff(
@@ -193,7 +196,25 @@ def distinct_profile(spark, sf):
 
 
 def distinct_profile_approx(spark, sf):
-    return P.distinct_profile(derived(spark, sf, "lineitem_d"), "lineitem_d", method="approx")
+    """Whether each estimate lies within three times its standard deviation of the exact count."""
+    df, rsd = derived(spark, sf, "lineitem_d"), 0.05
+    close = P.distinct_profile(df, "lineitem_d", method="approx", rsd=rsd).withColumnRenamed("DISTINCT_COUNT", "ESTIMATE")
+    both = P.distinct_profile(df, "lineitem_d").join(close, ["TABLE_NAME", "COLUMN_NAME"])
+    return both.selectExpr(
+        "TABLE_NAME", "COLUMN_NAME", "DISTINCT_COUNT", f"abs(ESTIMATE - DISTINCT_COUNT) <= 3 * {rsd} * DISTINCT_COUNT AS CLOSE"
+    )
+
+
+def distinct_profile_wide(spark, sf):
+    """One scan per data type instead of chunks of columns."""
+    return P.distinct_profile(table(spark, sf, "lineitem"), "lineitem", wide=4)
+
+
+def zero_column_table(spark, sf):
+    tables = {"bare": table(spark, sf, "orders").select(), "events_d": derived(spark, sf, "events_d")}
+    profile = P.null_profile(tables["events_d"], "events_d")
+    rows = P.table_profiles(tables, {"events_d": KEYS["events_d"]}, profile)
+    return rows.drop("COLUMN_ISSUES", "TABLE_ISSUES")
 
 
 def high_null_rate(spark, sf):
@@ -316,8 +337,14 @@ def severity_counts(spark, sf):
 
 
 def overview(spark, sf):
-    profiles = P.table_profiles(derived_tables(spark, sf), KEYS)
-    return S.overview(_combined(spark, sf), profiles, "2025-01-01T00:00:00")
+    """Profile and issues are stored once, and the metrics follow from them."""
+    stage, known = Stage(spark), scanned_and_references(spark, sf)
+    tables = {name: known[name] for name in SCANNED}
+    profile = stored_profile(spark, tables, {}, stage)
+    found = combine_issues(spark, [P.profile_issues(tables, KEYS, profile), _rule_issues(spark, sf, known)])
+    counts = S.issue_counts(found)
+    counts = stage.read(counts.schema, stage.write(counts, "counts"))
+    return S.overview(counts, P.table_profiles(tables, KEYS, profile, counts), "2025-01-01T00:00:00")
 
 
 def run_result(spark, sf):
@@ -369,10 +396,39 @@ def parse_responses(spark, sf):
     return E.parse_responses(derived(spark, sf, "events_answers")).drop("RESPONSE")
 
 
-def attach_enrichment(spark, sf):
+def _stored_issues(spark, sf, stage):
     issues = _combined(spark, sf)
-    answers = E.respond(E.issue_prompts(issues), E.template_answers())
-    rows = E.attach_texts(issues, E.parse_responses(answers))
+    return stage.read(issues.schema, stage.write_findings(issues, "issues"))
+
+
+def _attached(spark, sf, respond):
+    """Issues and answers are stored once, and the few answers are joined to the issues."""
+    stage = Stage(spark)
+    issues = _stored_issues(spark, sf, stage)
+    answers = E.respond(E.issue_prompts(issues), respond)
+    answers = stage.read(answers.schema, stage.write(answers, "answers"))
+    return E.attach_texts(issues, E.parse_responses(answers))
+
+
+def refusing_answers():
+    """Answers like the template, but nothing about nulls."""
+    answer = E.template_answers()
+
+    def refuse(prompts):
+        if any("high_null_rate" in prompt for prompt in prompts):
+            raise ValueError("refused")
+        return answer(prompts)
+
+    return refuse
+
+
+def enrich_failure(spark, sf):
+    rows = _attached(spark, sf, refusing_answers())
+    return rows.groupBy(*S.GROUP, "LLM_SUMMARY", "LLM_ERROR").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def attach_enrichment(spark, sf):
+    rows = _attached(spark, sf, E.template_answers())
     return rows.select(
         *S.GROUP, "ROW_IDENTIFIER", "LLM_SUMMARY", "LLM_BUSINESS_IMPACT", "LLM_RECOMMENDED_FIX", "LLM_GOVERNANCE_NOTE"
     )
@@ -382,16 +438,41 @@ def report_datasets(spark, sf):
     stage = Stage(spark)
     frames = _scan(spark, sf, enrich=E.template_answers(), stage=stage)
     path = write_report(frames, f"{stage.folder}/report", "20250101_000000")
-    counts = [
-        spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("dataset"), "n_rows"
+    contents = {
+        "Overview": ("Metric", "Value"),
+        "Rule_Summary": ("concat_ws('/', ISSUE_TYPE, RULE_NAME, SEVERITY)", "ISSUE_COUNT"),
+        "Table_Profiles": ("concat_ws('/', TABLE_NAME, ROW_COUNT, PRIMARY_KEYS)", "ISSUES"),
+        "Row_Issues": (
+            "concat_ws('/', ISSUE_TYPE, TABLE_NAME, ROW_IDENTIFIER, ISSUE_DETAIL, SEVERITY)", "concat_ws('/', LLM_SUMMARY, LLM_ERROR)"
+        ),
+        "LLM_Table_Summaries": ("TABLE_NAME", "concat_ws('/', LLM_SUMMARY, LLM_ERROR)"),
+    }
+    rows = [
+        spark.read.parquet(f"{path}/{name}").selectExpr(
+            f"'{name}' AS dataset", f"{key} AS item", f"CAST({value} AS STRING) AS content"
         )
-        for name in DATASETS
+        for name, (key, value) in contents.items()
     ]
-    out = counts[0]
-    for other in counts[1:]:
-        out = out.unionByName(other)
-    return out
+    return reduce(DataFrame.unionByName, rows)
+
+
+def empty_report(spark, sf):
+    """Clean tables: datasets without rows keep one line that says so in their text form."""
+    stage = Stage(spark)
+    tables = {name: table(spark, sf, name) for name in ("customer", "part", "documents")}
+    frames = scan(spark, tables, database=DATABASE, schema="clean", generated="2025-01-01T00:00:00", stage=stage)
+    path = write_report(frames, f"{stage.folder}/report", "20250101_000000", csv=True)
+    read = partial(spark.read.csv, header=True)
+    messages = [read(f"{path}/csv/{name}").selectExpr(f"'{name}' AS dataset", "message AS content") for name in ("Rule_Summary", "LLM_Table_Summaries")]
+    sizes = read(f"{path}/csv/Table_Profiles").selectExpr("TABLE_NAME AS dataset", "ROW_COUNT AS content")
+    return reduce(DataFrame.unionByName, [*messages, sizes])
+
+
+def schema_scan(spark, sf):
+    """All given tables as a schema of the catalog, with their declared keys."""
+    frames = scan_schema(spark, DATABASE, registered(spark, sf), (SQL_RULE,))
+    issues = frames["Row_Issues"].groupBy("TABLE_NAME").agg(F.count(F.lit(1)).alias("ISSUES_FOUND"))
+    return frames["Table_Profiles"].join(issues, "TABLE_NAME", "left").fillna(0, ["ISSUES_FOUND"])
 
 
 def insert_missing(spark, sf):
@@ -425,7 +506,8 @@ _ALL = (
     run_all_rules, rule_error, combined_issues, widened_issues, rule_summary, severity_counts, overview,
     run_result, full_scan, issue_groups, issue_samples, issue_prompts, table_prompts, enrich_template,
     extract_json, parse_responses, attach_enrichment, report_datasets, insert_missing,
-    apply_corrections, ensure_column,
+    apply_corrections, ensure_column, distinct_profile_wide, zero_column_table, enrich_failure,
+    empty_report, schema_scan,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {fn.__name__: fn for fn in _ALL}

@@ -21,10 +21,10 @@ def found(frames, rule):
 
 
 def test_rule_rows(frames):
-    assert found(frames, "archived_client_with_aum") == ["C002", "C003", "C010"]
-    assert found(frames, "pre_2017_client_not_deleted") == ["C004", "C005", "C010"]
-    assert found(frames, "invalid_im_fp") == ["C006", "C007", "C008", "C010", "C013"]
-    assert found(frames, "invalid_rm") == ["C002", "C003", "C004", "C006", "C007", "C008", "C010", "C013", "C014"]
+    assert found(frames, "archived_client_with_aum") == ["K-di", "K-eve", "K-gus"]
+    assert found(frames, "pre_2017_client_not_deleted") == ["K-fay", "K-gus", "K-kit"]
+    assert found(frames, "invalid_im_fp") == ["K-gus", "K-hal", "K-ida", "K-jo", "K-kit"]
+    assert found(frames, "invalid_rm") == ["K-eve", "K-gus", "K-kit"]
 
 
 def test_rule_texts(frames):
@@ -32,12 +32,12 @@ def test_rule_texts(frames):
         (r.ISSUE_TYPE, r.ROW_IDENTIFIER): r.ISSUE_DETAIL
         for r in frames["Row_Issues"].select("ISSUE_TYPE", "ROW_IDENTIFIER", "ISSUE_DETAIL").collect()
     }
-    assert rows["archived_client_with_aum", "C003"] == "Client is archived but AUM = 82000.50"
-    assert rows["pre_2017_client_not_deleted", "C005"] == "Client created 2016-12-01 but still present"
-    assert rows["invalid_im_fp", "C008"] == "Invalid IM code: IM888"
-    assert rows["invalid_im_fp", "C007"] == "Invalid FP code: FP999"
-    assert rows["invalid_im_fp", "C013"] == "Missing IM and FP — at least one adviser required"
-    assert rows["invalid_rm", "C014"] == "Invalid RM code: RM999"
+    assert rows["archived_client_with_aum", "K-di"] == "Client is archived but AUM = 17.30"
+    assert rows["pre_2017_client_not_deleted", "K-kit"] == "Client created 2016-12-31 but still present"
+    assert rows["invalid_im_fp", "K-hal"] == "Invalid IM code: IM404"
+    assert rows["invalid_im_fp", "K-ida"] == "Invalid FP code: FP404"
+    assert rows["invalid_im_fp", "K-jo"] == "Missing IM and FP — at least one adviser required"
+    assert rows["invalid_rm", "K-eve"] == "Invalid RM code: RM404"
     assert rows["duplicate_primary_key", "TRANSACTION_ID=TXN_DUP1"] == "Duplicate PK with count=2"
 
 
@@ -55,16 +55,16 @@ def test_profile_findings(frames):
 def test_summaries(frames):
     overview = {r.Metric: r.Value for r in frames["Overview"].collect()}
     assert overview == {
-        "Total row-level issues": "33",
+        "Total row-level issues": "27",
         "Tables scanned": "10",
         "Critical issues": "4",
         "High severity issues": "6",
         "Report generated": "t0",
     }
     counts = [r.ISSUE_COUNT for r in frames["Rule_Summary"].collect()]
-    assert counts == sorted(counts, reverse=True) and sum(counts) == 33
+    assert counts == sorted(counts, reverse=True) and sum(counts) == 27
     result = frames["Run_Result"].first()
-    assert (result.tables_scanned, result.total_issues) == (10, 33)
+    assert (result.tables_scanned, result.total_issues) == (10, 27)
 
 
 def test_table_profiles(frames):
@@ -74,7 +74,7 @@ def test_table_profiles(frames):
     assert (t.ROW_COUNT, t.PRIMARY_KEYS, t.COLUMN_ISSUE_COUNT, t.TABLE_ISSUE_COUNT) == (9, "TRANSACTION_ID", 0, 1)
     assert t.ISSUES == "Found 2 duplicate primary key group(s) on ['TRANSACTION_ID']"
     assert rows["PRODUCTS"].ISSUES == "None" and rows["PRODUCTS"].PRIMARY_KEYS == "PRODUCT_CODE"
-    assert rows["CLIENTS"].ISSUES.startswith("IM_CODE: Null rate 13.3% exceeds threshold 5.0%; FP_CODE:")
+    assert rows["CLIENTS"].ISSUES.startswith("IM_CODE: Null rate 36.4% exceeds threshold 5.0%; FP_CODE:")
 
 
 def test_texts(frames):
@@ -88,7 +88,7 @@ def test_report(spark, frames, tmp_path):
     path = write_report(frames, str(tmp_path), "20250101_000000", csv=True)
     assert path.endswith("dq_governance_report_20250101_000000")
     issues = spark.read.parquet(f"{path}/Row_Issues")
-    assert issues.count() == 33
+    assert issues.count() == 27
     assert issues.filter("SEVERITY = 'critical'").count() == 4
     overview = spark.read.csv(f"{path}/csv/Overview", header=True)
     assert overview.count() == 5
@@ -107,7 +107,7 @@ def test_clean_schema_is_empty_not_an_error(spark, tmp_path):
 def test_stage_switches(spark):
     tables = fixture_tables(spark)
     only_rules = scan(spark, tables, CLIENT_RULES, options=ScanOptions(profile=False), generated="t0")
-    assert only_rules["Row_Issues"].count() == 20
+    assert only_rules["Row_Issues"].count() == 14
     assert only_rules["Table_Profiles"].count() == 0
     assert only_rules["Run_Result"].first().tables_scanned == 10
     only_profile = scan(spark, tables, CLIENT_RULES, options=ScanOptions(rules=False), generated="t0")

@@ -14,6 +14,7 @@ from rowcensus.operators import upkeep as U
 from rowcensus.operators.builders import status_measure
 from rowcensus.plans import enrich as E
 from rowcensus.sources import catalog as C
+from rowcensus.sources.footers import parquet_location
 from rowcensus.sources.staging import Stage, staging_root
 
 
@@ -122,7 +123,7 @@ def schema(spark, tmp_path_factory):
     C.register_parquet(
         spark, "dq_test", {"Clients": f"{folder}/clients", "codes": f"{folder}/codes"}, {"codes": ["other", "code"]}
     )
-    C.register_parquet(spark, "dq_test", {"CODES": "/never/read/again"})
+    C.register_parquet(spark, "dq_test", {"CODES": f"file://{folder}/codes/"})
     spark.sql("CREATE VIEW dq_test.seen AS SELECT 1 AS one")
     spark.range(1).createOrReplaceTempView("passing")
     return "dq_test"
@@ -133,6 +134,42 @@ def test_listing_skips_views_and_excluded_names(spark, schema):
     assert C.list_tables(spark, schema, exclude=["CODES", "missing"]) == ["clients"]
 
 
+def test_registering_again_refuses_another_folder_and_changes_keys(spark, schema, tmp_path):
+    with pytest.raises(ValueError, match="registered on"):
+        C.register_parquet(spark, schema, {"codes": str(tmp_path)})
+    folder = C._described(spark, schema, "codes")["Location"]
+    C.register_parquet(spark, schema, {"codes": folder}, {"codes": ["code"]})
+    assert C.declared_keys(spark, schema, "codes") == ["code"]
+    C.register_parquet(spark, schema, {"codes": folder}, {"codes": ["other", "code"]})
+
+
+def test_catalog_of_the_listing(spark, schema):
+    assert C.list_tables(spark, schema, database="spark_catalog") == ["clients", "codes"]
+    with pytest.raises(Exception, match="no_such_catalog"):
+        C.list_tables(spark, schema, database="no_such_catalog")
+
+
+def test_listing_and_lookups_quote_names(spark):
+    asked = []
+
+    class Catalog:
+        def listTables(self, name):
+            asked.append(name)
+            return []
+
+    class Session:
+        catalog = Catalog()
+
+        def sql(self, text):
+            asked.append(text)
+            raise RuntimeError("down")
+
+    assert C.list_tables(Session(), "my-db", database="odd`one") == []
+    assert asked == ["`odd``one`.`my-db`"]
+    # A lookup that fails falls back: the key is inferred and the table scanned.
+    assert C.declared_keys(Session(), "c", "s", "t") == [] and parquet_location(Session(), "c", "s", "t") is None
+
+
 def test_keys_come_from_override_then_property_then_names(spark, schema):
     tables = C.load_tables(spark, "spark_catalog", schema)
     complete = C.not_null_columns(tables, P.null_profiles(tables))
@@ -410,11 +447,50 @@ def test_parsed_answers(spark, raw, summary):
 def test_answers_that_are_not_one_object(spark, raw):
     df = spark.createDataFrame([("t", "r", raw)], "ISSUE_TYPE string, RULE_NAME string, RESPONSE string")
     row = E.parse_responses(df).first()
-    assert row.LLM_SUMMARY == raw[:500]
+    assert row.LLM_SUMMARY == raw
+    assert E.parse_responses(df, fallback_chars=5).first().LLM_SUMMARY == raw[:5]
     assert row.LLM_RECOMMENDED_FIX == "Review issue manually; LLM response was not structured JSON."
     assert row.LLM_GOVERNANCE_NOTE == "Issue: t / r" and row.LLM_BUSINESS_IMPACT == ""
 
 
+def test_unanswered_prompts_keep_their_error_in_the_report(spark):
+    def refuse(prompts, max_tokens):
+        assert max_tokens == 2048
+        raise ValueError("no answer")
+
+    tables = {"t": spark.createDataFrame([(1, None), (1, None)], "id int, v int")}
+    options = ScanOptions(max_tokens=2048, attempts=1, prompt_batch=1)
+    frames = scan(spark, tables, enrich=refuse, options=options, generated="t0")
+    assert {r.LLM_ERROR for r in frames["Row_Issues"].collect()} == {"ValueError: no answer"}
+    assert [r.LLM_ERROR for r in frames["LLM_Table_Summaries"].collect()] == ["ValueError: no answer"]
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_payload_in_another_case_names_a_column_once(spark, staged):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "client_id int, note string")
+    rule = Rule(id="r", table="t", where="client_id > 1", primary_key=("CLIENT_ID",), payload=("client_id", "NOTE", "Note"))
+    issues = run_rule(spark, rule, "d", "s", lambda name: df, Stage(spark) if staged else None)
+    assert [r.ROW_VALUES for r in issues.collect()] == [{"client_id": "2", "note": "b"}]
+
+
+def test_a_closed_stage_is_gone(spark, tmp_path):
+    stage = Stage(spark, str(tmp_path))
+    stage.write(spark.range(3), "x")
+    assert list((tmp_path / "rowcensus").iterdir())
+    stage.close()
+    assert not list((tmp_path / "rowcensus").iterdir())
+
+
+def test_wide_distinct_counts(spark):
+    rows = [(1, "a", 1.0, None, [1]), (1, None, 2.0, None, [1]), (2, "a", 0.0, None, None), (None, "b", -0.0, None, [])]
+    df = spark.createDataFrame(rows, "a int, b string, c double, `d``x` int, e array<int>")
+    wide = {r.COLUMN_NAME: r.DISTINCT_COUNT for r in P.distinct_profile(df, "t", wide=2).collect()}
+    assert wide == {r.COLUMN_NAME: r.DISTINCT_COUNT for r in P.distinct_profile(df, "t").collect()}
+    assert wide == {"a": 2, "b": 2, "c": 3, "d`x": 0, "e": 2}
+    text = P.distinct_profile(df, "t", wide=2)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Generate inline") == 4
+
+
 # Upkeep
 
 

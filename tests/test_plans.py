@@ -1,5 +1,6 @@
 """Physical plans: one scan, pushed filters, size-checked broadcasts, split hot keys."""
 
+import os
 from contextlib import contextmanager
 
 import pytest
@@ -13,8 +14,9 @@ from rowcensus.operators.rules import check_rows
 from rowcensus.operators.upkeep import insert_missing
 from rowcensus.plans.enrich import attach_texts, issue_samples
 from rowcensus.plans.scan import stored_profile
-from rowcensus.sources.footers import write_footer_profile
+from rowcensus.sources.footers import footer_session, write_footer_profile
 from rowcensus.sources.staging import Stage
+from testbed.queries import QUERIES
 
 
 @contextmanager
@@ -106,7 +108,8 @@ def test_footer_profile_equals_the_scanned_one(spark, tmp_path):
     spark.createDataFrame(rows, "id int, name string, items array<int>").repartition(3).write.parquet(path)
     tables = {"t": spark.read.parquet(path)}
     stage = Stage(spark)
-    stored = write_footer_profile(spark, tables, {"t": path}, stage)
+    (stored,), failed = write_footer_profile(spark, tables, {"t": path}, stage)
+    assert failed == []
     scanned = P.null_profiles(tables)
     assert sorted(stage.read(P.PROFILE_SCHEMA, stored).collect()) == sorted(scanned.collect())
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
@@ -117,6 +120,40 @@ def test_footer_profile_equals_the_scanned_one(spark, tmp_path):
     assert sorted(profile.collect()) == sorted(P.null_profiles(mixed).collect())
 
 
+def test_footers_fail_table_by_table(spark, tmp_path):
+    """Nested columns are counted from data, which fails for a file of another type."""
+    tables, paths = {}, {}
+    for name in ("a", "b", "c"):
+        paths[name] = str(tmp_path / name)
+        spark.range(4).selectExpr("id", "array(id) AS items").write.parquet(paths[name])
+        tables[name] = spark.read.parquet(paths[name])
+    spark.range(1).selectExpr("id", "'x' AS items").write.mode("append").parquet(paths["b"])
+    stage = Stage(spark)
+    stored, failed = write_footer_profile(spark, tables, paths, stage)
+    assert failed == ["b"] and len(stored) == 2
+    assert {r.TABLE_NAME for r in stage.read(P.PROFILE_SCHEMA, *stored).collect()} == {"a", "c"}
+
+
+def test_the_footer_session_has_the_callers_settings(spark):
+    with conf(spark, spark__sql__caseSensitive="true", spark__sql__session__timeZone="Asia/Tokyo"):
+        sibling = footer_session(spark)
+        assert sibling.conf.get("spark.sql.caseSensitive") == "true"
+        assert sibling.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+        assert sibling.conf.get("spark.sql.parquet.aggregatePushdown") == "true"
+
+
+def test_stored_issues_are_not_made_twice(spark):
+    """The issues of a query are made from as many scans as without enrichment, and are not shuffled."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables not present")
+    frame = QUERIES["attach_enrichment"](spark, sf)
+    frame.collect()
+    text = plan(frame)
+    assert text.count("FileScan") <= 4 and "SortMergeJoin" not in text.split("Initial Plan")[0]
+    assert plan(QUERIES["overview"](spark, sf)).count("FileScan") <= 6
+
+
 def test_duplicate_keys_combine_before_the_shuffle(spark, files):
     text = plan(P.duplicate_keys(facts(spark, files), ["code"]))
     assert "partial_count" in text
