@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .licences import scan_licences, scan_sql
 from .minhash import minhash_dedup
 from .mixing import mix_sources
+from .oracles import CLOSE_VECTORS, EXACT, NEAR_COPIES, REPEATS
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .substring import substring_dedup
@@ -34,12 +35,6 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-EXACT_SQL = """
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
-
-
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -101,4 +96,10 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT_SQL, "op6_licence_scan": scan_sql()}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": EXACT,
+    "op4_embedding_dedup": CLOSE_VECTORS,
+    "op5_minhash_dedup": NEAR_COPIES,
+    "op6_licence_scan": scan_sql(),
+    "op8_substring_dedup": REPEATS,
+}
