@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,53 +115,88 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(collect, f"id {kind}, shingles binary")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may reach ``percent``, by the sizes of their sets and their signatures."""
+def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, sig_a, sig_b) whose signatures may reach ``percent``."""
     kind = pairs.schema["a"].dataType.simpleString()
     least = percent / 100 - MARGIN
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(i)]) for i in (2, 3))
-            share = (left == right).mean(axis=1)
-            yield batch.select([0, 1]).filter(pa.array(share >= least))
+            if batch.num_rows:
+                share = (_signatures(batch.column(2)) == _signatures(batch.column(3))).mean(axis=1)
+                yield batch.select([0, 1]).filter(pa.array(share >= least))
+
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(agree, f"a {kind}, b {kind}").distinct()
+
 
-    signed = pairs.join(classes.selectExpr("id AS a", "sig AS sig_a", "n AS n_a"), "a")
-    sizes = F.expr(f"b = _b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    signed = signed.join(classes.selectExpr("id AS _b", "sig AS sig_b", "n AS n_b"), sizes)
-    return signed.select("a", "b", "sig_a", "sig_b").mapInArrow(agree, f"a {kind}, b {kind}").distinct()
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
-def likely_in_bucket(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The likely pairs (a, b) of a bucket whose components differ, each only in its first shared band.
+def pairs_within(ends: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same group, in portions of about ``most``.
 
-    With two blocks only pairs across them are looked at.
+    ``ends`` gives for each row, in the order of the groups, where its group ends.
     """
-    ids, part, n = (group[c].to_numpy() for c in ("id", "component", "n"))
-    sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(ids), -1)
-    keys = np.array(group["bands"].tolist(), dtype=np.int64)
-    own, band = group["block"].to_numpy(), int(group["band"].iloc[0])
-    across = group["left"].iloc[0] != group["right"].iloc[0]
+    partners = ends - np.arange(len(ends)) - 1
+    total = np.concatenate(([0], np.cumsum(partners)))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, side="right")) - 1)
+        left = np.repeat(np.arange(lo, hi), partners[lo:hi])
+        right = left + 1 + np.arange(len(left)) - np.repeat(total[lo:hi] - total[lo], partners[lo:hi])
+        yield left, right
+        lo = hi
+
+
+def likely_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
+    """The likely pairs (a, b) of each bucket whose components differ, each only in its first shared band.
+
+    Of two blocks only the pairs across them are looked at. The rows of a task are sorted by
+    bucket, and as many buckets as fill a batch are compared at once.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
     least = percent / 100 - MARGIN
-    found = []
-    for at in range(0, len(ids), 256):
-        some = slice(at, at + 256)
-        open_pair = (part[some, None] != part) & (ids[some, None] < ids)
-        open_pair &= 100 * np.minimum(n[some, None], n) >= percent * np.maximum(n[some, None], n)
-        if across:
-            open_pair &= own[some, None] != own
-        rows, columns = np.nonzero(open_pair)
-        rows += at
-        for lo in range(0, len(rows), 100_000):
-            r, c = rows[lo : lo + 100_000], columns[lo : lo + 100_000]
+    names = ["key", "left", "right", "block", "band", "id", "component", "n", "sig", "bands"]
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        key, left, right, block, band, ids, part, n = (table[c].to_numpy() for c in names[:8])
+        sig = _signatures(table["sig"].combine_chunks())
+        keys = np.array(table["bands"].to_pylist(), dtype=np.int64)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        first = np.flatnonzero(new)
+        ends = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+        found = [np.zeros((0, 2), dtype=ids.dtype)]
+        for r, c in pairs_within(ends, 200_000):
+            near = (part[r] != part[c]) & ((left[r] == right[r]) | (block[r] != block[c]))
+            near &= 100 * np.minimum(n[r], n[c]) >= percent * np.maximum(n[r], n[c])
+            r, c = r[near], c[near]
             near = (sig[r] == sig[c]).mean(axis=1) >= least
             r, c = r[near], c[near]
-            first = (keys[r] == keys[c]).argmax(axis=1) == band
-            found.append(np.stack([ids[r[first]], ids[c[first]]], axis=1))
-    both = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            once = (keys[r] == keys[c]).argmax(axis=1) == band[r]
+            found.append(np.sort(np.stack([ids[r[once]], ids[c[once]]], axis=1), axis=1))
+        both = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            table = pa.Table.from_batches(waiting)
+            group = list(zip(*(table[c].to_pylist() for c in names[:3])))
+            # The last bucket may go on in the next batch.
+            cut = next((k for k in range(len(group) - 1, 0, -1) if group[k] != group[k - 1]), 0)
+            if cut:
+                yield compare(table.slice(0, cut))
+            waiting = table.slice(cut).to_batches()
+        if waiting:
+            yield compare(pa.Table.from_batches(waiting))
+
+    dealt = rows.select(*names).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,11 +219,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "set_a", "set_b").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def open_buckets(shared: DataFrame, parts: DataFrame, stage: Stage) -> DataFrame:
-    """The rows of ``shared`` with their components, of buckets that hold several."""
+def open_buckets(shared: DataFrame, pivots: DataFrame, parts: DataFrame, least: int, stage: Stage) -> DataFrame:
+    """The rows of ``shared`` with new components, of buckets that hold several and more than ``least`` classes."""
     names = parts.selectExpr("id AS _id", "component AS _component")
-    placed = shared.join(names, F.col("id") == F.col("_id"), "left")
+    placed = shared.where(f"size > {least}").join(names, F.col("id") == F.col("_id"), "left")
     placed = placed.withColumn("component", F.coalesce("_component", "id")).drop("_id", "_component")
+    drawn = pivots.select("_key", F.col("low.id").alias("_low"))
+    placed = placed.join(drawn, F.col("key") == F.col("_key"), "left")
+    used = F.col("used") | F.coalesce(F.col("id") == F.col("_low"), F.lit(False))
+    placed = placed.withColumn("used", used).drop("_key", "_low")
     placed = stage.read(placed.schema, stage.write(placed, "placed"))
     several = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     several = several.where("_low != _high").select(F.col("key").alias("_key"))
@@ -218,9 +256,9 @@ def minhash_dedup(
     Texts with equal sets form a class, so copies are never compared. Classes that share a
     band of minima meet in a bucket. Pairs whose sizes or signatures are too different go;
     the others are compared on their full sets. First, in ``rounds`` rounds, every class is
-    compared to one of its bucket, drawn by a hash, and the links found are joined into
-    components. Then, in the buckets that still hold several components, all pairs across
-    components are; pairs inside a component need no test, because their link would join
+    compared to another one of its bucket, drawn by a hash, and the links found are joined
+    into components. Buckets of up to ``rounds + 1`` classes are done with that. Then, in the
+    larger ones that still hold several components, all pairs across components are; pairs inside a component need no test, because their link would join
     nothing. So a large group of near copies costs about as many pairs as it has members. A
     large bucket is compared in pairs of blocks of ``BLOCK`` classes. At the threshold a pair
     shares no band with probability (1 - s ** rows) ** bands: 4e-7 for 0.8 and 1e-9 for 0.85
@@ -242,7 +280,10 @@ def minhash_dedup(
     banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("key", "_key")
     buckets = stage.read(buckets.schema, stage.write(buckets, "buckets"))
-    shared = banded.join(buckets, F.col("key") == F.col("_key")).drop("_key").withColumn("component", F.col("id"))
+    shared = banded.join(buckets, F.col("key") == F.col("_key")).drop("_key")
+    facts = classes.select(F.col("id").alias("_id"), "n", "sig")
+    shared = shared.join(facts, F.col("id") == F.col("_id")).drop("_id")
+    shared = shared.withColumns({"component": F.col("id"), "used": F.lit(False)})
     shared = stage.read(shared.schema, stage.write(shared, "shared"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = classes.schema["id"].dataType.simpleString()
@@ -262,30 +303,32 @@ def minhash_dedup(
             break
         if number < rounds:
             # A few different draws for the bands, so that near copies meet a few classes each.
-            draw = F.struct(F.xxhash64(F.lit(number), F.col("band") % DRAWS, F.col("id")), F.col("id").alias("id"))
-            pivots = shared.groupBy("key").agg(F.min(draw).alias("low")).selectExpr("key AS _key", "low.id AS low")
+            draw = F.xxhash64(F.lit(number), F.col("band") % DRAWS, F.col("id"))
+            low = F.min(F.struct(draw.alias("draw"), "id", "component", "n", "sig")).alias("low")
+            pivots = shared.where("NOT used").groupBy(F.col("key").alias("_key")).agg(low)
             pivots = stage.read(pivots.schema, stage.write(pivots, "pivots"))
-            stars = shared.join(pivots, F.col("key") == F.col("_key")).where("id != low")
-            pairs = likely(stars.selectExpr("least(id, low) AS a", "greatest(id, low) AS b").distinct(), classes, percent)
+            apart = F.expr(
+                f"""key = _key AND id != low.id AND component != low.component
+                    AND 100 * least(n, low.n) >= {percent} * greatest(n, low.n)"""
+            )
+            stars = shared.join(pivots, apart).selectExpr(
+                "least(id, low.id) AS a", "greatest(id, low.id) AS b", "sig AS sig_a", "low.sig AS sig_b"
+            )
+            pairs = agreeing(stars, percent)
         else:
             blocks = F.ceil(F.col("size") / BLOCK)
             dealt = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             dealt = dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-            members = classes.select(F.col("id").alias("_id"), "n", "sig", "bands")
-            full = dealt.join(members, F.col("id") == F.col("_id"))
-            full = full.select("key", "left", "right", "block", "band", "id", "component", "n", "sig", "bands")
-            pairs = full.groupBy("key", "left", "right").applyInPandas(
-                lambda group: likely_in_bucket(group, percent), f"a {kind}, b {kind}"
-            )
+            members = classes.select(F.col("id").alias("_id"), "bands")
+            pairs = likely_in_buckets(dealt.join(members, F.col("id") == F.col("_id")), percent)
         pairs = stage.read(pairs.schema, stage.write(pairs, "pairs"))
-        if pairs.isEmpty():
-            continue
-        links = linked(pairs, "likely")
-        links = stage.read(links.schema, stage.write(links, "links"))
-        parts = components(links, stage).selectExpr("node AS id", "component")
+        if not pairs.isEmpty():
+            links = linked(pairs, "likely")
+            links = stage.read(links.schema, stage.write(links, "links"))
+            parts = components(links, stage).selectExpr("node AS id", "component")
         if number < rounds:
-            shared = open_buckets(shared, parts, stage)
+            shared = open_buckets(shared, pivots, parts, number + 2, stage)
 
     known = classes.select(*[F.col(c).alias(f"_{c}") for c in digest], "id").join(parts, "id", "left")
     known = known.select(*[f"_{c}" for c in digest], F.coalesce("component", "id").alias("component"))
