@@ -17,7 +17,7 @@ COSINE = 0.93
 TREES = 8
 LEAF = 1_000
 LEVELS = 40
-OVERLAP = 0.1
+OVERLAP = 0.15
 PRECISION = 1_000
 
 
@@ -75,7 +75,8 @@ def grown(members: DataFrame, leaf: int, levels: int, overlap: float, stage: Sta
         nodes = here.groupBy(*key).agg(
             F.count("*").alias("count"), F.percentile_approx("here", cuts, F.lit(PRECISION)).alias("cut")
         )
-        nodes = stage.read(nodes.schema, stage.write(nodes, "nodes")).select(*[F.col(c).alias(f"_{c}") for c in key], "count", "cut")
+        nodes = stage.read(nodes.schema, stage.write(nodes, "nodes"))
+        nodes = nodes.select(*[F.col(c).alias(f"_{c}") for c in key], "count", "cut")
         placed = here.join(nodes, [F.col(c) == F.col(f"_{c}") for c in key])
         done = (F.col("count") <= leaf) if level < levels - 1 else F.lit(True)
         ends = placed.where(done).select("id", *key, "count")
@@ -143,7 +144,8 @@ def embedding_dedup(
     """
     spark = vectors.sparkSession
     stage = stage or Stage(spark)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
+    names = {id_col: "id", label_col: "label", vector_col: "embedding"}
+    rows = vectors.select(*[F.col(given).alias(name) for given, name in names.items()])
     sound = F.expr(
         """id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0
            AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))
@@ -158,10 +160,10 @@ def embedding_dedup(
     blocks = F.ceil(F.col("count") / (2 * leaf))
     dealt = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "id", "label", "tree", "node", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
-    )
-    full = dealt.join(classes.selectExpr("id AS _id", "label AS _label", "embedding"), F.expr("id = _id AND label = _label"))
+    dealt = dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    dealt = dealt.select("id", "label", "tree", "node", "block", "left", "right")
+    own = classes.selectExpr("id AS _id", "label AS _label", "embedding")
+    full = dealt.join(own, F.expr("id = _id AND label = _label"))
     full = full.withColumn("width", F.size("embedding"))
     kind = classes.schema["id"].dataType.simpleString()
     group = full.groupBy("label", "tree", "node", "width", "left", "right")

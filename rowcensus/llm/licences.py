@@ -125,7 +125,8 @@ def scan_licences(
     licence = F.lit(None).cast("string")
     for name, identifiers in reversed(rules):
         licence = F.when(F.col("line").rlike(_in_order(identifiers)), name).otherwise(licence)
-    return marked.select(F.col("id").alias(id_col), F.expr("trim(BOTH '|' FROM line)").alias("identifiers"), licence.alias("licence"))
+    identifiers = F.expr("trim(BOTH '|' FROM line)").alias("identifiers")
+    return marked.select(F.col("id").alias(id_col), identifiers, licence.alias("licence"))
 
 
 def scan_sql() -> str:
@@ -136,7 +137,8 @@ def scan_sql() -> str:
     return f"""
 WITH known AS (SELECT MAP([{keys}], [{values}]) AS m),
 joined AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '([a-z,])\\r?\\n[ \\t]*([a-z])', '\\1 \\2', 'g') AS body FROM documents),
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '([a-z,])\\r?\\n[ \\t]*([a-z])', '\\1 \\2', 'g') AS body
+  FROM documents),
 plain AS (
   SELECT doc_id, string_split(regexp_replace(translate(
     regexp_replace(body, '[.!?;:]+(\\s|\\z)', chr(10), 'g'), '{_UPPER}', '{_LOWER}'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) AS parts

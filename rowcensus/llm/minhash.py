@@ -258,11 +258,12 @@ def minhash_dedup(
     the others are compared on their full sets. First, in ``rounds`` rounds, every class is
     compared to another one of its bucket, drawn by a hash, and the links found are joined
     into components. Buckets of up to ``rounds + 1`` classes are done with that. Then, in the
-    larger ones that still hold several components, all pairs across components are; pairs inside a component need no test, because their link would join
-    nothing. So a large group of near copies costs about as many pairs as it has members. A
-    large bucket is compared in pairs of blocks of ``BLOCK`` classes. At the threshold a pair
-    shares no band with probability (1 - s ** rows) ** bands: 4e-7 for 0.8 and 1e-9 for 0.85
-    with 28 bands of 4. Signatures are off by more than ``MARGIN`` with about 1e-5.
+    larger ones that still hold several components, all pairs across components are compared;
+    pairs inside a component need no test, because their link would join nothing. So a large
+    group of near copies costs about as many pairs as it has members. A large bucket is
+    compared in pairs of blocks of ``BLOCK`` classes. At the threshold a pair shares no band
+    with probability (1 - s ** rows) ** bands: 4e-7 for 0.8 and 1e-9 for 0.85 with 28 bands of
+    4. Signatures are off by more than ``MARGIN`` with about 1e-5.
 
     A null text is an empty one; a text without words is linked with nothing. Rows that
     share an id are one node. Null ids are linked with nothing. Other columns are ignored.

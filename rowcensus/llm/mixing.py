@@ -103,7 +103,8 @@ def mix_sources(
     stage = stage or Stage(docs.sparkSession)
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_PATTERN)).cast("long")
     spread = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), spread.alias("draw"))
+    names = [F.col(id_col).alias("id"), F.col(source_col).alias("source")]
+    sized = docs.select(*names, size.alias("size"), spread.alias("draw"))
     sized = stage.read(sized.schema, stage.write(sized, "sizes"))
 
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))

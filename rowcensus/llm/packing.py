@@ -221,7 +221,8 @@ def numbered(pieces: DataFrame, stage: Stage, bucket_rows: int = BUCKET_ROWS) ->
     shifts = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
     order = W.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")
     ranked = dealt.withColumn("within", F.row_number().over(order) - 1)
-    return ranked.join(shifts, ["length", "bucket"]).withColumn("rank", F.col("within") + F.col("shift")).drop("within", "shift", "bucket")
+    ranked = ranked.join(shifts, ["length", "bucket"]).withColumn("rank", F.col("within") + F.col("shift"))
+    return ranked.drop("within", "shift", "bucket")
 
 
 def pack(

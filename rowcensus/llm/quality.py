@@ -40,9 +40,9 @@ _PAUSE = _table(b",.;:")
 
 #: What a line is described by, in this order.
 FEATURES = (
-    "log bytes", "log words", "word length", "capitals", "digits", "symbols", "bars", "shouts", "pauses", "ends a sentence",
-    "starts with a capital", "repeats the word before", "distinct words", "line seen before", "distinct words of the text",
-    "log lines of the text",
+    "log bytes", "log words", "word length", "capitals", "digits", "symbols", "bars", "shouts", "pauses",
+    "ends a sentence", "starts with a capital", "repeats the word before", "distinct words", "line seen before",
+    "distinct words of the text", "log lines of the text",
 )
 
 

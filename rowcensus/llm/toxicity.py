@@ -57,8 +57,9 @@ class ToxicityModel:
         weak = ~hit
         weak[hit] = ~self.sure[at]
         new = np.flatnonzero(weak)
-        starts = Slice(0, part.data, part.bounds, part.starts[new], np.minimum(part.starts[new] + PREFIX_BYTES, part.ends[new]), part.first)
-        hit, at = _lookup(self.prefixes, starts.hashes())
+        begin = part.starts[new]
+        letters = Slice(0, part.data, part.bounds, begin, np.minimum(begin + PREFIX_BYTES, part.ends[new]), part.first)
+        hit, at = _lookup(self.prefixes, letters.hashes())
         found[new[hit]] = np.maximum(found[new[hit]], self.prefix_score[at])
         return np.maximum(found, 0.0)
 
@@ -214,17 +215,14 @@ def _calibrated(model: ToxicityModel, tuning: DataFrame) -> ToxicityModel:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, tops, all_scores = [], [], []
+            lengths, all_scores = [], []
             for n, own in text_segments(batch.column(1), model):
                 lengths.append(n)
-                tops.append(max((s for _, _, s in own), default=0.0))
                 all_scores.append([s for _, _, s in own])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths, pa.int64()), pa.array(tops, pa.float64()), pa.array(all_scores, pa.list_(pa.float64()))],
-                names=["label", "words", "top", "scores"],
-            )
+            columns = [pa.array(lengths, pa.int64()), pa.array(all_scores, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["label", "words", "scores"])
 
-    seen = rows.mapInArrow(found, "label int, words long, top double, scores array<double>").toPandas()
+    seen = rows.mapInArrow(found, "label int, words long, scores array<double>").toPandas()
     ordinary = seen[seen.label == 0]
     scores = np.array([s for own in ordinary.scores for s in own])
     # Segment scores of clean texts beyond a low bar decay exponentially: the law's rate is

@@ -47,7 +47,8 @@ def url_parts(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     url = F.col(url_col)
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     rest = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), upper, upper.lower())
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     # Digits carry no topic: every number is one token.
@@ -176,16 +177,17 @@ def filter_urls(
     split = stage.read(split.schema, stage.write(split, "names"))
     host_words = placed.join(split, "name").groupBy("host")
     host_words = host_words.agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
-    host_words = hosts.join(host_words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    no_words = F.array().cast("array<string>")
+    host_words = hosts.join(host_words, "host", "left").withColumn("words", F.coalesce("words", no_words))
     unwanted = F.arrays_overlap("words", F.array(*[F.lit(w) for w in seeds])) if seeds else F.lit(False)
     host_words = host_words.withColumn("unwanted", unwanted)
     host_words = stage.read(host_words.schema, stage.write(host_words, "host-words"))
 
     counts = parts.join(host_words.select("host", "unwanted"), "host").groupBy("path_key", "unwanted").count()
     counts = stage.read(counts.schema, stage.write(counts, "paths"))
-    seen = host_words.select(F.explode("words").alias("token"), "unwanted", F.col("pages").alias("n")).union(
-        counts.select(F.explode(F.array_distinct(F.split("path_key", " "))).alias("token"), "unwanted", F.col("count").alias("n")).where("token != ''")
-    )
+    in_path = F.explode(F.array_distinct(F.split("path_key", " "))).alias("token")
+    in_paths = counts.select(in_path, "unwanted", F.col("count").alias("n")).where("token != ''")
+    seen = host_words.select(F.explode("words").alias("token"), "unwanted", F.col("pages").alias("n")).union(in_paths)
     bad = F.sum(F.when(F.col("unwanted"), F.col("n")).otherwise(0))
     good = F.sum(F.when(~F.col("unwanted"), F.col("n")).otherwise(0))
     tokens = seen.groupBy("token").agg(bad.alias("bad"), good.alias("good"))
@@ -213,6 +215,7 @@ def filter_urls(
     judged = parts.join(by_host, "host", "left").join(by_path, "path_key", "left").withColumn("found", fitting)
     score = F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_key_score", F.lit(0.0)) + F.lit(prior)
     verdict = F.coalesce(F.col("found.verdict"), F.when(score > 0, "block").otherwise("allow"))
+    rule = F.col("found.rule").alias("rule")
     return judged.select(
-        F.col("page_id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), score.alias("score")
+        F.col("page_id").alias(id_col), "host", "path", rule, verdict.alias("verdict"), score.alias("score")
     )

@@ -102,7 +102,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
     buffers = column.buffers()
-    bounds = np.frombuffer(buffers[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    bounds = np.frombuffer(buffers[1], dtype=np.int64 if wide else np.int32)
+    bounds = bounds[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, dtype=np.uint8)
     return data, bounds.astype(np.int64)
 
