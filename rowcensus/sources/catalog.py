@@ -41,7 +41,7 @@ def register_parquet(
         wanted = list((keys or {}).get(name) or ())
         property_list = f"({literal(KEY_PROPERTY)} = {literal(','.join(wanted))})"
         if name.upper() in known:
-            folder = _described(spark, schema, name).get("Location", "")
+            folder = described_table(spark, schema, name).get("Location", "")
             if _plain(folder) != _plain(path):
                 raise ValueError(f"{schema}.{name} is registered on {folder}, not on {path}")
             if wanted and wanted != declared_keys(spark, schema, name):
@@ -59,7 +59,7 @@ def _plain(folder: str) -> str:
     return re.sub("^file:/+", "/", folder).rstrip("/")
 
 
-def _described(spark: SparkSession, *parts: str) -> dict[str, str]:
+def described_table(spark: SparkSession, *parts: str) -> dict[str, str]:
     rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table_ref(*parts)}").collect()
     return {row["col_name"]: row["data_type"] for row in rows}
 

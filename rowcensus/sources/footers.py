@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.profile import null_profiles
-from .catalog import _described, table_ref
+from .catalog import described_table, table_ref
 from .jobs import side_by_side
 from .staging import Stage
 
@@ -25,7 +25,7 @@ def parquet_location(spark: SparkSession, *parts: str) -> str | None:
     A catalog that cannot tell is logged; the table is scanned then.
     """
     try:
-        facts = _described(spark, *parts)
+        facts = described_table(spark, *parts)
     except Exception as error:
         log.warning("no folder of %s: %s", table_ref(*parts), error)
         return None

@@ -137,7 +137,7 @@ def test_listing_skips_views_and_excluded_names(spark, schema):
 def test_registering_again_refuses_another_folder_and_changes_keys(spark, schema, tmp_path):
     with pytest.raises(ValueError, match="registered on"):
         C.register_parquet(spark, schema, {"codes": str(tmp_path)})
-    folder = C._described(spark, schema, "codes")["Location"]
+    folder = C.described_table(spark, schema, "codes")["Location"]
     C.register_parquet(spark, schema, {"codes": folder}, {"codes": ["code"]})
     assert C.declared_keys(spark, schema, "codes") == ["code"]
     C.register_parquet(spark, schema, {"codes": folder}, {"codes": ["other", "code"]})
