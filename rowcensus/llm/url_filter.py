@@ -17,6 +17,8 @@ from ..sources.staging import Stage
 
 LONGEST_WORD = 24
 SEED_COUNT = 1000
+#: Pseudo count of every token in either class.
+SMOOTHING = 0.1
 
 # Words that mark a host as unwanted; the training labels come from them.
 SEED_WORDS = (
@@ -193,8 +195,9 @@ def filter_urls(
     tokens = seen.groupBy("token").agg(bad.alias("bad"), good.alias("good"))
     tokens = stage.read(tokens.schema, stage.write(tokens, "tokens"))
     size, all_bad, all_good = tokens.agg(F.count("*"), F.sum("bad"), F.sum("good")).first()
-    likelier = (F.col("bad") + 1.0) / ((all_bad or 0) + size + 1.0)
-    odds = F.log(likelier) - F.log((F.col("good") + 1.0) / ((all_good or 0) + size + 1.0))
+    extra = SMOOTHING * (size + 1)
+    likelier = (F.col("bad") + SMOOTHING) / ((all_bad or 0) + extra)
+    odds = F.log(likelier) - F.log((F.col("good") + SMOOTHING) / ((all_good or 0) + extra))
     tokens = tokens.select("token", odds.alias("odds"))
     n_bad, n_good = counts.withColumn("n", F.col("count")).agg(bad, good).first()
     prior = math.log(((n_bad or 0) + 1) / ((n_good or 0) + 1))
