@@ -32,10 +32,11 @@ class Encoder:
     text is encoded word by word (a word with the space before it), and most words have been
     seen. Texts with other runs of white space around spaces, or with the special token, go
     through the tokenizer as a whole, and so do words in other than Latin letters. The
-    memory is emptied when it is full.
+    memory has two generations: a full one becomes the older, and the words of the older
+    that are met again move to the new one.
     """
 
-    WORDS = 1_000_000
+    WORDS = 250_000
     LONGEST = 48
     LATIN = "\u024f"
     # White space beyond the space and the line feed.
@@ -53,6 +54,7 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -64,21 +66,23 @@ class Encoder:
         ).tobytes()
 
     def _word(self, word: str) -> bytes:
-        stem, last = word[:-1], word[-1:]
-        if word and max(word) > self.LATIN:
-            found = self._whole(" " + word)
-        elif word.isalpha():
-            found = self._encode([" " + word])
-        elif stem.isalpha() and last in ".,;:!?|":
-            found = (self.known.get(stem) or self._word(stem)) + self._encode([last])
-        else:
-            found = self._encode(self.pieces(" " + word))
+        found = self.older.get(word) or self._new(word)
         if len(word) <= self.LONGEST:
             if len(self.known) >= self.WORDS:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = found
         return found
 
+    def _new(self, word: str) -> bytes:
+        stem, last = word[:-1], word[-1:]
+        if word and max(word) > self.LATIN:
+            return self._whole(" " + word)
+        if word.isalpha():
+            return self._encode([" " + word])
+        if stem.isalpha() and last in ".,;:!?|":
+            return (self.known.get(stem) or self._word(stem)) + self._encode([last])
+        return self._encode(self.pieces(" " + word))
+
     def odd(self, text: str) -> bool:
         """Whether pieces of the text may reach across the space before a word."""
         if "  " in text or " \n" in text or text[-2:] == "\n " or SPECIAL in text:
@@ -92,7 +96,8 @@ class Encoder:
         first, *rest = text.split(" ")
         start = self._whole(first) if first and max(first) > self.LATIN else self._encode(self.pieces(first))
         known, word = self.known, self._word
-        return start + b"".join([known.get(w) or word(w) for w in rest])
+        ids = b"".join([known.get(w) or word(w) for w in rest])
+        return start + ids
 
 
 def encoder(path: str) -> Encoder:

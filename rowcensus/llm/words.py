@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 1 << 18
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
