@@ -149,20 +149,31 @@ def pairs_within(ends: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.n
         lo = hi
 
 
-def likely_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
-    """The likely pairs (a, b) of each bucket whose components differ, each only in its first shared band.
+def _reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted distinct hashes have 100 * intersection >= percent * union."""
+    both = np.sort(np.concatenate((a, b)))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
-    Of two blocks only the pairs across them are looked at. The rows of a task are sorted by
-    bucket, and as many buckets as fill a batch are compared at once.
+
+def linked_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
+    """The linked pairs (a, b) of each bucket whose components differ.
+
+    A pair is compared in one of the bands that it shares, drawn by its ids, so that the
+    pairs of a large group are spread over its buckets. Pairs with like sizes and signatures
+    are counted on their full sets. Of two blocks only the pairs across them are looked at.
+    The rows of a task are sorted by bucket, and as many buckets as fill a batch are
+    compared at once.
     """
     kind = rows.schema["id"].dataType.simpleString()
     least = percent / 100 - MARGIN
-    names = ["key", "left", "right", "block", "band", "id", "component", "n", "sig", "bands"]
+    names = ["key", "left", "right", "block", "band", "id", "component", "n", "sig", "bands", "shingles"]
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         key, left, right, block, band, ids, part, n = (table[c].to_numpy() for c in names[:8])
         sig = _signatures(table["sig"].combine_chunks())
         keys = np.array(table["bands"].to_pylist(), dtype=np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
         first = np.flatnonzero(new)
@@ -174,8 +185,13 @@ def likely_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
             r, c = r[near], c[near]
             near = (sig[r] == sig[c]).mean(axis=1) >= least
             r, c = r[near], c[near]
-            once = (keys[r] == keys[c]).argmax(axis=1) == band[r]
-            found.append(np.sort(np.stack([ids[r[once]], ids[c[once]]], axis=1), axis=1))
+            shared = (keys[r] == keys[c]).cumsum(axis=1)
+            low, high = np.minimum(ids[r], ids[c]).astype(np.uint64), np.maximum(ids[r], ids[c]).astype(np.uint64)
+            pick = mix(low ^ mix(high))
+            drawn = (shared == (pick % shared[:, -1].astype(np.uint64) + 1)[:, None].astype(np.int64)).argmax(axis=1)
+            r, c = r[drawn == band[r]], c[drawn == band[r]]
+            good = np.array([_reach(sets[x], sets[y], percent) for x, y in zip(r.tolist(), c.tolist())], dtype=bool)
+            found.append(np.sort(np.stack([ids[r[good]], ids[c[good]]], axis=1), axis=1))
         both = np.concatenate(found)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -208,9 +224,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
-                both = np.sort(np.concatenate((a, b)))
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(a) + len(b) - common))
+                good.append(_reach(a, b, percent))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     full = pairs.join(sets.selectExpr("id AS b", "shingles AS set_b"), "b").join(
@@ -291,13 +305,12 @@ def minhash_dedup(
     links = spark.createDataFrame([], f"a {kind}, b {kind}")
     parts = spark.createDataFrame([], f"id {kind}, component {kind}")
 
-    def linked(pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs that their full sets confirm."""
-        ids = pairs.selectExpr("a AS _id").union(pairs.selectExpr("b AS _id")).distinct()
-        ids = stage.read(ids.schema, stage.write(ids, f"{label}-ids"))
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The full sets of some classes; their texts are read again."""
+        ids = ids.distinct()
+        ids = stage.read(ids.schema, stage.write(ids, "ids"))
         sets = full_sets(keep_matching(texts, ids, F.col("id") == F.col("_id")), shingle)
-        sets = stage.read(sets.schema, stage.write(sets, f"{label}-sets"))
-        return links.union(confirmed(pairs, sets, percent))
+        return stage.read(sets.schema, stage.write(sets, "sets"))
 
     for number in range(rounds + 1):
         if shared.isEmpty():
@@ -316,17 +329,20 @@ def minhash_dedup(
                 "least(id, low.id) AS a", "greatest(id, low.id) AS b", "sig AS sig_a", "low.sig AS sig_b"
             )
             pairs = agreeing(stars, percent)
+            pairs = stage.read(pairs.schema, stage.write(pairs, "pairs"))
+            sets = sets_of(pairs.selectExpr("a AS _id").union(pairs.selectExpr("b AS _id")))
+            found = confirmed(pairs, sets, percent)
         else:
             blocks = F.ceil(F.col("size") / BLOCK)
             dealt = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             dealt = dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
             members = classes.select(F.col("id").alias("_id"), "bands")
-            pairs = likely_in_buckets(dealt.join(members, F.col("id") == F.col("_id")), percent)
-        pairs = stage.read(pairs.schema, stage.write(pairs, "pairs"))
-        if not pairs.isEmpty():
-            links = linked(pairs, "likely")
-            links = stage.read(links.schema, stage.write(links, "links"))
+            members = members.join(sets_of(shared.select(F.col("id").alias("_id"))).withColumnRenamed("id", "_id"), "_id")
+            found = linked_in_buckets(dealt.join(members, F.col("id") == F.col("_id")), percent)
+        found = stage.read(found.schema, stage.write(found, "links"))
+        if not found.isEmpty():
+            links = links.union(found)
             parts = components(links, stage).selectExpr("node AS id", "component")
         if number < rounds:
             shared = open_buckets(shared, pivots, parts, number + 2, stage)
