@@ -19,6 +19,8 @@ LEAF = 1_000
 LEVELS = 40
 OVERLAP = 0.15
 PRECISION = 1_000
+#: Linked vectors differ on a direction by a normal value with their distance as deviation.
+DEVIATIONS = 2
 
 
 def directions(width: int, trees: int, levels: int, seed: int) -> np.ndarray:
@@ -58,43 +60,69 @@ def projected(vectors: DataFrame, trees: int, levels: int, seed: int) -> DataFra
     return vectors.select("id", "label", "embedding").mapInArrow(project, schema)
 
 
-def grown(members: DataFrame, leaf: int, levels: int, overlap: float, stage: Stage) -> DataFrame:
+def grown(members: DataFrame, leaf: int, levels: int, overlap: float, spill: float, stage: Stage) -> DataFrame:
     """Rows (id, label, tree, node, count): the leaves each vector falls in.
 
-    All nodes of a level are split at once, between the quantiles of 0.5 -/+ ``overlap`` of
-    all their members, which go to both sides. A node of at most ``leaf`` members is a leaf.
+    All nodes of a level are split at once, at the median of all their members. Those within
+    ``spill`` / 2 of it, and those between the quantiles of 0.5 -/+ ``overlap``, go to both
+    sides. A node of at most ``leaf`` members is a leaf, and so is one whose two halves have
+    as many pairs as itself: a dense group that no direction parts stays whole.
     The quantiles are summed up in each task first, and the members of one node are spread
     over tasks, so the root, which holds all vectors, is a node like others.
     """
     key = ["label", "tree", "node"]
     active = members.withColumn("node", F.lit("r"))
     paths = []
-    cuts = F.array(F.lit(0.5 - overlap), F.lit(0.5 + overlap))
+    steps = [k / 50 for k in range(1, 50)]
+    shares = F.array(*[F.lit(float(x)) for x in (0.5 - overlap, 0.5, 0.5 + overlap, *steps)])
+    low, middle, high = (F.col("share")[k] for k in range(3))
+    cut = F.array(F.least(low, middle - spill / 2), F.greatest(high, middle + spill / 2))
+    grid = F.slice("share", 4, len(steps))
+    below = F.size(F.filter(grid, lambda x: x <= F.col("cut")[1])) / len(steps)
+    above = F.size(F.filter(grid, lambda x: x >= F.col("cut")[0])) / len(steps)
     for level in range(levels):
         here = active.withColumn("here", F.col("at")[level])
         nodes = here.groupBy(*key).agg(
-            F.count("*").alias("count"), F.percentile_approx("here", cuts, F.lit(PRECISION)).alias("cut")
+            F.count("*").alias("count"), F.percentile_approx("here", shares, F.lit(PRECISION)).alias("share")
         )
+        nodes = nodes.withColumn("cut", cut).withColumn("stuck", below * below + above * above >= 1).drop("share")
         nodes = stage.read(nodes.schema, stage.write(nodes, "nodes"))
-        nodes = nodes.select(*[F.col(c).alias(f"_{c}") for c in key], "count", "cut")
+        nodes = nodes.select(*[F.col(c).alias(f"_{c}") for c in key], "count", "cut", "stuck")
         placed = here.join(nodes, [F.col(c) == F.col(f"_{c}") for c in key])
-        done = (F.col("count") <= leaf) if level < levels - 1 else F.lit(True)
+        done = ((F.col("count") <= leaf) | F.col("stuck")) if level < levels - 1 else F.lit(True)
         ends = placed.where(done).select("id", *key, "count")
         paths.append(stage.write(ends, "leaves"))
-        if nodes.where("count > " + str(leaf)).isEmpty():
+        if nodes.where(~done).isEmpty():
             break
-        low = F.when(F.col("here") <= F.col("cut")[1], F.concat("node", F.lit("0")))
-        high = F.when(F.col("here") >= F.col("cut")[0], F.concat("node", F.lit("1")))
-        active = placed.where(~done).withColumn("node", F.explode(F.array_compact(F.array(low, high))))
+        left = F.when(F.col("here") <= F.col("cut")[1], F.concat("node", F.lit("0")))
+        right = F.when(F.col("here") >= F.col("cut")[0], F.concat("node", F.lit("1")))
+        active = placed.where(~done).withColumn("node", F.explode(F.array_compact(F.array(left, right))))
         active = active.select("id", "label", "tree", "at", "node")
         active = stage.read(active.schema, stage.write(active, "members"))
     return stage.read(ends.schema, *paths)
 
 
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the symmetric matrix ``near`` joins, at most one per row."""
+    open_, found = near.any(axis=1), [np.empty((0, 2), dtype=np.int64)]
+    while open_.any():
+        root = int(open_.argmax())
+        open_[root], reached = False, np.array([root])
+        while len(reached):
+            reached = np.flatnonzero(near[reached].any(axis=0) & open_)
+            open_[reached] = False
+            found.append(np.stack([np.full(len(reached), root), reached], axis=1))
+    edges = np.concatenate(found)
+    return edges[:, 0], edges[:, 1]
+
+
 def close_pairs(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Pairs (a, b), a < b, of a leaf with cosine >= ``cosine`` in double precision.
+    """Pairs of a leaf with cosine >= ``cosine`` in double precision, as rows (a, b, n).
 
-    With two blocks only pairs across them are looked at.
+    With two blocks only pairs across them are looked at. Pairs that share a whole node are
+    summed up in the first of these: rows with null b say that a has n linked rows, and rows
+    with n = 0 join a and b. Other pairs, and those with an id of several vectors, are listed,
+    a < b, with n = 1.
     """
     ids = group["id"].to_numpy()
     x = np.array(group["embedding"].tolist(), dtype=np.float64)
@@ -102,16 +130,46 @@ def close_pairs(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
     quick = x.astype(np.float32)
     own = group["block"].to_numpy()
     across = group["left"].iloc[0] != group["right"].iloc[0]
+    here, several = group["code"].iloc[0], group["several"].to_numpy()
+    whole = [set() if w is None else set(w) for w in group["whole"]]
+    codes = {code: k for k, code in enumerate(sorted(set().union(*whole)))}
+    first = codes.get(here) if group["large"].iloc[0] else None
+    inside = np.zeros((len(ids), len(codes)), dtype=np.float32)
+    for row, names in enumerate(whole):
+        inside[row, [codes[name] for name in names]] = 1
+    earlier = inside[:, :first]
+    near = np.zeros((len(ids), len(ids)), dtype=bool) if first is not None else None
     found = []
     for at in range(0, len(ids), 512):
-        rows, columns = np.nonzero(quick[at : at + 512] @ quick.T >= cosine - 1e-4)
+        hit = quick[at : at + 512] @ quick.T >= cosine - 1e-4
+        if across:
+            hit &= own[at : at + 512, None] != own
+        if earlier.shape[1]:
+            hit &= (earlier[at : at + 512] @ earlier.T == 0) | several[at : at + 512, None] | several
+        rows, columns = np.nonzero(hit)
         rows += at
-        near = (ids[rows] < ids[columns]) & ((own[rows] != own[columns]) | (not across))
-        rows, columns = rows[near], columns[near]
-        exact = np.einsum("ij,ij->i", x[rows], x[columns]) >= cosine
-        found.append(np.stack([ids[rows[exact]], ids[columns[exact]]], axis=1))
+        once = ids[rows] < ids[columns]
+        rows, columns = rows[once], columns[once]
+        exact = [np.empty(0, dtype=bool)]
+        for k in range(0, len(rows), 65_536):
+            exact.append(np.einsum("ij,ij->i", x[rows[k : k + 65_536]], x[columns[k : k + 65_536]]) >= cosine)
+        exact = np.concatenate(exact)
+        rows, columns = rows[exact], columns[exact]
+        if near is not None:
+            listed = several[rows] | several[columns]
+            near[rows[~listed], columns[~listed]] = near[columns[~listed], rows[~listed]] = True
+            rows, columns = rows[listed], columns[listed]
+        found.append(np.stack([ids[rows], ids[columns]], axis=1))
     both = np.concatenate(found)
-    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+    pairs = pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "n": 1})
+    if near is None or not near.any():
+        return pairs
+    counts = near @ group["copies"].to_numpy()
+    some = np.flatnonzero(counts)
+    a, b = forest(near)
+    sums = pd.DataFrame({"a": ids[some], "b": pd.Series([None] * len(some), dtype=object), "n": counts[some]})
+    joins = pd.DataFrame({"a": ids[a], "b": ids[b], "n": 0})
+    return pd.concat([x.astype({"b": object}) for x in (pairs, sums, joins)], ignore_index=True)
 
 
 def embedding_dedup(
@@ -133,10 +191,11 @@ def embedding_dedup(
     ``cosine``. Equal vectors of a label are one class and count as linked. Candidates are
     the pairs of classes that share a leaf of one of the trees; every pair is verified.
 
-    A tree splits at quantiles of all its vectors, level by level, until a node has at most
-    ``leaf`` of them. What lies within ``overlap`` of the middle goes to both sides. Should a
-    node still be larger after all ``levels``, it is compared in blocks of ``leaf``, each
-    pair of blocks in its own group.
+    A tree splits at the median of all its vectors, level by level, until a node has at most
+    ``leaf`` of them. What lies within ``overlap`` of the middle goes to both sides, and so
+    does what lies closer to the median than linked vectors may differ there. A node that
+    this does not make smaller, or that is still larger after all ``levels``, is compared
+    whole in blocks of ``leaf``, each pair of blocks in its own group.
 
     Vectors that are null, empty, zero or hold null or non-finite components, or have a null
     label or id, are linked with nothing. Rows that share an id are one node. Vectors of
@@ -156,23 +215,33 @@ def embedding_dedup(
 
     members = projected(classes, trees, levels, seed)
     members = stage.read(members.schema, stage.write(members, "projections"))
-    leaves = grown(members, leaf, levels, overlap, stage)
+    spill = DEVIATIONS * float(np.sqrt(max(2 - 2 * cosine, 0)))
+    leaves = grown(members, leaf, levels, overlap, spill, stage)
+    leaves = leaves.withColumns({"code": F.concat_ws(":", "tree", "node"), "large": F.col("count") > leaf})
+    whole = leaves.where("large").groupBy("id", "label").agg(F.collect_set("code").alias("whole"))
+    whole = stage.read(whole.schema, stage.write(whole, "whole"))
     blocks = F.ceil(F.col("count") / (2 * leaf))
     dealt = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    dealt = dealt.select("id", "label", "tree", "node", "block", "left", "right")
-    own = classes.selectExpr("id AS _id", "label AS _label", "embedding")
+    dealt = dealt.select("id", "label", "tree", "node", "code", "large", "block", "left", "right")
+    several = classes.groupBy("id").agg(F.sum("copies").alias("copies"), (F.count("*") > 1).alias("several"))
+    own = classes.drop("copies").join(several, "id").join(whole, ["id", "label"], "left")
+    own = own.selectExpr("id AS _id", "label AS _label", "embedding", "copies", "several", "whole")
     full = dealt.join(own, F.expr("id = _id AND label = _label"))
     full = full.withColumn("width", F.size("embedding"))
     kind = classes.schema["id"].dataType.simpleString()
     group = full.groupBy("label", "tree", "node", "width", "left", "right")
-    links = group.applyInPandas(lambda g: close_pairs(g, cosine), f"a {kind}, b {kind}").distinct()
+    found = group.applyInPandas(lambda g: close_pairs(g, cosine), f"a {kind}, b {kind}, n long")
+    found = stage.read(found.schema, stage.write(found, "found"))
+    links = found.where("n = 1 AND b IS NOT NULL").select("a", "b").distinct()
     links = stage.read(links.schema, stage.write(links, "links"))
 
-    parts = components(links, stage).selectExpr("node AS _part", "component")
+    joins = links.union(found.where("n = 0").select("a", "b"))
+    parts = components(joins, stage).selectExpr("node AS _part", "component")
     copies = classes.groupBy("id").agg(F.sum("copies").alias("copies"))
     others = links.union(links.selectExpr("b AS a", "a AS b")).join(copies, F.col("b") == F.col("id"))
+    others = others.select("a", "copies").union(found.where("b IS NULL").select("a", "n"))
     others = others.groupBy("a").agg(F.sum("copies").alias("others"))
     known = classes.join(others, F.col("id") == F.col("a"), "left").join(parts, F.col("id") == F.col("_part"), "left")
     known = known.select(

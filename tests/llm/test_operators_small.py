@@ -252,6 +252,25 @@ def test_embedding_dedup(spark, leaf):
     assert embedding_dedup(frame.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_dense_groups(spark):
+    r = np.random.default_rng(4)
+    base = r.standard_normal(64) / 8
+    dense = base + r.uniform(0.1, 0.25, (600, 1)) * r.standard_normal((600, 64)) / 8
+    x = np.concatenate([dense, r.standard_normal((600, 64))]).astype(np.float32)
+    rows = [(k, 0, v.tolist()) for k, v in enumerate(x)] + [(3, 0, (2 * x[7]).tolist()), (5, 0, x[5].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup(frame, leaf=50).collect()}
+    unit = np.array([v for _, _, v in rows], dtype=np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near, ids = unit @ unit.T >= 0.93, np.array([k for k, _, _ in rows])
+    linked = {i: set(ids[near[ids == i].any(axis=0)].tolist()) - {i} for i in range(1200)}
+    copies = {i: 1 + (i in (3, 5)) for i in range(1200)}
+    # The row of id 5 stands twice; id 3 has two vectors.
+    links = {i: sum(copies[b] for b in linked[i]) + (i == 5) for i in linked}
+    assert {(i, n) for i, n, _ in got} == set(links.items()) and links[0] > 300
+    assert all(c == (0 if i < 600 else i) for i, _, c in got)
+
+
 # MinHash
 
 
