@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -90,6 +91,12 @@ def _in_order(identifiers: Sequence[str]) -> str:
     return "".join(rf"\|{name}\|" if k == 0 else rf"(.*\|)?{name}\|" for k, name in enumerate(identifiers))
 
 
+def _wrapped(sentences: Sequence[str]) -> str:
+    """A pattern for whole known sentences between line ends, with line ends inside; longer ones first."""
+    each = ("[ \\n]".join(re.escape(word) for word in s.split(" ")) for s in sorted(sentences, key=len, reverse=True))
+    return rf"(?<![^\n])(?:{'|'.join(each)})(?![^\n])"
+
+
 def scan_licences(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -102,10 +109,11 @@ def scan_licences(
 
     A line that goes on in lower case is joined to the next. Sentences end at a line's end
     or at punctuation before white space; in normal form they keep a-z and 0-9 in lower
-    case, with single spaces. ``identifiers`` lists, divided by bars, those of the known
-    sentences in the order of the text; ``licence`` is that of the first rule whose
-    identifiers occur in its order, else null. A further column tells nothing of a text
-    without known sentences: its ``identifiers`` are empty.
+    case, with single spaces. A known sentence begins and ends where a sentence does, and
+    may go on over line ends, comment marks and punctuation. ``identifiers`` lists, divided
+    by bars, those of the known sentences in the order of the text; ``licence`` is that of
+    the first rule whose identifiers occur in its order, else null. A further column tells
+    nothing of a text without known sentences: its ``identifiers`` are empty.
 
     All of it is one projection by built-in functions, without any shuffle; texts of any
     length are scanned whole. A null or empty text has no sentences. Null ids and repeated
@@ -118,8 +126,9 @@ def scan_licences(
     ended = F.regexp_replace(joined, r"[.!?;:]+(\s|\z)", "\n")
     lower = F.translate(ended, _UPPER, _LOWER)
     # Line ends stay, everything else between words becomes one space.
-    plain = F.split(F.regexp_replace(lower, r"[^a-z0-9\n]+", " "), "\n")
-    named = F.filter(F.transform(plain, lambda s: F.try_element_at(known, F.trim(s))), lambda name: name.isNotNull())
+    plain = F.regexp_replace(F.regexp_replace(lower, r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*", "\n")
+    parts = F.regexp_extract_all(F.trim(plain), F.lit(_wrapped(list(sentences))), F.lit(0))
+    named = F.transform(parts, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     found = F.when(F.lower("body").rlike(keywords), named).otherwise(F.array().cast("array<string>"))
     marked = rows.select("id", F.concat(F.lit("|"), F.array_join(found, "|"), F.lit("|")).alias("line"))
     licence = F.lit(None).cast("string")

@@ -12,7 +12,7 @@ from rowcensus.llm import packing, substring, toxicity, url_filter
 from rowcensus.llm.embed_dedup import embedding_dedup
 from rowcensus.llm.exact_dedup import exact_dedup
 from rowcensus.llm.graph import components
-from rowcensus.llm.licences import scan_licences
+from rowcensus.llm.licences import RULES, scan_licences
 from rowcensus.llm.minhash import minhash_dedup
 from rowcensus.llm.mixing import capped_targets, mix_sources, sainte_lague
 from rowcensus.llm.quality import chain, fit_quality, keep_good, score_quality
@@ -314,6 +314,80 @@ def test_licences(documents):
     assert scan_licences(documents([])).count() == 0
 
 
+NOTICES = {
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"] + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+# The licences without a longer notice are named by one line.
+ONE_LINERS = {
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    **{f"CC-{k}-4.0": f"Licensed under CC {k} 4.0." for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    "CC0-1.0": "Licensed under CC0 1.0.",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "    "])
+def test_standard_notices(documents, mark):
+    notices = {**NOTICES, **ONE_LINERS}
+    assert set(notices) == {name for name, _ in RULES}
+    lines = {k: "\n".join((mark + line).rstrip() for line in text.split("\n")) for k, text in notices.items()}
+    names = sorted(notices)
+    docs = [(i, f"{mark}Copyright 2020 A\n{mark.rstrip()}\n{lines[name]}\n\nimport x") for i, name in enumerate(names)]
+    docs += [(100, "We said: this program is free software; you can redistribute it.\nLicense, v. 2.0."),
+             (101, lines["ISC"].replace("without fee", "without a fee"))]
+    got = {r.doc_id: r.licence for r in scan_licences(documents(docs)).collect()}
+    assert got == {**dict(enumerate(names)), 100: None, 101: None}
+
+
 # Substring dedup
 
 
