@@ -55,3 +55,50 @@ kept AS (SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(range(1, len(w) +
 texts AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM kept GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256
 FROM worded LEFT JOIN gone USING (doc_id) LEFT JOIN texts t USING (doc_id)"""
+
+MIDDLES = r"""
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256(concat('42:', doc_id)) AS d,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+    FROM documents
+), numbers AS (
+    SELECT *, len(units) AS n, ('0x' || substr(d, 1, 8))::BIGINT AS h1, ('0x' || substr(d, 9, 8))::BIGINT AS h2,
+        ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4
+    FROM drawn
+), cuts AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+             THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbers
+), pieces AS (
+    SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+        array_to_string(units[b + 1:], '') AS suffix
+    FROM cuts
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+    CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle)
+        ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+CHATS = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS odd(turn, role)
+), escaped AS (
+    SELECT *, [regexp_replace(regexp_replace(c, '(\\*)(<turn>|<says>|</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')
+        FOR c IN [role, text]] AS contents
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(contents[1]) + length(contents[2]) + 19) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import digest_chats, format_chats
 from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .fim import fill_in_middle, restored
 from .licences import scan_licences, scan_sql
 from .minhash import minhash_dedup
 from .mixing import mix_sources
-from .oracles import CLOSE_VECTORS, EXACT, NEAR_COPIES, REPEATS
+from .oracles import CHATS, CLOSE_VECTORS, EXACT, MIDDLES, NEAR_COPIES, REPEATS
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .substring import substring_dedup
@@ -83,6 +86,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).drop("lines", "bad_lines")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"),
+    )
+
+
+#: A conversation whose texts hold control strings.
+ODD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], turns.schema)
+    return digest_chats(format_chats(turns.union(odd)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -94,6 +115,8 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
@@ -102,4 +125,6 @@ ORACLES: dict[str, str] = {
     "op5_minhash_dedup": NEAR_COPIES,
     "op6_licence_scan": scan_sql(),
     "op8_substring_dedup": REPEATS,
+    "op11_fill_in_middle": MIDDLES,
+    "op13_chat_formatting": CHATS,
 }
