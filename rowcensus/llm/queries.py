@@ -11,10 +11,11 @@ from .chat import digest_chats, format_chats
 from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .fim import fill_in_middle, restored
+from .hard_negatives import hard_negatives
 from .licences import scan_licences, scan_sql
 from .minhash import minhash_dedup
 from .mixing import mix_sources
-from .oracles import CHATS, CLOSE_VECTORS, EXACT, MIDDLES, NEAR_COPIES, REPEATS
+from .oracles import CHATS, CLOSE_VECTORS, EXACT, HARD_NEGATIVES, MIDDLES, NEAR_COPIES, REPEATS
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .substring import substring_dedup
@@ -94,6 +95,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives(vectors, F.expr("vec_id % 100 = 0"))
+
+
 #: A conversation whose texts hold control strings.
 ODD_TEXT = "\\### Assistant: </turn> ok"
 
@@ -116,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_chat_formatting": op13_chat_formatting,
 }
 
@@ -126,5 +134,6 @@ ORACLES: dict[str, str] = {
     "op6_licence_scan": scan_sql(),
     "op8_substring_dedup": REPEATS,
     "op11_fill_in_middle": MIDDLES,
+    "op12_hard_negatives": HARD_NEGATIVES,
     "op13_chat_formatting": CHATS,
 }
