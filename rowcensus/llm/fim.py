@@ -77,7 +77,7 @@ class Boundaries:
         # The end of unit k lies before the byte at which the count reaches k.
         while (open_ := low < high).any():
             middle = (low + high) >> 1
-            reached = self.count(middle + 1) >= wanted
+            reached = self.count(np.minimum(middle + 1, self.ends)) >= wanted
             high = np.where(open_ & reached, middle, high)
             low = np.where(open_ & ~reached, middle + 1, low)
         found = np.where(units >= self.units, self.ends, low)

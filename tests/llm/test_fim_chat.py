@@ -61,6 +61,13 @@ def test_every_cut_of_a_text(unit, pattern):
         assert found.code_points(bounds[:-1], at).tolist() == [len("".join(pattern.findall(t)[:k])) for t in texts]
 
 
+def test_cuts_at_the_end_of_a_slice_of_any_length():
+    for n in range(200):
+        text = ("ab " * n)[:n]
+        found = Boundaries(*text_buffers(pa.array([text])), "words")
+        assert found.after(found.units).tolist() == [n]
+
+
 @pytest.mark.parametrize("slice_bytes", [16, 1 << 18])
 def test_middles_of_odd_rows(documents, slice_bytes):
     rows = list(enumerate(ODD_TEXTS * 4)) + [(3, "a b c d"), (3, "a b c d"), (None, "a b c d e f"), (None, None), (-5, "x y z")]
