@@ -170,3 +170,38 @@ def scalar(df: DataFrame) -> Any:
     """First column of the first row, or None."""
     rows = df.select(F.col(quoted(df.columns[0]))).take(1)
     return rows[0][0] if rows else None
+
+
+class TableFiles:
+    """The files below a folder, in any store that Spark reads."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _store(self) -> tuple[Any, Any]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def children(self) -> list[str]:
+        """Names of the folders directly below; none if the folder does not exist."""
+        store, path = self._store()
+        if not store.exists(path):
+            return []
+        return sorted(found.getPath().getName() for found in store.listStatus(path) if found.isDirectory())
+
+    def has(self, name: str) -> bool:
+        store, _ = self._store()
+        return store.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"))
+
+    def listing(self) -> DataFrame:
+        """Rows (FILE, CHANGED, SIZE) of all data files, at any depth; no file is opened.
+
+        Names are written as ``_metadata.file_path`` writes them for rows read from the files.
+        """
+        store, path = self._store()
+        if not store.exists(path):
+            return self.spark.createDataFrame([], "FILE string, CHANGED bigint, SIZE bigint")
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.folder)
+        return files.selectExpr(
+            "_metadata.file_path AS FILE", "unix_micros(_metadata.file_modification_time) AS CHANGED", "_metadata.file_size AS SIZE"
+        )

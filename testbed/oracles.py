@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .inputs import KEYS, PROJECTIONS, SCANNED, as_sql
+from .stored import GONE, ROLLED_UP
 
 SHOWN = (
     "TABLE_NAME", "PRIMARY_KEY", "ROW_IDENTIFIER", "ISSUE_TYPE", "ISSUE_DETAIL",
@@ -334,7 +335,39 @@ def _schema_scan() -> str:
 
 SCHEMA_SCAN = _schema_scan()
 
+
+def _distincts(table: str, columns, source: str | None = None, label: str | None = None) -> str:
+    return _union(
+        f"SELECT '{label or table}' AS TABLE_NAME, '{c}' AS COLUMN_NAME, count(DISTINCT {c}) AS DISTINCT_COUNT FROM {source or table}"
+        for c in columns
+    )
+
+
+LEFT_OVER = f"(SELECT * FROM orders_d WHERE NOT ({GONE}))"
+
+STORED_ORACLES = {
+    "incremental_profile": f"WITH {INPUTS} "
+    + _union(
+        f"{row.replace('FROM orders_d', f'FROM {LEFT_OVER}')}" for row in (
+            r.replace("AS NULL_RATE", "AS NULL_RATE, " + ("max(o_orderdate)" if "'o_orderdate'" in r else "CAST(NULL AS TIMESTAMP)") + " AS LAST_UPDATED")
+            for r in _profile_rows("orders_d")
+        )
+    ),
+    "incremental_distincts": f"WITH {INPUTS} SELECT *, TRUE AS CLOSE FROM ({_distincts('orders_d', PROJECTIONS['orders_d'], LEFT_OVER)})",
+    "distinct_bitmaps": _union(_distincts(t, RAW[t].split()) for t in ("lineitem", "orders", "events")),
+    "distinct_bitmaps_rollup": _union(
+        f"SELECT {slice_} AS SLICE, '{c}' AS COLUMN_NAME, count(DISTINCT {c}) AS DISTINCT_COUNT FROM lineitem GROUP BY 1"
+        for c in ROLLED_UP
+        for slice_ in ("strftime(l_shipdate, '%Y')", "'lineitem'")
+    ),
+    "distinct_sketches": f"SELECT *, TRUE AS CLOSE, TRUE AS AGREES FROM ({_distincts('lineitem', RAW['lineitem'].split())})",
+    "duplicate_keys_prefiltered_lines": _LINE_GROUPS + "1",
+    "duplicate_keys_nearly_unique": "SELECT user_id, ts, event_type, props, count(*) AS DUPLICATE_COUNT FROM events "
+    "GROUP BY ALL HAVING count(*) > 1",
+}
+
 ORACLES: dict[str, str] = {
+    **STORED_ORACLES,
     "list_tables": _union(
         f"SELECT '{t}' AS TABLE_NAME, count(*) AS ROW_COUNT FROM {t}" for t in RAW if t != "embeddings"
     ),

@@ -29,6 +29,7 @@ from rowcensus.sources.footers import parquet_location
 from rowcensus.sources.staging import Stage
 
 from .inputs import KEYS, SCANNED, TABLES, derived, derived_tables, registered, scanned_and_references, table
+from .stored import STORED
 
 DATABASE = "spark_catalog"
 SHOWN = (
@@ -507,7 +508,7 @@ _ALL = (
     run_result, full_scan, issue_groups, issue_samples, issue_prompts, table_prompts, enrich_template,
     extract_json, parse_responses, attach_enrichment, report_datasets, insert_missing,
     apply_corrections, ensure_column, distinct_profile_wide, zero_column_table, enrich_failure,
-    empty_report, schema_scan,
+    empty_report, schema_scan, *STORED,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {fn.__name__: fn for fn in _ALL}
