@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import Stage
 from .graph import components
 from .joins import keep_matching
-from .words import Slice, mix, span_hash
+from .words import Slice, mix, run_hash, span_hash
 from .words import slices as text_slices
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ def shingle_sets(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(part)), shingles)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     starts = part.first[:-1][owner] + within
-    hashes = span_hash(part.hashes(), starts, starts + np.minimum(counts, size)[owner])
+    hashes = run_hash(part.hashes(), starts, np.minimum(counts, size)[owner])
     order = np.lexsort((hashes, owner))
     hashes = hashes[order]
     new = np.ones(len(hashes), dtype=bool)

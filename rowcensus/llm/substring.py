@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import Stage
 from .joins import BROADCAST_ROWS, keep_matching
-from .words import Slice, find_words, mix, slices, span_hash, text_buffers
+from .words import Slice, find_words, run_hash, slices, span_hash, text_buffers
 
 WINDOW = 20
 GRAM = 6
@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def cut_pieces(marked: DataFrame, window: int) -> DataFrame:
     """Rows (a, q1, q2, id, s, i, j, words) of marked (id, s, text, runs): the words of each run.
 
-    ``q1`` and ``q2`` are two hashes of the words, 128 bits together.
+    ``q1`` and ``q2`` are a digest of the words of 128 bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +110,16 @@ def cut_pieces(marked: DataFrame, window: int) -> DataFrame:
                 part = find_words(*_one_text(texts, row))
                 own = runs.slice(row, 1).flatten()
                 a, i, j = (own.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                hashes, to = part.hashes(), j + window
-                q1 = span_hash(hashes, i.astype(np.int64), to.astype(np.int64))
-                q2 = span_hash(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), i.astype(np.int64), to.astype(np.int64))
+                to = j + window
                 words = [part.words(x, y) for x, y in zip(i.tolist(), to.tolist())]
+                digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words])
+                q1, q2 = np.frombuffer(digests, dtype="<i8").reshape(-1, 2).T
                 places = pa.array(np.full(len(a), row))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(a),
-                        pa.array(q1.view(np.int64)),
-                        pa.array(q2.view(np.int64)),
+                        pa.array(np.ascontiguousarray(q1)),
+                        pa.array(np.ascontiguousarray(q2)),
                         batch.column(0).take(places),
                         batch.column(1).take(places),
                         pa.array(i),
@@ -147,9 +147,7 @@ def window_hashes(pieces: DataFrame, window: int) -> DataFrame:
                 piece = np.repeat(np.arange(len(part)), counts)
                 offset = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
                 starts = part.first[:-1][piece] + offset
-                hashes = part.hashes()
-                w1 = span_hash(hashes, starts, starts + window)
-                w2 = span_hash(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), starts, starts + window)
+                w1, w2 = (run_hash(part.hashes(seed), starts, window, seed) for seed in (0, 1))
                 rows = pa.array(piece + part.row)
                 a, doc, s, i = (batch.column(k).take(rows) for k in range(4))
                 pos = i.to_numpy() + offset

@@ -7,6 +7,7 @@ bytes in UTF-8, so words are found on bytes. A column is walked in slices of abo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,18 +28,17 @@ _LOWER[65:91] += 32
 NOT_LETTERS = np.ones(256, dtype=bool)
 NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
-_powers: dict[int, np.ndarray] = {}
+#: The lower 0 to 8 bytes of a 64-bit value, and longer words that are hashed one by one.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+LONG_WORD = 256
+_SEEDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base ** 0 .. base ** (n - 1)`` modulo 2**64, kept between calls."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[int(base)] = have
-    return have[:n]
+    """``base ** 0 .. base ** (n - 1)`` modulo 2**64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,7 +52,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``values[start:end]`` for every span, by prefix sums of a polynomial."""
+    """A 64-bit hash of ``values[start:end]`` for every span, by prefix sums of a polynomial.
+
+    Spans of any length cost the same, but unequal ones can be found that have equal hashes
+    (a Thue-Morse sequence and its complement). It is for finding candidates only; what
+    decides that two things are equal is hashed by ``run_hash``.
+    """
     n = len(values)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((values + np.uint64(1)) * powers(_BASE, n), out=sums[1:], dtype=np.uint64)
@@ -60,6 +65,43 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def run_hash(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of ``values[start : start + length]`` for every run, value after value.
+
+    All bits are mixed after every value, so no algebra relates the hashes of two runs. Two
+    seeds give two independent hashes, 128 bits together.
+    """
+    lengths = np.broadcast_to(np.asarray(lengths, dtype=np.int64), starts.shape)
+    found = mix(lengths.astype(np.uint64) * np.uint64(_SEEDS[seed]) + np.uint64(seed + 1))
+    longest, shortest = int(lengths.max(initial=0)), int(lengths.min(initial=0)) if len(lengths) else 0
+    for k in range(longest):
+        if k < shortest:
+            found = mix(found ^ values[starts + k])
+        else:
+            more = np.flatnonzero(lengths > k)
+            found[more] = mix(found[more] ^ values[starts[more] + k])
+    return found
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of every word, eight bytes at a time; long words by BLAKE2."""
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    lengths = ends - starts
+    found = mix(lengths.astype(np.uint64) * np.uint64(_SEEDS[seed]) + np.uint64(seed + 1))
+    short = np.flatnonzero(lengths <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        short = short[lengths[short] > k]
+        if not len(short):
+            break
+        part = eight[starts[short] + k] & _LOW[np.minimum(lengths[short] - k, 8)]
+        found[short] = mix(found[short] ^ part)
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([seed])).digest()
+        found[i] = int.from_bytes(digest, "little")
+    return found
+
+
 @dataclass
 class Slice:
     """Some consecutive texts of a column.
@@ -86,8 +128,9 @@ class Slice:
         """The text of each word."""
         return np.repeat(np.arange(len(self)), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        return span_hash(self.data.astype(np.uint64), self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word; two seeds give independent ones."""
+        return word_hashes(self.data, self.starts, self.ends, seed)
 
     def words(self, lo: int, hi: int) -> bytes:
         """Words ``lo .. hi - 1`` of the slice joined by single spaces."""
