@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import labels
 from ..functions.text import joined_values, literal, payload_map, quoted, row_fingerprint
-from ..sources.catalog import table_ref
+from ..sources.catalog import ROW_POSITION, table_ref, with_row_position
 from ..sources.jobs import side_by_side
 from ..sources.staging import Stage
 from .issues import ISSUE_SCHEMA, combine_issues, empty_issues, issue_columns, stamp
@@ -34,7 +34,9 @@ class Rule:
     * ``where`` and ``detail``: SQL expressions over one row of ``table``. All rules of
       this kind on one table are evaluated in a single scan of it.
 
-    A ``dynamic`` rule only carries the name and severity of a profiler finding.
+    A ``dynamic`` rule only carries the name and severity of a profiler finding. Rows of a
+    rule without a key are identified by a digest, or with ``position`` by their file and
+    place in it, which tells equal rows apart and stays the same until the file is rewritten.
     """
 
     id: str
@@ -50,6 +52,7 @@ class Rule:
     where: str | None = None
     detail: str | None = None
     payload: tuple[str, ...] = ()
+    position: bool = False
 
     @classmethod
     def from_dict(cls, entry: Mapping[str, Any]) -> Rule:
@@ -73,6 +76,14 @@ def fill_template(sql: str, database: str, schema: str) -> str:
     return sql.replace("{database}", database).replace("{schema}", schema)
 
 
+def _without_key(df: DataFrame, rule: Rule) -> str:
+    """Identifier of a row of a rule without a key."""
+    if rule.position:
+        return quoted(ROW_POSITION)
+    names = [c for c in df.columns if c != ROW_POSITION]
+    return row_fingerprint(df.selectExpr(*[quoted(c) for c in names]))
+
+
 def rule_issues(found: DataFrame, rule: Rule) -> DataFrame:
     """Violating rows as issues; what the query did not return comes from the rule."""
     by_upper = {name.upper(): name for name in found.columns}
@@ -81,13 +92,13 @@ def rule_issues(found: DataFrame, rule: Rule) -> DataFrame:
         return quoted(by_upper[name]) if name in by_upper else literal(default)
 
     keys = [by_upper.get(k.upper(), k) for k in rule.primary_key]
-    reserved = RESULT_COLUMNS + SET_BY_RULE
+    reserved = RESULT_COLUMNS + SET_BY_RULE + (ROW_POSITION,)
     payload = [name for upper, name in by_upper.items() if upper not in reserved]
     return found.selectExpr(
         *issue_columns(
             TABLE_NAME=literal(rule.table),
             PRIMARY_KEY=literal(", ".join(rule.primary_key)),
-            ROW_IDENTIFIER=joined_values(found, keys) if keys else row_fingerprint(found),
+            ROW_IDENTIFIER=joined_values(found, keys) if keys else _without_key(found, rule),
             ISSUE_TYPE=returned("ISSUE_TYPE", rule.id),
             ISSUE_DETAIL=returned("ISSUE_DETAIL", rule.description or rule.id),
             SEVERITY=literal(rule.severity),
@@ -105,6 +116,8 @@ def actual_names(df: DataFrame, wanted: Iterable[str]) -> list[str]:
 
 def check_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Issues of any number of row-local rules over one table, from one scan."""
+    if any(rule.position and not rule.primary_key for rule in rules):
+        df = with_row_position(df)
     issues = []
     for rule in rules:
         keys = actual_names(df, rule.primary_key)
@@ -112,7 +125,7 @@ def check_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         columns = issue_columns(
             TABLE_NAME=literal(rule.table),
             PRIMARY_KEY=literal(", ".join(rule.primary_key)),
-            ROW_IDENTIFIER=joined_values(df, keys) if keys else row_fingerprint(df),
+            ROW_IDENTIFIER=joined_values(df, keys) if keys else _without_key(df, rule),
             ISSUE_TYPE=literal(rule.id),
             ISSUE_DETAIL=rule.detail or literal(rule.description or rule.id),
             SEVERITY=literal(rule.severity),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -86,6 +87,7 @@ def respond(
     batch: int = 16,
     parallel: int | None = None,
     max_tokens: int | None = None,
+    pause: float = 0.0,
 ) -> DataFrame:
     """Add RESPONSE and ERROR by running ``fn(list_of_prompts) -> list_of_texts``.
 
@@ -94,13 +96,16 @@ def respond(
     response and the last error. The prompts are few but slow to answer: they are spread
     over ``parallel`` tasks, because adaptive coalescing would put them all in one.
 
-    With ``max_tokens`` the function also gets ``max_tokens=``, at least 1024.
+    With ``max_tokens`` the function also gets ``max_tokens=``, at least 1024. Between the
+    attempts at a batch, a task waits ``pause`` seconds, then twice and four times as long.
     """
     extra = {} if max_tokens is None else {"max_tokens": max(max_tokens, TOKEN_LIMIT)}
 
     def ask(texts: list[str]) -> tuple[list[str | None], str | None]:
         error = None
-        for _ in range(attempts):
+        for attempt in range(attempts):
+            if attempt and pause:
+                time.sleep(pause * 2 ** (attempt - 1))
             try:
                 answers = list(fn(texts, **extra))
                 if len(answers) != len(texts):

@@ -18,6 +18,7 @@ from ..operators.summary import issue_counts, overview, rule_summary, run_result
 from ..sources.catalog import declared_keys, load_tables, not_null_columns, resolve_keys
 from ..sources.footers import parquet_location, write_footer_profile
 from ..sources.jobs import side_by_side
+from ..sources.resume import ResumableStage
 from ..sources.staging import Stage
 from .enrich import attach_texts, issue_prompts, parse_responses, respond, table_prompts
 from .report import PREFIX, write_report
@@ -234,8 +235,13 @@ def scan_schema(
     report_folder: str | None = None,
     prefix: str = PREFIX,
     now: datetime | None = None,
+    resume: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Scan all base tables of a catalog schema and, given a folder, write the report."""
+    """Scan all base tables of a catalog schema and, given a folder, write the report.
+
+    With ``resume``, a name of the run, finished parts are remembered below the staging root,
+    and a scan that broke goes on from there when it is called with the same name again.
+    """
     if not database or not schema:
         raise ValueError("a database and a schema are needed")
     now = now or datetime.now()
@@ -243,8 +249,9 @@ def scan_schema(
     declared = {name: declared_keys(spark, database, schema, name) for name in tables}
     folders = {name: parquet_location(spark, database, schema, name) for name in tables}
     paths = {name: folder for name, folder in folders.items() if folder}
+    stage = ResumableStage(spark, resume, f"{database}.{schema} {options}") if resume else None
     frames = scan(
-        spark, tables, rules, database, schema, overrides, declared, enrich, options, now.isoformat(), paths=paths
+        spark, tables, rules, database, schema, overrides, declared, enrich, options, now.isoformat(), stage, paths
     )
     if report_folder:
         path = write_report(frames, report_folder, now.strftime("%Y%m%d_%H%M%S"), prefix)

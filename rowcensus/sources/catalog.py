@@ -17,6 +17,7 @@ log = logging.getLogger(__name__)
 KEY_PROPERTY = "dq.primary_key"
 KEY_SUFFIXES = ("ID", "KEY")
 BASE_TYPES = ("MANAGED", "EXTERNAL")
+ROW_POSITION = "ROW_POSITION"
 
 
 def table_ref(*parts: str) -> str:
@@ -87,6 +88,18 @@ def load_tables(
     }
 
 
+def with_row_position(df: DataFrame) -> DataFrame:
+    """Add ``ROW_POSITION``, the file of a row and its number there, unless the frame has it.
+
+    ``df`` reads Parquet files, with filters and projections at most; after an aggregate rows
+    have no position. Any number of tasks reading a file, in any order, give a row the same
+    position, and no row is counted to find it.
+    """
+    if ROW_POSITION in df.columns:
+        return df
+    return df.selectExpr("*", f"concat(_metadata.file_path, '#', _metadata.row_index) AS {ROW_POSITION}")
+
+
 def column_metadata(
     df: DataFrame, table: str, profile: DataFrame | None = None
 ) -> DataFrame:

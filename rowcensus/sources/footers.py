@@ -60,8 +60,14 @@ def write_footer_profile(
 
     Returns where it is stored, and the tables that Spark cannot answer for, for example
     because a writer left out the statistics or a file lacks a later column; those have to
-    be scanned. All tables are tried in one job and, should that fail, one by one.
+    be scanned. All tables are tried in one job and, should that fail, one by one. A table
+    without data files has no footers, and counts that are pushed down to none come back wrong.
     """
+    bare = [name for name, df in tables.items() if not df.inputFiles()]
+    if bare:
+        rest = {name: df for name, df in tables.items() if name not in bare}
+        found, failed = write_footer_profile(spark, rest, paths, stage, parallel) if rest else ([], [])
+        return found, bare + failed
     session = footer_session(spark)
 
     def stored(names: Sequence[str]) -> str | None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .inputs import KEYS, PROJECTIONS, SCANNED, as_sql
-from .stored import GONE, ROLLED_UP
+from .stored import CORRECTED, GONE, ROLLED_UP
 
 SHOWN = (
     "TABLE_NAME", "PRIMARY_KEY", "ROW_IDENTIFIER", "ISSUE_TYPE", "ISSUE_DETAIL",
@@ -362,6 +362,27 @@ STORED_ORACLES = {
     ),
     "distinct_sketches": f"SELECT *, TRUE AS CLOSE, TRUE AS AGREES FROM ({_distincts('lineitem', RAW['lineitem'].split())})",
     "duplicate_keys_prefiltered_lines": _LINE_GROUPS + "1",
+    "apply_corrections_stored": f"SELECT o_orderkey, o_custkey, CASE WHEN {CORRECTED} THEN 'X' ELSE o_orderstatus END AS o_orderstatus, "
+    f"CASE WHEN {CORRECTED} THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders",
+    "insert_missing_stored": "SELECT * FROM orders",
+    "rule_row_position": "SELECT 'bulk_line' AS ISSUE_TYPE, 'lines' AS TABLE_NAME, '' AS PRIMARY_KEY, CAST(n AS BIGINT) AS ROW_INDEX "
+    "FROM (SELECT *, row_number() OVER () - 1 AS n FROM lineitem) WHERE l_quantity = 50",
+    "partitioned_profile": f"WITH {INPUTS}, partitioned AS (SELECT *, year(o_orderdate) AS y, nullif(o_orderstatus, 'P') AS s FROM orders_d) "
+    + _union(
+        f"SELECT 'orders_d' AS TABLE_NAME, '{c}' AS COLUMN_NAME, {i} AS ORDINAL_POSITION, count(*) AS TOTAL_ROWS, "
+        f"count(*) - count({c}) AS NULL_COUNT, (count(*) - count({c})) / greatest(count(*), 1) AS NULL_RATE FROM partitioned"
+        for i, c in enumerate([*PROJECTIONS["orders_d"], "y", "s"], start=1)
+    ),
+    "partitioned_staleness": _union(
+        f"SELECT '{name}' AS TABLE_NAME, {newest} AS LAST_UPDATED, {newest} < TIMESTAMP '2024-02-15' - INTERVAL 90 DAY AS IS_STALE FROM {source}"
+        for name, source, newest in (
+            ("orders", "orders", "CAST(CAST(max(o_orderdate) AS DATE) AS TIMESTAMP)"),
+            ("lines", "lineitem", "CAST(date_trunc('month', max(l_shipdate)) AS TIMESTAMP)"),
+        )
+    ),
+    "stored_answers": f"WITH {INPUTS}, prompts AS (SELECT o_orderstatus, 'Orders in state ' || o_orderstatus || ': ' || count(*) AS PROMPT "
+    "FROM orders_d GROUP BY o_orderstatus) SELECT *, CASE o_orderstatus WHEN 'P' THEN 'late' ELSE 'early' END || ': ' || PROMPT AS RESPONSE, "
+    "CAST(NULL AS VARCHAR) AS ERROR FROM prompts",
     "duplicate_keys_nearly_unique": "SELECT user_id, ts, event_type, props, count(*) AS DUPLICATE_COUNT FROM events "
     "GROUP BY ALL HAVING count(*) > 1",
 }
@@ -541,3 +562,5 @@ ORACLES: dict[str, str] = {
     "c_nationkey, c_acctbal, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer",
     "ensure_column": "SELECT *, CAST(NULL AS VARCHAR) AS rm_code FROM supplier",
 }
+
+ORACLES["resumed_scan"] = ORACLES["full_scan"]

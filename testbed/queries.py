@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -23,9 +24,10 @@ from rowcensus.operators.issues import combine_issues, stamp, widen_issues
 from rowcensus.operators.rules import Rule, run_rule, run_rules
 from rowcensus.plans import enrich as E
 from rowcensus.plans.report import write_report
-from rowcensus.plans.scan import scan, scan_schema, stored_profile, table_keys
+from rowcensus.plans.scan import ScanOptions, scan, scan_schema, stored_profile, table_keys
 from rowcensus.sources import catalog as C
 from rowcensus.sources.footers import parquet_location
+from rowcensus.sources.resume import ResumableStage
 from rowcensus.sources.staging import Stage
 
 from .inputs import KEYS, SCANNED, TABLES, derived, derived_tables, registered, scanned_and_references, table
@@ -364,6 +366,13 @@ def _scan(spark, sf, **more):
     )
 
 
+def resumed_scan(spark, sf):
+    """A scan that ends after the profile, and one of the same name that goes on from there."""
+    name = f"scan-{uuid.uuid4().hex}"
+    _scan(spark, sf, stage=ResumableStage(spark, name), options=ScanOptions(rules=False))
+    return _shown(_scan(spark, sf, stage=ResumableStage(spark, name))["Row_Issues"])
+
+
 def issue_groups(spark, sf):
     return S.issue_groups(_combined(spark, sf))
 
@@ -508,7 +517,7 @@ _ALL = (
     run_result, full_scan, issue_groups, issue_samples, issue_prompts, table_prompts, enrich_template,
     extract_json, parse_responses, attach_enrichment, report_datasets, insert_missing,
     apply_corrections, ensure_column, distinct_profile_wide, zero_column_table, enrich_failure,
-    empty_report, schema_scan, *STORED,
+    empty_report, schema_scan, resumed_scan, *STORED,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {fn.__name__: fn for fn in _ALL}

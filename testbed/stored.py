@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from rowcensus.operators import profile as P
 from rowcensus.operators import states as ST
 from rowcensus.operators.prefilter import duplicate_keys_prefiltered
+from rowcensus.operators.rules import Rule, run_rule
+from rowcensus.plans.answers import AnswerStore
 from rowcensus.plans.incremental import ProfileStore
+from rowcensus.plans.stored import correct_stored, insert_stored
+from rowcensus.sources.catalog import ROW_POSITION, with_row_position
+from rowcensus.sources.partitioned import partitioned_null_profile, stale_from_metadata
 from rowcensus.sources.staging import Stage
 
 from .inputs import PROJECTIONS, derived, table
@@ -108,7 +113,77 @@ def duplicate_keys_nearly_unique(spark, sf):
     return duplicate_keys_prefiltered(table(spark, sf, "events"), keys)
 
 
+def apply_corrections_stored(spark, sf):
+    """Corrections rewrite the years that hold a corrected order, and no other file."""
+    stage, orders = Stage(spark), table(spark, sf, "orders")
+    folder = f"{stage.folder}/orders"
+    _by_year(orders).write.partitionBy("y").parquet(folder)
+    fixes = orders.where(CORRECTED).select(
+        "o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit("X").alias("o_orderstatus")
+    )
+    correct_stored(spark, folder, fixes, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], ["y"], stage=stage)
+    return spark.read.parquet(folder).drop("y")
+
+
+CORRECTED = "o_orderdate >= TIMESTAMP '1995-06-01' AND o_orderdate < TIMESTAMP '1996-03-01' AND o_orderpriority = '1-URGENT'"
+
+
+def insert_missing_stored(spark, sf):
+    """Rows of two years are missing from a stored table; what is missing is appended."""
+    stage, orders = Stage(spark), _by_year(table(spark, sf, "orders"))
+    folder = f"{stage.folder}/orders"
+    orders.where("y NOT IN (1993, 1996) OR o_orderkey % 2 = 0").write.partitionBy("y").parquet(folder)
+    insert_stored(spark, folder, orders, ["o_orderkey"], ["y"], stage)
+    return spark.read.parquet(folder).drop("y")
+
+
+def rule_row_position(spark, sf):
+    """Rows of a rule without a key, by their place in the file: equal rows stay apart."""
+    lines = with_row_position(table(spark, sf, "lineitem")).selectExpr("l_linenumber", "l_quantity", ROW_POSITION)
+    rule = Rule(id="bulk_line", table="lines", where="l_quantity = 50", position=True)
+    found = run_rule(spark, rule, "spark_catalog", "census", {"lines": lines}.__getitem__)
+    return found.selectExpr("ISSUE_TYPE", "TABLE_NAME", "PRIMARY_KEY", "CAST(substring_index(ROW_IDENTIFIER, '#', -1) AS BIGINT) AS ROW_INDEX")
+
+
+def partitioned_profile(spark, sf):
+    """Nulls of a partitioned table, partition columns included, from footers and folder names."""
+    stage = Stage(spark)
+    folder = f"{stage.folder}/orders_d"
+    rows = _by_year(derived(spark, sf, "orders_d")).withColumn("s", F.expr("nullif(o_orderstatus, 'P')"))
+    rows.write.partitionBy("y", "s").parquet(folder)
+    return partitioned_null_profile(spark, folder, "orders_d", ["y", "s"]).drop("DATA_TYPE")
+
+
+def partitioned_staleness(spark, sf):
+    """Newest dates of partitioned tables without reading rows: a date column and a partition."""
+    stage = Stage(spark)
+    orders = table(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate"))
+    lines = table(spark, sf, "lineitem").withColumn("month", F.trunc(F.to_date("l_shipdate"), "MM"))
+    orders.withColumn("y", F.year("day")).write.partitionBy("y").parquet(f"{stage.folder}/orders")
+    lines.write.partitionBy("month").parquet(f"{stage.folder}/lines")
+    stamps = {"orders": (f"{stage.folder}/orders", "day", ["y"]), "lines": (f"{stage.folder}/lines", "month", ["month"])}
+    return stale_from_metadata(spark, stamps, "2024-02-15", 90)
+
+
+def stored_answers(spark, sf):
+    """Issue groups asked in two runs: the second asks only what the first was not answered."""
+    stage = Stage(spark)
+    orders = derived(spark, sf, "orders_d")
+    prompts = orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).selectExpr(
+        "o_orderstatus", "concat('Orders in state ', o_orderstatus, ': ', n) AS PROMPT"
+    )
+    store = AnswerStore(spark, f"{stage.folder}/answers", "first")
+    store.respond(prompts.where("o_orderstatus != 'P'"), said("early"), stage)
+    return store.respond(prompts, said("late"), stage)
+
+
+def said(word):
+    """A stand-in for a model whose answers tell which run asked."""
+    return lambda prompts: [f"{word}: {prompt}" for prompt in prompts]
+
+
 STORED = (
     incremental_profile, incremental_distincts, distinct_bitmaps, distinct_bitmaps_rollup, distinct_sketches,
-    duplicate_keys_prefiltered_lines, duplicate_keys_nearly_unique,
+    duplicate_keys_prefiltered_lines, duplicate_keys_nearly_unique, apply_corrections_stored, insert_missing_stored,
+    rule_row_position, partitioned_profile, partitioned_staleness, stored_answers,
 )
