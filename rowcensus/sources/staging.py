@@ -6,11 +6,31 @@ import itertools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 SETTING = "spark.checkpoint.dir"
+_opened: ContextVar[list | None] = ContextVar("opened", default=None)
+
+
+@contextmanager
+def passing_stages() -> Iterator[None]:
+    """Remove the folders of all stages that are made inside, when the block ends.
+
+    For a step whose result is stored elsewhere by then: what it kept on the way is of no
+    further use.
+    """
+    token = _opened.set([])
+    try:
+        yield
+    finally:
+        for stage in _opened.get() or ():
+            stage.close()
+        _opened.reset(token)
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -39,6 +59,8 @@ class Stage:
         base = (root or staging_root(spark)).rstrip("/")
         self.folder = f"{base}/rowcensus/{uuid.uuid4().hex}"
         self._numbers = itertools.count(1)
+        if _opened.get() is not None:
+            _opened.get().append(self)
 
     def write(self, df: DataFrame, label: str) -> str:
         """Run ``df``, store its rows and return their path; labels need not be unique."""
