@@ -84,26 +84,28 @@ def segments(places: list[int], scores: list[float], drift: float) -> list[tuple
     """All maximal scoring segments (first, last, score) of a sequence, in one pass.
 
     ``places`` are the positions with positive ``scores``; every other position scores
-    ``-drift``. A stack holds the candidates with the running total before and after each.
-    A new one joins the latest candidate that starts lower, if it also ends higher than that
-    one, and takes all candidates in between with it.
+    ``-drift``. A stack holds the candidates with the running total before and after each,
+    and the latest candidate below that starts lower. A new one joins that candidate, if it
+    also ends higher than it, and takes all in between with it. Following these links, a
+    candidate is passed over once, so the time is linear.
     """
-    stack: list[tuple[int, int, float, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     total, before = 0.0, -1
     for place, score in zip(places, scores):
         total -= drift * (place - before - 1)
         first, low, high = place, total, total + score
+        k = len(stack) - 1
         while True:
-            k = len(stack) - 1
             while k >= 0 and stack[k][2] >= low:
-                k -= 1
+                k = stack[k][4]
             if k < 0 or stack[k][3] >= high:
-                stack.append((first, place, low, high))
+                stack.append((first, place, low, high, k))
                 break
-            first, low = stack[k][0], stack[k][2]
+            first, low, link = stack[k][0], stack[k][2], stack[k][4]
             del stack[k:]
+            k = link
         total, before = high, place
-    return [(a, b, h - l) for a, b, l, h in stack]
+    return [(a, b, h - l) for a, b, l, h, _ in stack]
 
 
 def text_segments(column: pa.Array, model: ToxicityModel) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
