@@ -124,3 +124,39 @@ WITH good AS (
 )
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM found WHERE rank <= 10"""
+
+PLACES = "SELECT doc_id, TRUE AS whole, TRUE AS gapless FROM documents"
+
+URL_RULES = """
+WITH parts AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), pieces AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM parts
+), rules(rule, rule_host, rule_path, verdict) AS (
+    VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+        ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+)
+SELECT page_id, host, path, rule, verdict
+FROM pieces LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1"""
+
+# The level at which the capped targets share all words is the largest that any number of
+# capped sources, those of the smallest cap by weight, would leave to the others.
+TARGETS = f"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}')) AS size FROM documents
+), ranked AS (
+    SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source
+), weighted AS (
+    SELECT *, (place - 1) % 3 + 1 AS weight FROM ranked
+), left_over AS (
+    SELECT (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM weighted
+    WINDOW before AS (ORDER BY 3.0 * source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size,
+    round(least(3.0 * source_size, (SELECT max(level) FROM left_over) * weight), 3) AS target, TRUE AS bounded, TRUE AS met
+FROM sized JOIN weighted ON sized.source IS NOT DISTINCT FROM weighted.source"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chat import digest_chats, format_chats
@@ -15,7 +15,7 @@ from .hard_negatives import hard_negatives
 from .licences import scan_licences, scan_sql
 from .minhash import minhash_dedup
 from .mixing import mix_sources
-from .oracles import CHATS, CLOSE_VECTORS, EXACT, HARD_NEGATIVES, MIDDLES, NEAR_COPIES, REPEATS
+from .oracles import CHATS, CLOSE_VECTORS, EXACT, HARD_NEGATIVES, MIDDLES, NEAR_COPIES, PLACES, REPEATS, TARGETS, URL_RULES
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .substring import substring_dedup
@@ -111,7 +111,42 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(format_chats(turns.union(odd)))
 
 
+def packing_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the packing what SQL can tell: documents are whole, sequences full of them without gaps."""
+    pieces = op2_best_fit_packing(spark, sf_dir)
+    order = Window.partitionBy("sequence_id").orderBy("offset")
+    end = F.col("offset") + F.col("length")
+    before = F.coalesce(F.lag(end).over(order), F.lit(0))
+    placed = pieces.withColumn("fits", (F.col("offset") == before) & (end <= 1024) & (F.col("length") > 0))
+    follows = F.max(F.col("start") + F.col("length")) == F.sum("length")
+    return placed.groupBy("doc_id").agg(
+        (follows & (F.min("start") == 0) & (F.max("piece") + 1 == F.count("*"))).alias("whole"), F.min("fits").alias("gapless")
+    )
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the url filter what SQL can tell: the parts of a url, and the verdicts of rules."""
+    judged = op3_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the mix what SQL can tell: sizes, targets, that no document is taken too often, and that targets are met."""
+    mixed = op7_mix_sources(spark, sf_dir)
+    source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_id"), "source")
+    mixed = mixed.join(source, F.col("doc_id") == F.col("_id"))
+    total = F.sum("taken").over(Window.partitionBy("source"))
+    # Blocks of 64 words are dealt by shard; here every source is one shard.
+    return mixed.select(
+        "doc_id", "size", "source_size", F.round("target", 3).alias("target"),
+        (F.col("taken") <= 3 * F.col("size")).alias("bounded"), (F.abs(total - F.col("target")) <= 0.05 * F.col("target") + 64).alias("met"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "packing_places": packing_places,
+    "url_rules": url_rules,
+    "mixing_targets": mixing_targets,
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_url_filter": op3_url_filter,
@@ -128,6 +163,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "packing_places": PLACES,
+    "url_rules": URL_RULES,
+    "mixing_targets": TARGETS,
     "op1_exact_dedup": EXACT,
     "op4_embedding_dedup": CLOSE_VECTORS,
     "op5_minhash_dedup": NEAR_COPIES,

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..sources.staging import Stage
 
 LONGEST_WORD = 24
-SEED_COUNT = 1000
 #: Pseudo count of every token in either class.
 SMOOTHING = 0.1
 
@@ -58,9 +57,42 @@ def url_parts(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     return parts.withColumn("path_key", F.trim(F.regexp_replace(key, "[^a-z0]+", " ")))
 
 
+_HIDDEN = re.compile(rb"(?i)<(script|style)\b")
+_HIDDEN_ENDS = {name: re.compile(rb"(?i)</" + name + rb"\s*>") for name in (b"script", b"style")}
+
+
+def visible(html: bytes) -> Iterator[bytes]:
+    """The pieces of a page between its tags, without scripts, styles and comments.
+
+    One walk forward. What opens a comment, script or style and is never closed counts as a
+    tag; after a ``<`` without any ``>`` all is text. That a closer does not follow is
+    remembered, so it is searched for once.
+    """
+    at, missing = 0, set()
+    while (start := html.find(b"<", at)) >= 0:
+        yield html[at:start]
+        end = -1
+        hidden = _HIDDEN.match(html, start)
+        name = hidden.group(1).lower() if hidden else b"--" if html.startswith(b"<!--", start) else None
+        if name is not None and name not in missing:
+            if hidden:
+                closer = _HIDDEN_ENDS[name].search(html, hidden.end())
+                end = closer.end() if closer else -1
+            elif (found := html.find(b"-->", start + 4)) >= 0:
+                end = found + 3
+            if end < 0:
+                missing.add(name)
+        if end < 0:
+            end = html.find(b">", start + 1) + 1
+        if not end:
+            yield html[start + 1 :]
+            return
+        at = end
+    yield html[at:]
+
+
 def text_words(pages: DataFrame, html_col: str) -> DataFrame:
-    """Rows (word, count): runs of a-z in the visible text of all pages."""
-    tags = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    """Rows (word, count): runs of a-z in the visible text of all pages, up to ``LONGEST_WORD``."""
     runs = re.compile(rb"[a-z]+")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +100,8 @@ def text_words(pages: DataFrame, html_col: str) -> DataFrame:
             seen: Counter[bytes] = Counter()
             for text in batch.column(0).cast(pa.binary()):
                 if text.is_valid:
-                    seen.update(w for w in runs.findall(tags.sub(b" ", text.as_py()).lower()) if len(w) <= LONGEST_WORD)
+                    for piece in visible(text.as_py()):
+                        seen.update(w for w in runs.findall(piece.lower()) if len(w) <= LONGEST_WORD)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
                 names=["word", "count"],
@@ -152,10 +185,12 @@ def filter_urls(
 
     The longest rule that fits a url decides it. The others are judged by multinomial naive
     Bayes: ``score`` is the log odds of being unwanted, above 0 is a block. Host names are
-    split into words by Viterbi under unigram counts of the words of all pages (the seed
-    words count as known). The training label of a page is whether its host words contain
-    one of ``seeds``; what else such hosts and paths contain is learned. A word counts once in
-    a host and once in a path, so an odd url of many parts has no more weight than others.
+    split into words by Viterbi under unigram counts of the visible words of all pages, and
+    by nothing else: a name that these words do not cover stays whole. The training label of
+    a page is whether one of its host words, as a whole, is one of ``seeds``; what else such
+    hosts and paths contain is learned. A token counts as often as it occurs. Words of more
+    than ``LONGEST_WORD`` letters are not learned, and a longer name without known words is
+    several tokens.
 
     Words, hosts and paths are counted over all pages; names are segmented once each, and
     pages are joined to the scores of their host and path. A null or odd url has an empty
@@ -168,8 +203,7 @@ def filter_urls(
     hosts = parts.groupBy("host").agg(F.count("*").alias("pages"))
     hosts = stage.read(hosts.schema, stage.write(hosts, "hosts"))
 
-    seed_rows = spark.createDataFrame([(w, SEED_COUNT) for w in seeds], "word string, count long")
-    words = text_words(pages, html_col).union(seed_rows).groupBy("word").agg(F.sum("count").alias("count"))
+    words = text_words(pages, html_col)
     words = stage.read(words.schema, stage.write(words, "words"))
     total = words.agg(F.sum("count")).first()[0] or 1
 
@@ -178,7 +212,7 @@ def filter_urls(
     split = segmented(placed.select("name").distinct(), words, total)
     split = stage.read(split.schema, stage.write(split, "names"))
     host_words = placed.join(split, "name").groupBy("host")
-    host_words = host_words.agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    host_words = host_words.agg(F.flatten(F.collect_list("words")).alias("words"))
     no_words = F.array().cast("array<string>")
     host_words = hosts.join(host_words, "host", "left").withColumn("words", F.coalesce("words", no_words))
     unwanted = F.arrays_overlap("words", F.array(*[F.lit(w) for w in seeds])) if seeds else F.lit(False)
@@ -187,7 +221,7 @@ def filter_urls(
 
     counts = parts.join(host_words.select("host", "unwanted"), "host").groupBy("path_key", "unwanted").count()
     counts = stage.read(counts.schema, stage.write(counts, "paths"))
-    in_path = F.explode(F.array_distinct(F.split("path_key", " "))).alias("token")
+    in_path = F.explode(F.split("path_key", " ")).alias("token")
     in_paths = counts.select(in_path, "unwanted", F.col("count").alias("n")).where("token != ''")
     seen = host_words.select(F.explode("words").alias("token"), "unwanted", F.col("pages").alias("n")).union(in_paths)
     bad = F.sum(F.when(F.col("unwanted"), F.col("n")).otherwise(0))
@@ -210,7 +244,7 @@ def filter_urls(
     by_host = hosts.select("host").join(scored(host_words, "host", "words"), "host", "left")
     by_host = by_host.join(host_rules(hosts, rules), "host", "left")
     by_host = stage.read(by_host.schema, stage.write(by_host, "by-host"))
-    keys = counts.select("path_key").distinct().withColumn("_tokens", F.array_distinct(F.split("path_key", " ")))
+    keys = counts.select("path_key").distinct().withColumn("_tokens", F.split("path_key", " "))
     by_path = scored(keys, "path_key", "_tokens")
     by_path = stage.read(by_path.schema, stage.write(by_path, "by-path"))
 
