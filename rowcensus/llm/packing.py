@@ -8,18 +8,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import Stage
+from .words import text_buffers, word_hashes
 
 LENGTH = 1024
 END_ID = 2
 BUCKET_ROWS = 20_000
+#: Texts that are encoded together; a longer one by itself.
+TEXT_BYTES = 1 << 21
 
-# Fixed value: the pattern that splits texts for this byte-level vocabulary.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words that are encoded as one text.
+JOINED = 4_096
+
+# How the vocabulary writes a space, and its special token.
+SPACE = "\u0120"
 SPECIAL = "<|endoftext|>"
 
 _encoders: dict[str, Encoder] = {}
@@ -28,76 +35,141 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids of texts under a byte-level BPE file, with a memory of words.
 
-    A single space before a word always starts a new piece of the splitting pattern, so a
-    text is encoded word by word (a word with the space before it), and most words have been
-    seen. Texts with other runs of white space around spaces, or with the special token, go
-    through the tokenizer as a whole, and so do words in other than Latin letters. The
-    memory has two generations: a full one becomes the older, and the words of the older
-    that are met again move to the new one.
+    A single space before a word always starts a new piece of the splitting pattern, and no
+    other piece holds a space. So a text is the ids of its first word and then of every word
+    with the space before it, and many words joined by single spaces can be encoded as one
+    text, of which every id that begins with a space begins the next word. Texts with other
+    runs of white space around spaces, or with the special token, are encoded as a whole.
+
+    Of a slice of texts, only distinct words that the memory does not know are encoded. The
+    memory is a few arrays, sorted by a hash of 128 bits, of some 40 bytes a word; when it
+    is full, the words of the latest slice stay.
     """
 
-    WORDS = 250_000
-    LONGEST = 48
-    LATIN = "\u024f"
+    WORDS = 800_000
+
     # White space beyond the space and the line feed.
     RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     RARE += "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: Texts whose pieces may reach across the space before a word.
+    ODD = f"  | \n|\n \\z|{SPECIAL.replace('|', '[|]')}|[{RARE}]"
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.pieces = regex.compile(PIECES).findall
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.space = np.frombuffer(self._whole(" "), dtype=np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros((2, 0), dtype=np.uint64)
+        self.places = np.zeros((2, 0), dtype=np.int32)
+        self.pool = np.zeros(0, dtype=np.uint32)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _encode(self, pieces: list[str]) -> bytes:
-        tokenize, letters = self.model.tokenize, self.letters
-        return array(
-            "I", [t.id for p in pieces for t in tokenize(p.encode().decode("latin-1").translate(letters))]
-        ).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.older.get(word) or self._new(word)
-        if len(word) <= self.LONGEST:
-            if len(self.known) >= self.WORDS:
-                self.known, self.older = {}, self.known
-            self.known[word] = found
-        return found
-
-    def _new(self, word: str) -> bytes:
-        stem, last = word[:-1], word[-1:]
-        if word and max(word) > self.LATIN:
-            return self._whole(" " + word)
-        if word.isalpha():
-            return self._encode([" " + word])
-        if stem.isalpha() and last in ".,;:!?|":
-            return (self.known.get(stem) or self._word(stem)) + self._encode([last])
-        return self._encode(self.pieces(" " + word))
-
-    def odd(self, text: str) -> bool:
-        """Whether pieces of the text may reach across the space before a word."""
-        if "  " in text or " \n" in text or text[-2:] == "\n " or SPECIAL in text:
-            return True
-        return any(c in text for c in self.RARE)
-
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text`` as unsigned 32-bit numbers."""
-        if self.odd(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        start = self._whole(first) if first and max(first) > self.LATIN else self._encode(self.pieces(first))
-        known, word = self.known, self._word
-        ids = b"".join([known.get(w) or word(w) for w in rest])
-        return start + ids
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after a space, one after the other, and how many each has."""
+        ids, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            found = np.frombuffer(self._whole(" " + " ".join(some)), dtype=np.uint32)
+            ids.append(found)
+            sizes.append(np.diff(np.append(np.flatnonzero(self.spaced[found]), len(found))))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct non-empty words begin in ``pool``, and how many they are."""
+        data, bounds = text_buffers(words)
+        hashes = np.stack([word_hashes(data, bounds[:-1], bounds[1:], seed) for seed in (0, 1)])
+        order = np.lexsort((hashes[1], hashes[0]))
+        hashes = hashes[:, order]
+        at = np.searchsorted(self.keys[0], hashes[0])
+        near = np.minimum(at, max(self.keys.shape[1] - 1, 0))
+        known = (self.keys[:, near] == hashes).all(axis=0) if self.keys.shape[1] else np.zeros(len(order), bool)
+        fresh = ~known
+        ids, sizes = self._encoded(words.take(pa.array(order[fresh])).to_pylist())
+        places = np.stack([len(self.pool) + np.cumsum(sizes) - sizes, sizes]).astype(np.int32)
+        found = np.empty((2, len(order)), dtype=np.int64)
+        found[:, order[known]], found[:, order[fresh]] = self.places[:, near[known]], places
+        self.pool = np.concatenate((self.pool, ids))
+        self.keys = np.insert(self.keys, at[fresh], hashes[:, fresh], axis=1)
+        self.places = np.insert(self.places, at[fresh], places, axis=1)
+        return found[0], found[1]
+
+    def _trim(self, begins: np.ndarray) -> None:
+        """Keep only the words at these places of the pool, if the memory is full."""
+        if self.keys.shape[1] <= self.WORDS:
+            return
+        if len(begins) > self.WORDS:
+            self._forget()
+            return
+        kept = np.isin(self.places[0], begins)
+        self.keys, old = self.keys[:, kept], self.places[:, kept].astype(np.int64)
+        new = np.cumsum(old[1]) - old[1]
+        self.pool = self.pool[np.arange(old[1].sum()) + np.repeat(old[0] - new, old[1])]
+        self.places = np.stack([new, old[1]]).astype(np.int32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts``, an end after each, and where each text begins among them.
+
+        Words become entries of a table of ids; a text is a run of entries, and one gather
+        over all runs yields the ids.
+        """
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False).astype(bool)
+        rows = np.flatnonzero(~odd)
+        words = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        begins = words.offsets.to_numpy()[:-1].astype(np.int64)
+        flat = words.flatten()
+        table = flat.dictionary_encode()
+        entries = table.indices.to_numpy().astype(np.int64)
+        # The first word of a text has no space before it, and is an entry of its own.
+        entries[begins] = -1
+        used = np.unique(entries)
+        used = used[used >= 0]
+        renumbered = np.zeros(len(table.dictionary), dtype=np.int64)
+        renumbered[used] = np.arange(len(used))
+        entries = renumbered[entries]
+        distinct = table.dictionary.take(pa.array(used))
+        empty = pc.equal(distinct, "").to_numpy(zero_copy_only=False).astype(bool)
+        begin, sizes = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
+        begin[~empty], sizes[~empty] = self._known(distinct.filter(pa.array(~empty)))
+        starts_of: dict[str, bytes] = {}
+        starts: list[bytes] = [b""] * n
+        for row, word in zip(rows.tolist(), flat.take(pa.array(begins)).to_pylist()):
+            if word not in starts_of:
+                starts_of[word] = self._whole(word)
+            starts[row] = starts_of[word]
+        for row in np.flatnonzero(odd).tolist():
+            starts[row] = self._whole(texts[row].as_py())
+        later = len(distinct)
+        entries[begins] = later + rows
+        # An odd text is one entry, and every text ends with the end.
+        counts = np.ones(n, dtype=np.int64)
+        counts[rows] = np.diff(np.append(begins, len(entries)))
+        places = np.concatenate(([0], np.cumsum(counts + 1)))
+        order = np.full(places[-1], later + n)
+        order[np.arange(len(entries)) + np.repeat(places[rows] - begins, counts[rows])] = entries
+        order[places[:-1][odd]] = later + np.flatnonzero(odd)
+
+        # The word after a last space is empty: a space of its own.
+        more = [self.space.tobytes(), array("I", [END_ID]).tobytes(), *starts]
+        lengths = np.array([len(x) // 4 for x in more], dtype=np.int64)
+        places_of = len(self.pool) + np.cumsum(lengths) - lengths
+        begin[empty], sizes[empty] = places_of[0], lengths[0]
+        begin = np.concatenate((begin, places_of[2:], places_of[1:2]))
+        sizes = np.concatenate((sizes, lengths[2:], lengths[1:2]))
+        taken = sizes[order]
+        ends = np.concatenate(([0], np.cumsum(taken)))
+        gather = np.arange(ends[-1]) + np.repeat(begin[order] - ends[:-1], taken)
+        ids = np.concatenate((self.pool, np.frombuffer(b"".join(more), dtype=np.uint32)))[gather]
+        self._trim(begin[:later][~empty])
+        return ids, ends[places]
 
 
 def encoder(path: str) -> Encoder:
@@ -119,31 +191,36 @@ def token_pieces(
     kind = rows.schema["id"].dataType
     schema = f"id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
     schema += ", ids binary" if with_ids else ""
-    end = array("I", [END_ID]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         for batch in batches:
-            owner, piece, start, size, crc, parts = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py()) + end
-                n = len(ids) // 4
-                at, to, k = 0, (n - 1) % length + 1, 0
-                while at < n:
-                    part = ids[4 * at : 4 * to]
-                    owner.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    size.append(to - at)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        parts.append(part)
-                    at, to, k = to, to + length, k + 1
-            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32())]
-            columns += [pa.array(x, pa.int64()) for x in (start, size, crc)]
-            columns += [pa.array(parts, pa.binary())] if with_ids else []
-            names = ["id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            _, bounds = text_buffers(batch.column(1))
+            row = 0
+            while row < batch.num_rows:
+                until = int(np.searchsorted(bounds, bounds[row] + TEXT_BYTES, side="right")) - 1
+                until = min(max(until, row + 1), batch.num_rows)
+                ids, first = encode(batch.column(1).slice(row, until - row))
+                owner, piece, start, size, crc, parts = [], [], [], [], [], []
+                for i, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    n = high - low
+                    at, to, k = 0, (n - 1) % length + 1, 0
+                    while at < n:
+                        part = ids[low + at : low + to].tobytes()
+                        owner.append(row + i)
+                        piece.append(k)
+                        start.append(at)
+                        size.append(to - at)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            parts.append(part)
+                        at, to, k = to, to + length, k + 1
+                columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32())]
+                columns += [pa.array(x, pa.int64()) for x in (start, size, crc)]
+                columns += [pa.array(parts, pa.binary())] if with_ids else []
+                names = ["id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                row = until
 
     return rows.mapInArrow(cut, schema)
 
