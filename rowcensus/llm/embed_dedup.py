@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,94 +13,171 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import Stage
 from .graph import components
+from .joins import keep_matching
 
 COSINE = 0.93
-TREES = 8
+TREES = 12
 LEAF = 1_000
-LEVELS = 40
-OVERLAP = 0.15
-PRECISION = 1_000
-#: Linked vectors differ on a direction by a normal value with their distance as deviation.
-DEVIATIONS = 2
+#: Half the width of the spill, in standard deviations of a direction.
+OVERLAP = 0.05
+#: Values of the sample on which the forest is fitted, and rows at most and at least.
+FIT_VALUES, FIT_ROWS, FIT_LEAST = 1_280_000, 20_000, 256
+#: Directions drawn for a split, of which the one with the largest spread is taken.
+DRAWS = 4
+#: Sample rows a node needs for a split of its own; levels that may have such nodes.
+NODE_ROWS, NODE_LEVELS = 32, 10
+#: A node is dense, and stays whole, if so large a share of its pairs is linked.
+DENSE = 0.2
 
 
-def directions(width: int, trees: int, levels: int, seed: int) -> np.ndarray:
-    """A random direction for every level of every tree, one per column."""
-    return np.random.default_rng(seed).standard_normal((width, trees * levels))
+@dataclass(frozen=True)
+class Forest:
+    """Splits of vectors of one width, fitted on a sample and small enough for every task.
+
+    ``directions`` has a column per tree and level. ``cuts`` and ``dense`` are indexed by
+    tree and node; nodes are numbered as in a heap, the root is 1. Nodes that the sample does
+    not describe are cut at their level's ``middle``.
+    """
+
+    directions: np.ndarray
+    middle: np.ndarray
+    spill: np.ndarray
+    cuts: np.ndarray
+    dense: np.ndarray
+
+    def routes(self, x: np.ndarray, depth: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(tree, rows, nodes): the leaves of every row, which may be several in a tree.
+
+        A row goes down ``depth`` levels, or until it meets a dense node.
+        """
+        trees, levels = self.middle.shape
+        at = (x @ self.directions).reshape(len(x), trees, levels)
+        for tree in range(trees):
+            rows, nodes = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
+            for level in range(levels):
+                known = nodes < self.cuts.shape[1]
+                near = np.where(known, nodes, 0)
+                stop = (depth[rows] <= level) | (known & self.dense[tree, near])
+                if stop.any():
+                    yield tree, rows[stop], nodes[stop]
+                    rows, nodes, known, near = (v[~stop] for v in (rows, nodes, known, near))
+                if not len(rows):
+                    break
+                cut = np.where(known, self.cuts[tree, near], self.middle[tree, level])
+                here, spill = at[rows, tree, level], self.spill[tree, level]
+                left, right = here <= cut + spill, here >= cut - spill
+                rows = np.concatenate((rows[left], rows[right]))
+                nodes = np.concatenate((2 * nodes[left], 2 * nodes[right] + 1))
+            if len(rows):
+                yield tree, rows, nodes
+
+
+def fit_forest(sample: np.ndarray, trees: int, levels: int, overlap: float, cosine: float, seed: int) -> Forest:
+    """A forest whose nodes split the unit vectors of ``sample`` at their medians."""
+    random, width = np.random.default_rng(seed), sample.shape[1]
+    own = min(levels, NODE_LEVELS)
+    directions = np.empty((width, trees, levels))
+    for tree in range(trees):
+        for level in range(levels):
+            drawn = random.standard_normal((width, DRAWS))
+            drawn /= np.linalg.norm(drawn, axis=0)
+            directions[:, tree, level] = drawn[:, (sample @ drawn).std(axis=0).argmax()]
+    flat = directions.reshape(width, trees * levels)
+    at = (sample @ flat).reshape(len(sample), trees, levels)
+    middle = np.median(at, axis=0) if len(sample) else np.zeros((trees, levels))
+    spread = at.std(axis=0) if len(sample) else np.zeros((trees, levels))
+    cuts = np.zeros((trees, 1 << own))
+    dense = np.zeros((trees, 1 << own), dtype=bool)
+    for tree in range(trees):
+        members = {1: np.arange(len(sample))}
+        for level in range(own):
+            below = {}
+            for node in range(1 << level, 2 << level):
+                rows = members.get(node, np.zeros(0, dtype=np.int64))
+                cuts[tree, node] = middle[tree, level]
+                if len(rows) < NODE_ROWS:
+                    continue
+                some = sample[rows[random.permutation(len(rows))[:64]]]
+                linked = some @ some.T >= cosine
+                if (linked.sum() - len(some)) >= DENSE * len(some) * (len(some) - 1):
+                    dense[tree, node] = True
+                    continue
+                here = at[rows, tree, level]
+                cuts[tree, node] = cut = np.median(here)
+                below[2 * node], below[2 * node + 1] = rows[here <= cut], rows[here > cut]
+            members = below
+    return Forest(flat, middle, overlap * spread, cuts, dense)
 
 
-def projected(vectors: DataFrame, trees: int, levels: int, seed: int) -> DataFrame:
-    """Rows (id, label, tree, at): where each unit vector lies on the directions of each tree."""
+def routed(classes: DataFrame, forests: dict[int, Forest]) -> DataFrame:
+    """Rows (id, label, tree, node) of classes (id, label, embedding, depth): one pass over them."""
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             lengths = np.diff(lists.offsets.to_numpy())
             first = np.concatenate(([0], np.cumsum(lengths)))
-            for width in np.unique(lengths):
-                rows = np.flatnonzero(lengths == width)
-                x = np.stack([values[first[r] : first[r] + width] for r in rows])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                at = (x @ directions(int(width), trees, levels, seed)).reshape(len(rows) * trees, levels)
-                each = pa.array(np.repeat(rows, trees))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(each),
-                        batch.column(1).take(each),
-                        pa.array(np.tile(np.arange(trees, dtype=np.int32), len(rows))),
-                        pa.ListArray.from_arrays(
-                            np.arange(0, at.size + 1, levels, dtype=np.int32), pa.array(at.ravel().astype(np.float32))
-                        ),
-                    ],
-                    names=["id", "label", "tree", "at"],
-                )
-
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    schema = f"id {kinds['id']}, label {kinds['label']}, tree int, at array<float>"
-    return vectors.select("id", "label", "embedding").mapInArrow(project, schema)
-
-
-def grown(members: DataFrame, leaf: int, levels: int, overlap: float, spill: float, stage: Stage) -> DataFrame:
-    """Rows (id, label, tree, node, count): the leaves each vector falls in.
-
-    All nodes of a level are split at once, at the median of all their members. Those within
-    ``spill`` / 2 of it, and those between the quantiles of 0.5 -/+ ``overlap``, go to both
-    sides. A node of at most ``leaf`` members is a leaf, and so is one whose two halves have
-    as many pairs as itself: a dense group that no direction parts stays whole.
-    The quantiles are summed up in each task first, and the members of one node are spread
-    over tasks, so the root, which holds all vectors, is a node like others.
+            depth = batch.column(3).to_numpy()
+            for width in np.unique(lengths).tolist():
+                of = np.flatnonzero(lengths == width)
+                x = unit(values[first[of][:, None] + np.arange(width)])
+                found = [(0, np.arange(len(of)), np.ones(len(of), dtype=np.int64))]
+                if width in forests:
+                    found = forests[width].routes(x, depth[of])
+                for tree, rows, nodes in found:
+                    each = pa.array(of[rows])
+                    columns = [batch.column(0).take(each), batch.column(1).take(each)]
+                    columns += [pa.array(np.full(len(rows), tree, dtype=np.int32)), pa.array(nodes)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "tree", "node"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
+    schema = f"id {kinds['id']}, label {kinds['label']}, tree int, node long"
+    return classes.select("id", "label", "embedding", "depth").mapInArrow(route, schema)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` with length 1; scaled first, so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def grown(
+    classes: DataFrame, trees: int, leaf: int, overlap: float, cosine: float, seed: int, stage: Stage
+) -> DataFrame:
+    """Rows (id, label, tree, node, count): the leaves each vector falls in; ``count`` is the size of those above ``leaf``, else 1.
+
+    A label's vectors go down as many levels as give leaves of about ``leaf``. The forest is
+    fitted on a bounded sample drawn by a hash; it decides what is compared, not what is
+    linked.
     """
+    sizes = classes.groupBy("label").agg(F.count("*").alias("size"))
+    levels = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / (0.6 * leaf)))).cast("int")
+    sizes = sizes.select(F.col("label").alias("_label"), F.when(F.col("size") <= leaf, 0).otherwise(levels).alias("depth"))
+    sizes = stage.read(sizes.schema, stage.write(sizes, "sizes"))
+    facts = sizes.agg(F.max("depth")).first()[0]
+    width = classes.agg(F.max(F.size("embedding"))).first()[0]
+    forests: dict[int, Forest] = {}
+    if facts:
+        rows = max(FIT_LEAST, min(FIT_ROWS, FIT_VALUES // width))
+        drawn = classes.select("embedding", "id").orderBy(F.xxhash64("id"), "id").limit(rows).select("embedding").toArrow()
+        lists = drawn.column(0).combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        first = np.concatenate(([0], np.cumsum(lengths)))
+        for w in np.unique(lengths).tolist():
+            of = np.flatnonzero(lengths == w)
+            sample = unit(values[first[of][:, None] + np.arange(w)])
+            forests[w] = fit_forest(sample, trees, facts, overlap, cosine, seed)
+    placed = keep_matching(classes, sizes, F.col("label") == F.col("_label"), "inner")
+    leaves = routed(placed, forests)
+    leaves = stage.read(leaves.schema, stage.write(leaves, "leaves"))
     key = ["label", "tree", "node"]
-    active = members.withColumn("node", F.lit("r"))
-    paths = []
-    steps = [k / 50 for k in range(1, 50)]
-    shares = F.array(*[F.lit(float(x)) for x in (0.5 - overlap, 0.5, 0.5 + overlap, *steps)])
-    low, middle, high = (F.col("share")[k] for k in range(3))
-    cut = F.array(F.least(low, middle - spill / 2), F.greatest(high, middle + spill / 2))
-    grid = F.slice("share", 4, len(steps))
-    below = F.size(F.filter(grid, lambda x: x <= F.col("cut")[1])) / len(steps)
-    above = F.size(F.filter(grid, lambda x: x >= F.col("cut")[0])) / len(steps)
-    for level in range(levels):
-        here = active.withColumn("here", F.col("at")[level])
-        nodes = here.groupBy(*key).agg(
-            F.count("*").alias("count"), F.percentile_approx("here", shares, F.lit(PRECISION)).alias("share")
-        )
-        nodes = nodes.withColumn("cut", cut).withColumn("stuck", below * below + above * above >= 1).drop("share")
-        nodes = stage.read(nodes.schema, stage.write(nodes, "nodes"))
-        nodes = nodes.select(*[F.col(c).alias(f"_{c}") for c in key], "count", "cut", "stuck")
-        placed = here.join(nodes, [F.col(c) == F.col(f"_{c}") for c in key])
-        done = ((F.col("count") <= leaf) | F.col("stuck")) if level < levels - 1 else F.lit(True)
-        ends = placed.where(done).select("id", *key, "count")
-        paths.append(stage.write(ends, "leaves"))
-        if nodes.where(~done).isEmpty():
-            break
-        left = F.when(F.col("here") <= F.col("cut")[1], F.concat("node", F.lit("0")))
-        right = F.when(F.col("here") >= F.col("cut")[0], F.concat("node", F.lit("1")))
-        active = placed.where(~done).withColumn("node", F.explode(F.array_compact(F.array(left, right))))
-        active = active.select("id", "label", "tree", "at", "node")
-        active = stage.read(active.schema, stage.write(active, "members"))
-    return stage.read(ends.schema, *paths)
+    large = leaves.groupBy(*key).agg(F.count("*").alias("count")).where(f"count > {leaf}")
+    large = large.select(*[F.col(c).alias(f"_{c}") for c in key], "count")
+    large = stage.read(large.schema, stage.write(large, "large"))
+    same = F.expr(" AND ".join(f"{c} = _{c}" for c in key))
+    return keep_matching(leaves, large, same, "left").selectExpr("id", *key, "coalesce(count, 1L) AS count")
 
 
 def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +204,7 @@ def close_pairs(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """
     ids = group["id"].to_numpy()
     x = np.array(group["embedding"].tolist(), dtype=np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(x)
     quick = x.astype(np.float32)
     own = group["block"].to_numpy()
     across = group["left"].iloc[0] != group["right"].iloc[0]
@@ -138,16 +216,27 @@ def close_pairs(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
     for row, names in enumerate(whole):
         inside[row, [codes[name] for name in names]] = 1
     earlier = inside[:, :first]
+    # Rows of the earlier node with most of them come first; pairs among these are known.
+    covered = 0
+    if earlier.shape[1] and not several.any():
+        most = int(earlier.sum(axis=0).argmax())
+        order = np.argsort(-earlier[:, most], kind="stable")
+        covered = int(earlier[:, most].sum())
+        group = group.iloc[order]
+        ids, x, quick, own, several, inside = (v[order] for v in (ids, x, quick, own, several, inside))
+        earlier = inside[:, :first]
     near = np.zeros((len(ids), len(ids)), dtype=bool) if first is not None else None
     found = []
-    for at in range(0, len(ids), 512):
-        hit = quick[at : at + 512] @ quick.T >= cosine - 1e-4
+    starts = [*range(0, covered, 512), *range(covered, len(ids), 512)]
+    for at, to in zip(starts, [*starts[1:], len(ids)]):
+        low = covered if to <= covered else 0
+        hit = quick[at:to] @ quick[low:].T >= cosine - 1e-4
         if across:
-            hit &= own[at : at + 512, None] != own
+            hit &= own[at:to, None] != own[low:]
         if earlier.shape[1]:
-            hit &= (earlier[at : at + 512] @ earlier.T == 0) | several[at : at + 512, None] | several
+            hit &= (earlier[at:to] @ earlier[low:].T == 0) | several[at:to, None] | several[low:]
         rows, columns = np.nonzero(hit)
-        rows += at
+        rows, columns = rows + at, columns + low
         once = ids[rows] < ids[columns]
         rows, columns = rows[once], columns[once]
         exact = [np.empty(0, dtype=bool)]
@@ -180,7 +269,6 @@ def embedding_dedup(
     cosine: float = COSINE,
     trees: int = TREES,
     leaf: int = LEAF,
-    levels: int = LEVELS,
     overlap: float = OVERLAP,
     seed: int = 3,
     stage: Stage | None = None,
@@ -191,11 +279,13 @@ def embedding_dedup(
     ``cosine``. Equal vectors of a label are one class and count as linked. Candidates are
     the pairs of classes that share a leaf of one of the trees; every pair is verified.
 
-    A tree splits at the median of all its vectors, level by level, until a node has at most
-    ``leaf`` of them. What lies within ``overlap`` of the middle goes to both sides, and so
-    does what lies closer to the median than linked vectors may differ there. A node that
-    this does not make smaller, or that is still larger after all ``levels``, is compared
-    whole in blocks of ``leaf``, each pair of blocks in its own group.
+    The trees are fitted on a bounded sample of ``FIT_ROWS`` vectors at most: random
+    directions, split at the medians of the sample, until a label's leaves have about
+    ``leaf`` vectors. All vectors go through all trees in one pass; what lies within
+    ``overlap`` standard deviations of a split goes to both sides, so a vector has few leaves
+    in each of many trees. A dense node, whose sample pairs are mostly linked, is not split.
+    Leaves that are larger than ``leaf`` nevertheless are compared whole, in blocks of
+    ``leaf``, each pair of blocks in its own group.
 
     Vectors that are null, empty, zero or hold null or non-finite components, or have a null
     label or id, are linked with nothing. Rows that share an id are one node. Vectors of
@@ -213,10 +303,10 @@ def embedding_dedup(
     classes = rows.where(sound).groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = stage.read(classes.schema, stage.write(classes, "classes"))
 
-    members = projected(classes, trees, levels, seed)
-    members = stage.read(members.schema, stage.write(members, "projections"))
-    spill = DEVIATIONS * float(np.sqrt(max(2 - 2 * cosine, 0)))
-    leaves = grown(members, leaf, levels, overlap, spill, stage)
+    if classes.isEmpty():
+        empty = F.lit(0).cast("long").alias("n_links")
+        return rows.select(F.col("id").alias(id_col), empty, F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    leaves = grown(classes, trees, leaf, overlap, cosine, seed, stage)
     leaves = leaves.withColumns({"code": F.concat_ws(":", "tree", "node"), "large": F.col("count") > leaf})
     whole = leaves.where("large").groupBy("id", "label").agg(F.collect_set("code").alias("whole"))
     whole = stage.read(whole.schema, stage.write(whole, "whole"))
