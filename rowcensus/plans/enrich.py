@@ -12,8 +12,11 @@ from ..functions import labels
 from ..functions.text import json_text, literal, quoted
 from ..operators.issues import ISSUE_SCHEMA
 from ..operators.summary import GROUP
+from ..sources.staging import Stage
 
 SAMPLE_SIZE = 5
+#: One issue in about so many is ranked first, to learn which issues can be among the first of their group.
+DRAWN = 1000
 TOKEN_LIMIT = 1024
 
 CONTRACT = (
@@ -24,23 +27,52 @@ CONTRACT = (
     '"governance_note" (what matters for compliance or governance).'
 )
 
+_PLACE = "struct(ROW_IDENTIFIER, ISSUE_DETAIL, map_entries(ROW_VALUES))"
 
-def issue_samples(issues: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:
+
+def _numbered(issues: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` rows of every group; Spark sorts all rows it is given."""
+    rank = f"row_number() OVER (PARTITION BY {', '.join(GROUP)} ORDER BY {_PLACE})"
+    return issues.selectExpr("*", f"{rank} AS SAMPLE_NO").where(f"SAMPLE_NO <= {int(size)}")
+
+
+def sample_candidates(
+    issues: DataFrame, size: int = SAMPLE_SIZE, stage: Stage | None = None, drawn: int = DRAWN
+) -> DataFrame:
+    """The issues that can be among the first ``size`` of their group: few, however many there are.
+
+    Row ``size`` of the drawn issues of a group bounds the places of its first rows. All
+    issues before it are kept, and of those that share its place the drawn ones, which are
+    enough. About ``size * drawn`` issues of a group remain; a group of which fewer than
+    ``size`` are drawn is kept whole. The bounds are sent to all tasks: there is one to about
+    ``size * drawn`` issues at most.
+    """
+    stage = stage or Stage(issues.sparkSession)
+    kept = [quoted(c) for c in issues.columns]
+    first = _numbered(issues.where(f"rand(0) * {int(drawn)} < 1"), size)
+    first = stage.read(first.schema, stage.write(first, "drawn-issues"))
+    bounds = first.where(f"SAMPLE_NO = {int(size)}").selectExpr(*[f"{k} AS _{k}" for k in GROUP], f"{_PLACE} AS _bound")
+    same_group = F.expr(" AND ".join(f"{k} <=> _{k}" for k in GROUP))
+    before = issues.join(F.broadcast(bounds), same_group, "left").where(f"_bound IS NULL OR {_PLACE} < _bound")
+    level = first.join(F.broadcast(bounds), same_group).where(f"{_PLACE} <=> _bound")
+    return before.selectExpr(*kept).union(level.selectExpr(*kept))
+
+
+def issue_samples(issues: DataFrame, size: int = SAMPLE_SIZE, stage: Stage | None = None) -> DataFrame:
     """The first rows of every issue group, numbered.
 
-    Spark keeps only ``size`` rows per group and task before the shuffle, so a group that
-    holds most of the issues does not flood the task that ranks it.
+    ``issues`` are read twice, so store them first if they are costly to make. Only
+    candidates are sorted, and Spark keeps only ``size`` rows per group and task before the
+    shuffle, so a group that holds most of the issues floods no task.
     """
-    order = "ROW_IDENTIFIER, ISSUE_DETAIL, map_entries(ROW_VALUES)"
-    rank = f"row_number() OVER (PARTITION BY {', '.join(GROUP)} ORDER BY {order})"
-    return issues.selectExpr("*", f"{rank} AS SAMPLE_NO").where(f"SAMPLE_NO <= {int(size)}")
+    return _numbered(sample_candidates(issues, size, stage), size)
 
 
-def issue_prompts(issues: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:
+def issue_prompts(issues: DataFrame, size: int = SAMPLE_SIZE, stage: Stage | None = None) -> DataFrame:
     """One prompt per (type, rule, table); the severity is that of the group's first row."""
     names = ", ".join(ISSUE_SCHEMA.names)
     record = f"struct(SAMPLE_NO, to_json(struct({names})) AS ROW, SEVERITY)"
-    grouped = issue_samples(issues, size).groupBy(*GROUP).agg(
+    grouped = issue_samples(issues, size, stage).groupBy(*GROUP).agg(
         F.expr(f"array_sort(collect_list({record})) AS _rows")
     )
     ready = grouped.selectExpr(

@@ -202,7 +202,7 @@ def scan(
             spark,
             [
                 lambda: answered(table_prompts(profiles), "table-answers"),
-                lambda: answered(issue_prompts(issues, options.sample_size), "issue-answers"),
+                lambda: answered(issue_prompts(issues, options.sample_size, stage), "issue-answers"),
             ],
             2,
         )

@@ -378,14 +378,16 @@ def issue_groups(spark, sf):
 
 
 def issue_samples(spark, sf):
-    return E.issue_samples(_combined(spark, sf)).select(
+    stage = Stage(spark)
+    return E.issue_samples(_stored_issues(spark, sf, stage), stage=stage).select(
         *S.GROUP, "SAMPLE_NO", "ROW_IDENTIFIER", "ISSUE_DETAIL", "SEVERITY"
     )
 
 
 def issue_prompts(spark, sf):
-    issues = stamp(_combined(spark, sf), DATABASE, "census")
-    return E.issue_prompts(issues).select(*S.GROUP, "PROMPT")
+    stage = Stage(spark)
+    issues = stamp(_stored_issues(spark, sf, stage), DATABASE, "census")
+    return E.issue_prompts(issues, stage=stage).select(*S.GROUP, "PROMPT")
 
 
 def table_prompts(spark, sf):
@@ -393,7 +395,9 @@ def table_prompts(spark, sf):
 
 
 def enrich_template(spark, sf):
-    answers = E.respond(E.issue_prompts(_combined(spark, sf)), E.template_answers())
+    stage = Stage(spark)
+    prompts = E.issue_prompts(_stored_issues(spark, sf, stage), stage=stage)
+    answers = E.respond(prompts, E.template_answers())
     return answers.select(*S.GROUP, "RESPONSE", "ERROR")
 
 
@@ -415,7 +419,7 @@ def _attached(spark, sf, respond):
     """Issues and answers are stored once, and the few answers are joined to the issues."""
     stage = Stage(spark)
     issues = _stored_issues(spark, sf, stage)
-    answers = E.respond(E.issue_prompts(issues), respond)
+    answers = E.respond(E.issue_prompts(issues, stage=stage), respond)
     answers = stage.read(answers.schema, stage.write(answers, "answers"))
     return E.attach_texts(issues, E.parse_responses(answers))
 

@@ -10,9 +10,10 @@ from rowcensus import Reference
 from rowcensus.functions.lookup import lookup_join
 from rowcensus.operators import profile as P
 from rowcensus.operators.builders import any_reference_violations, retention_cutoff, status_measure
+from rowcensus.operators.issues import issue_columns
 from rowcensus.operators.rules import check_rows
 from rowcensus.operators.upkeep import insert_missing
-from rowcensus.plans.enrich import attach_texts, issue_samples
+from rowcensus.plans.enrich import attach_texts, issue_samples, sample_candidates
 from rowcensus.plans.scan import stored_profile
 from rowcensus.sources.footers import footer_session, write_footer_profile
 from rowcensus.sources.staging import Stage
@@ -252,6 +253,27 @@ def test_issue_samples_limit_before_the_shuffle(spark, files):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
+def test_few_issues_are_sorted_for_the_samples(spark, tmp_path):
+    """Of large groups, one of them all alike, few issues are ranked, and the samples are those of all."""
+    made = {
+        "TABLE_NAME": "'t'", "ISSUE_TYPE": "CASE WHEN id < 40000 THEN 'alike' WHEN id % 5000 = 0 THEN NULL ELSE 'apart' END",
+        "ROW_IDENTIFIER": "IF(id < 40000, NULL, concat('id: ', id * 7919 % 100003))", "ISSUE_DETAIL": "IF(id % 2 = 0, 'x', NULL)",
+        "ROW_VALUES": "IF(id % 4 < 2, map('v', CAST(id * 31 % 1009 AS STRING)), NULL)",
+    }
+    spark.range(0, 100_000, 1, 8).selectExpr(*issue_columns(**made)).write.parquet(str(tmp_path / "issues"))
+    issues = spark.read.parquet(str(tmp_path / "issues"))
+    assert sample_candidates(issues, 3, drawn=100).count() < 5_000
+    place = "struct(ROW_IDENTIFIER, ISSUE_DETAIL, map_entries(ROW_VALUES))"
+    rank = f"row_number() OVER (PARTITION BY ISSUE_TYPE, RULE_NAME, TABLE_NAME ORDER BY {place}) AS n"
+    shown = ["ISSUE_TYPE", "ROW_IDENTIFIER", "ISSUE_DETAIL", "to_json(ROW_VALUES)"]
+
+    def ranked(df):
+        return sorted(repr(tuple(r)) for r in df.selectExpr(*shown, rank).where("n <= 3").collect())
+
+    assert len(ranked(issues)) == 9 and ranked(sample_candidates(issues, 3, drawn=100)) == ranked(issues)
+    assert ranked(issue_samples(issues, 3).drop("SAMPLE_NO")) == ranked(issues)
+
+
 def _issues(spark, files):
     return facts(spark, files).selectExpr(
         "IF(id % 3 = 0, 'hot', concat('t', id % 2000)) AS ISSUE_TYPE", "CAST(NULL AS STRING) AS RULE_NAME",
