@@ -17,6 +17,8 @@ from .profile import duplicate_keys
 HELD = 1 << 22
 #: Candidate slots, eight bytes each, that are broadcast at most.
 FEW_SLOTS = 1_000_000
+#: Bytes of slots that a task sends in one batch, unless a single bucket has more.
+SENT = 1 << 20
 _OFFSET_BITS = 32
 
 SEEN_SCHEMA = "bucket int, once binary, twice binary"
@@ -35,33 +37,46 @@ def bucket_bits(rows: int, held: int = HELD) -> int:
 def seen_slots(df: DataFrame, keys: Sequence[str], bits: int, held: int = HELD) -> DataFrame:
     """Rows ``SEEN_SCHEMA``: which slots a task has met once or more, and which more than once.
 
-    A task holds up to ``held`` hashes, sorts them, and sends one row per bucket with the
-    sorted slots in four bytes each: a membership set in compressed form. A hot key is one slot.
+    A task holds up to ``held`` hashes in one buffer, sorts them in place, and sends one row
+    per bucket with the sorted slots in four bytes each: a membership set in compressed form.
+    Buckets are sent a few at a time, so little more than the buffer is held. A hot key is one slot.
     """
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, count = [], 0
-
-        def sent() -> pa.RecordBatch:
-            slots = np.sort(np.concatenate(parts))
-            again = slots[1:][slots[1:] == slots[:-1]]
-            once, twice = np.unique(slots), np.unique(again)
-            edges = (np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(_OFFSET_BITS)).astype(np.uint64)
-            first, also = np.searchsorted(once, edges), np.searchsorted(twice, edges)
-            used = np.flatnonzero(np.diff(first))
-            low = [once[first[b] : first[b + 1]].astype(np.uint32).tobytes() for b in used]
-            more = [twice[also[b] : also[b + 1]].astype(np.uint32).tobytes() for b in used]
-            columns = [pa.array(used, pa.int32()), pa.array(low, pa.binary()), pa.array(more, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["bucket", "once", "twice"])
+    def sent(slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        slots.sort()
+        edges = (np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(_OFFSET_BITS)).astype(np.uint64)
+        ends = np.searchsorted(slots, edges)
+        found: list[tuple[int, bytes, bytes]] = []
+        size = 0
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            low = slots[ends[b] : ends[b + 1]].astype(np.uint32)
+            again = low[1:] == low[:-1]
+            twice = np.unique(low[1:][again])
+            found.append((b, low[np.concatenate(([True], ~again))].tobytes(), twice.tobytes()))
+            size += len(found[-1][1])
+            if size >= SENT:
+                yield listed(found)
+                found, size = [], 0
+        if found:
+            yield listed(found)
+
+    def listed(found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        columns = [pa.array(column, kind) for column, kind in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "once", "twice"])
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer, count = np.empty(held, np.uint64), 0
         for batch in batches:
-            parts.append(batch.column(0).to_numpy().view(np.uint64))
-            count += batch.num_rows
-            if count >= held:
-                yield sent()
-                parts, count = [], 0
+            slots = batch.column(0).to_numpy().view(np.uint64)
+            while len(slots):
+                taken = slots[: held - count]
+                buffer[count : count + len(taken)] = taken
+                count, slots = count + len(taken), slots[len(taken) :]
+                if count == held:
+                    yield from sent(buffer)
+                    count = 0
         if count:
-            yield sent()
+            yield from sent(buffer[:count])
 
     return df.selectExpr(f"{_slot(keys, bits)} AS slot").mapInArrow(gather, SEEN_SCHEMA)
 
@@ -73,19 +88,23 @@ def repeated_slots(seen: DataFrame) -> DataFrame:
         bucket, once, twice = None, [], []
 
         def found() -> pa.RecordBatch:
-            slots = np.sort(np.concatenate(once))
+            slots = np.concatenate(once)
+            once.clear()
+            slots.sort()
             again = np.unique(np.concatenate([slots[1:][slots[1:] == slots[:-1]], *twice]))
             slots = again.astype(np.int64) + (bucket << _OFFSET_BITS)
             return pa.RecordBatch.from_arrays([pa.array(slots)], names=["slot"])
 
         for batch in batches:
-            for b, low, more in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            # The slots stay in the batch: no copy of it is made in Python.
+            for b, low, more in zip(*(batch.column(k) for k in range(3))):
+                b = b.as_py()
                 if b != bucket and bucket is not None:
                     yield found()
                     once, twice = [], []
                 bucket = b
-                once.append(np.frombuffer(low, np.uint32))
-                twice.append(np.frombuffer(more, np.uint32))
+                once.append(np.frombuffer(low.as_buffer(), np.uint32))
+                twice.append(np.frombuffer(more.as_buffer(), np.uint32))
         if bucket is not None:
             yield found()
 

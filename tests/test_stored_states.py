@@ -3,7 +3,10 @@
 import datetime
 import glob
 import os
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +203,22 @@ def test_prefiltered_duplicates_are_all_duplicates(spark, odd, held):
     assert duplicate_keys_prefiltered(reals, ["x"]).count() == P.duplicate_keys(reals, ["x"]).count() == 3
 
 
+def test_a_task_holds_little_beside_its_buffer(spark, monkeypatch):
+    """Slots are sorted in place and sent a few buckets at a time."""
+    n, bits, made = 3 << 20, 6, []
+    frame = spark.range(1)
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, gather, schema: made.append(gather) or self)
+    seen_slots(frame, ["id"], bits, held=n)
+    column = pa.array(np.random.default_rng(1).integers(0, 1 << (32 + bits), n))
+    given = [pa.RecordBatch.from_arrays([column.slice(at, 10_000)], names=["slot"]) for at in range(0, n, 10_000)]
+    tracemalloc.start()
+    sent = [(batch.num_rows, batch.nbytes) for batch in made[0](iter(given))]
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(buckets for buckets, _ in sent) == 1 << bits and max(size for _, size in sent) < 2 << 20
+    assert held < 1.5 * 8 * n
+
+
 def test_few_rows_of_nearly_unique_keys_are_shuffled(spark, tmp_path):
     n, copies = 300_000, 500
     df = spark.range(0, n, 1, 4).selectExpr("concat('a long key that is costly to move ', id) AS k", "id")
